@@ -35,7 +35,6 @@ CORPUS = {
 
 RAW_CORPUS = {"root": "'/srv/proj'", "file_path": FILE_PATH, "content": "text"}
 
-# the same file name as CORPUS, from the id alone, for tables that refer to documents
 PATHS = {
     "root": "'/srv/web'",
     "file_path": "'/srv/web/' || regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')",
@@ -66,7 +65,7 @@ RAW = f"""CASE event_id % 16
  WHEN 11 THEN 'null'
  WHEN 12 THEN '{{"findings":[],"quality_score":"7x","security_score":3}}'
  WHEN 13 THEN '{{''a'':1}} or {{"b":2'
- WHEN 14 THEN '{{"vulnerabilities":[' || {_FINDING} || '],"security_score":-4.6}} trailing'
+ WHEN 14 THEN '{{"security_score":-4.6,"vulnerabilities":[' || {_FINDING} || ']}} trailing'
  ELSE '["overall_score"]' END"""
 RAW = RAW.replace("{''a'':1}", "{' || chr(39) || 'a' || chr(39) || ':1}")
 
@@ -120,14 +119,26 @@ SIGNALS = {
     "source_analyzer": "CASE WHEN event_id % 2 = 0 THEN 'static' ELSE 'llm' END",
 }
 
-# proposals of an earlier scan: the labelled documents, state by their labels
-PRIOR = {
-    "path": FILE_PATH.replace("doc_id", "d.doc_id"),
-    "state": "CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'validated' ELSE 'candidate' END",
+# state of the proposals of an earlier scan, by the label of their document
+PRIOR_STATE = "CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'validated' ELSE 'candidate' END"
+
+# stored proposals that lack some of their fields
+STORED = {
+    "value": """'{"id":"p' || CAST(doc_id AS STRING) || '","type":"t","title":"x' || CAST(quality AS STRING) || '","description":"d"'
+ || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',"severity":"low","confidence":0.25'
+ WHEN 2 THEN ',"state":"planned","autofixable":true,"evidence":[{"file_path":"a.py","line_number":3}]'
+ ELSE ',"priority":"p0","risk_level":"high","recommendation":"r","scan_id":"s1"' END || '}'""",
+}
+
+START_STATES = {
+    "id": "'p' || CAST(doc_id AS STRING)",
+    "state": "CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'detected' WHEN doc_id % 5 = 0 THEN 'odd' "
+    "ELSE 'candidate' END",
+    "updated_at": "CAST('2023-01-01 00:00:00' AS TIMESTAMP)",
 }
 
 TRANSITIONS = {
-    "ref": "CAST(user_id % 60 AS STRING)",
+    "id": "'p' || CAST(user_id % 60 AS STRING)",
     "ts": "ts",
     "seq": "event_id",
     "new_state": "CASE event_type WHEN 'click' THEN 'candidate' WHEN 'view' THEN 'validated' "
@@ -137,6 +148,18 @@ TRANSITIONS = {
 }
 
 
+MESSAGES = {
+    "event_id": "event_id",
+    "message": "'key sk-' || CAST(user_id AS STRING) || ' refused: sk-' || CAST(user_id AS STRING) || ' ' || props",
+    "secret": "CASE event_id % 3 WHEN 0 THEN 'sk-' || CAST(user_id AS STRING) WHEN 1 THEN '' END",
+}
+
+# patterns for the path queries, with wildcards, case and substrings
+MATCH_PATTERNS = ("node_modules", "*.min.js", "SRC1*", "*/src1*", "VENDOR", "*.PY", "*.ph[!x]", "f1?.p[hy]*", "app/f2")
+INCLUDE = (" src1 ", "app\\f2", "")
+EXCLUDE = ("*7.py", "node_modules", "*.ts")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
