@@ -13,7 +13,8 @@ SCORE_KEYS = ("overall_score", "security_score", "quality_score", "performance_s
 
 # Brace blocks with at most one inner level. Possessive: no backtracking stack on long outputs.
 BRACE_BLOCK = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-INTEGER_TEXT = r"\A\s*[+-]?\d+(_\d+)*\s*\z"
+# A whole number in JSON text, bare or quoted; quoted ones may have blanks and single underscores.
+INTEGER_TEXT = r'\A"?(?:\s|\\[tnrf])*([+-]?\d+(?:_\d+)*)(?:\s|\\[tnrf])*"?\z'
 
 # Messages for a parsed value that cannot be asked for keys.
 ABORT_MESSAGES = {
@@ -57,22 +58,22 @@ def parse_noisy(raw: Column) -> Column:
     whole = strict_json(strip(raw))
     return F.coalesce(
         F.get(F.filter(blocks, lambda v: v.isNotNull()), F.lit(0)),
-        F.when(kind(whole) == "object", whole),
+        F.when(_first_char(raw) == "{", whole),
     )
 
 
+def _first_char(text: Column) -> Column:
+    return F.regexp_extract(text, r"[^ \t\r\n]", 0)
+
+
 def kind(value: Column) -> Column:
-    """object, list, string, int, float, bool or null; NULL for no value."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "list")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "bool")
-        .when(name == "VOID", "null")
-        .when(name == "BIGINT", "int")
-        .when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "int")
-        .when(name.isNotNull(), "float")
+    """object, list, string, bool, null, int or float; NULL for no value."""
+    text = F.to_json(value)
+    starts = {"{": "object", "[": "list", '"': "string", "t": "bool", "f": "bool", "n": "null"}
+    names = F.create_map(*[F.lit(part) for pair in starts.items() for part in pair])
+    number = F.when(text.rlike(r"\A-?\d+\z"), "int").otherwise("float")
+    return F.when(
+        value.isNotNull(), F.coalesce(F.try_element_at(names, F.substring(text, 1, 1)), number)
     )
 
 
@@ -82,36 +83,36 @@ def _first_key(value: Column, keys: tuple[str, ...], as_type: str) -> Column:
 
 def usable_direct(value: Column) -> Column:
     """Anything but no value and JSON null."""
-    return F.coalesce(kind(value) != "null", F.lit(False))
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def usable_noisy(value: Column) -> Column:
-    """A non-empty object."""
-    return F.coalesce((kind(value) == "object") & (F.to_json(value) != "{}"), F.lit(False))
+    """A non-empty object (the parser returns nothing but objects)."""
+    members = F.try_variant_get(value, "$", "map<string,variant>")
+    return F.coalesce(F.size(members) > 0, F.lit(False))
 
 
-def abort_direct(value: Column) -> Column:
-    """Error text if looking up keys in the parsed value breaks the task, else NULL.
+def abort_direct(value: Column, raw: Column) -> Column:
+    """Error text if looking up keys in the value parsed from ``raw`` breaks the task, else NULL.
 
     Objects are fine, numbers and booleans never; a list or a string breaks only when one of the
-    key names occurs in it.
+    key names occurs in it. A text that starts with a brace can only have given an object.
     """
     keys = FINDING_KEYS + SCORE_KEYS
     what = kind(value)
-    members = F.try_variant_get(value, "$", "array<variant>")
     named = F.exists(
-        members,
-        lambda m: (F.schema_of_variant(m) == "STRING")
-        & F.try_variant_get(m, "$", "string").isin(*keys),
+        F.try_variant_get(value, "$", "array<variant>"),
+        lambda m: F.to_json(m).isin(*[f'"{k}"' for k in keys]),
     )
     text = F.try_variant_get(value, "$", "string")
     mentioned = reduce(lambda a, b: a | b, [text.contains(k) for k in keys])
-    return (
-        F.when((what == "list") & F.coalesce(named, F.lit(False)), ABORT_MESSAGES["list"])
-        .when((what == "string") & mentioned, ABORT_MESSAGES["string"])
-        .when(what == "int", ABORT_MESSAGES["int"])
-        .when(what == "float", ABORT_MESSAGES["float"])
-        .when(what == "bool", ABORT_MESSAGES["bool"])
+    scalar = {k: m for k, m in ABORT_MESSAGES.items() if k not in ("list", "string")}
+    messages = F.create_map(*[F.lit(part) for pair in scalar.items() for part in pair])
+    return F.when(
+        _first_char(raw) != "{",
+        F.when(what == "list", F.when(F.coalesce(named, F.lit(False)), ABORT_MESSAGES["list"]))
+        .when(what == "string", F.when(mentioned, ABORT_MESSAGES["string"]))
+        .otherwise(F.try_element_at(messages, what)),
     )
 
 
@@ -129,31 +130,27 @@ def findings_noisy(value: Column) -> Column:
     """
     found = _first_key(value, FINDING_KEYS, "variant")
     what = kind(found)
-    letters = F.split(F.try_variant_get(found, "$", "string"), "")
-    names = F.json_object_keys(F.to_json(found))
-    as_items = lambda array: F.transform(array, lambda s: F.to_variant_object(F.array(s)))
-    unwrap = lambda array: F.transform(array, lambda v: F.try_variant_get(v, "$[0]", "variant"))
+    text = F.try_variant_get(found, "$", "string")
+    parts = F.when(what == "string", F.filter(F.split(text, ""), lambda c: c != "")).when(
+        what == "object", F.json_object_keys(F.to_json(found))
+    )
+    as_values = F.transform(
+        parts, lambda p: F.try_variant_get(F.to_variant_object(F.array(p)), "$[0]", "variant")
+    )
     empty = F.array().cast("array<variant>")
-    return (
-        F.when(found.isNull(), empty)
-        .when(what == "list", F.try_variant_get(found, "$", "array<variant>"))
-        .when((what == "string") & (F.try_variant_get(found, "$", "string") == ""), empty)
-        .when(what == "string", unwrap(as_items(letters)))
-        .when(what == "object", unwrap(as_items(names)))
+    return F.coalesce(
+        F.try_variant_get(found, "$", "array<variant>"), F.when(found.isNull(), empty), as_values
     )
 
 
 def score_direct(value: Column) -> Column:
     """The first score key present as a whole number; a value that is none ends the search."""
-    score = _first_key(value, SCORE_KEYS, "variant")
-    what = kind(score)
-    text = F.try_variant_get(score, "$", "string")
-    digits = F.replace(F.trim(F.regexp_replace(text, r"\s", "")), F.lit("_"), F.lit(""))
+    text = F.to_json(_first_key(value, SCORE_KEYS, "variant"))
+    digits = F.replace(F.regexp_extract(text, INTEGER_TEXT, 1), F.lit("_"), F.lit(""))
     return (
-        F.when((what == "string") & text.rlike(INTEGER_TEXT), digits.try_cast("bigint"))
-        .when(what == "bool", F.try_variant_get(score, "$", "boolean").cast("bigint"))
-        .when(what == "int", F.try_variant_get(score, "$", "bigint"))
-        .when(what == "float", F.try_variant_get(score, "$", "double").try_cast("bigint"))
+        F.when(digits != "", digits.try_cast("bigint"))
+        .when(text.isin("true", "false"), (text == "true").cast("bigint"))
+        .when(text.rlike(r"\A-?\d"), text.try_cast("double").try_cast("bigint"))
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The line boundaries of str.splitlines and the whitespace of str.strip.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 WHITESPACE = r"\s\x1C-\x1F\x{85}\p{Z}"
 
 # Fixed value: the namespace below which proposal ids are derived.
@@ -20,9 +21,18 @@ def strip(text: Column) -> Column:
     )
 
 
+def raw_lines(text: Column) -> Column:
+    """The text cut at every line boundary; a final line break leaves one empty element more.
+
+    All boundaries are first mapped to ``\\n``, which splits without a regular expression.
+    """
+    unified = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), BREAKS, "\n" * len(BREAKS))
+    return F.split(unified, "\n", -1)
+
+
 def split_lines(text: Column) -> Column:
     """``str.splitlines()`` as an array, for non-empty text: nothing after a final line break."""
-    return F.split(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""), LINE_BREAK, -1)
+    return raw_lines(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""))
 
 
 def read_text(data: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,79 +13,101 @@ HIT_SCHEMA = (
     "file_path STRING, rule_id STRING, line_number INT, code_snippet STRING, context STRING, "
     "severity STRING, confidence DOUBLE, error STRING"
 )
+HIT_ARROW = pa.schema(
+    [("file_path", pa.string()), ("rule_id", pa.string()), ("line_number", pa.int32()), ("code_snippet", pa.string()),
+     ("context", pa.string()), ("severity", pa.string()), ("confidence", pa.float64()), ("error", pa.string())]
+)
 ANSWER_SCHEMA = (
     "run_id STRING, file_path STRING, analysis_type STRING, call_ok BOOLEAN, timed_out BOOLEAN, "
     "raw STRING, error STRING, execution_time DOUBLE"
 )
+ANSWER_ARROW = pa.schema(
+    [("run_id", pa.string()), ("file_path", pa.string()), ("analysis_type", pa.string()), ("call_ok", pa.bool_()),
+     ("timed_out", pa.bool_()), ("raw", pa.string()), ("error", pa.string()), ("execution_time", pa.float64())]
+)
+ROWS_PER_BATCH = 2_000
 
 Detector = Callable[[str, str], Iterable[dict]]
 Analyzer = Callable[[str, str], str]
 
 
+def batches_of(rows: Iterable[dict], schema: pa.Schema, size: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of bounded length from a stream of rows."""
+    pending: list[dict] = []
+    for row in rows:
+        pending.append(row)
+        if len(pending) >= size:
+            yield pa.RecordBatch.from_pylist(pending, schema=schema)
+            pending = []
+    yield pa.RecordBatch.from_pylist(pending, schema=schema)
+
+
 def python_rule(corpus: DataFrame, rule_id: str, detect: Detector, severity: str = "medium",
                 confidence: float = 0.8) -> DataFrame:
     """Run ``detect(file_path, content)`` on every file.
 
     It yields dicts with line_number, code_snippet and context (severity and confidence optional). A
-    file on which it raises leaves one row with ``error`` set and does not stop the others.
+    file on which it raises leaves one row with ``error`` set, none of its hits, and does not stop the
+    other files.
     """
-    columns = [part.strip().split()[0] for part in HIT_SCHEMA.split(",")]
+    grades = {"rule_id": rule_id, "severity": severity, "confidence": confidence}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["file_path"], batch["content"]):
-                base = {"file_path": path, "rule_id": rule_id, "severity": severity, "confidence": confidence}
+            for path, content in zip(batch.column(0), batch.column(1)):
+                path = path.as_py()
                 try:
-                    rows.extend([{**base, **hit} for hit in detect(path, content)])
+                    yield from [{"file_path": path, **grades, **hit} for hit in detect(path, content.as_py())]
                 except Exception as exc:
-                    rows.append({"file_path": path, "rule_id": rule_id, "error": str(exc)})
-            frame = pd.DataFrame(rows, columns=columns)
-            frame["line_number"] = frame["line_number"].astype("Int32")
-            yield frame
+                    yield {"file_path": path, "rule_id": rule_id, "error": str(exc)}
 
-    return corpus.select("file_path", "content").mapInPandas(run, HIT_SCHEMA)
+    return corpus.select("file_path", "content").mapInArrow(
+        lambda batches: batches_of(hits(batches), HIT_ARROW), HIT_SCHEMA
+    )
 
 
 def analyze_batch(tasks: DataFrame, analyzer_id: str, analyzer_ord: int, mode: str, call: Analyzer,
-                  parallel_calls: int | None = None) -> DataFrame:
+                  parallel_calls: int | None = None, attempts: int = 1, pause: float = 0.0) -> DataFrame:
     """Call ``call(system_prompt, user_prompt)`` for every task that has prompts; raw answers out.
 
-    A call that raises gives a failed attempt. ``parallel_calls`` bounds the calls in flight for an
-    external service by running in that many partitions.
+    A call that raises is a failed attempt and may be repeated up to ``attempts`` times, ``pause``
+    seconds apart, one row each. ``parallel_calls`` bounds the calls in flight for an external service
+    by running in that many partitions.
     """
     ready = tasks.filter(F.col("error").isNull()).select(
         "run_id", "file_path", "analysis_type", "prompt_system", "prompt_user"
     )
     if parallel_calls:
         ready = ready.repartition(parallel_calls)
-    columns = [part.strip().split()[0] for part in ANSWER_SCHEMA.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
 
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
-            for task in batch.itertuples(index=False):
-                began = time.monotonic()
-                raw, error, slow = None, None, False
-                try:
-                    raw = call(task.prompt_system, task.prompt_user)
-                except TimeoutError as exc:
-                    error, slow = str(exc), True
-                except Exception as exc:
-                    error = str(exc)
-                rows.append((task.run_id, task.file_path, task.analysis_type, error is None, slow, raw,
-                             error, time.monotonic() - began))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return ready.mapInPandas(run, ANSWER_SCHEMA).select(
+            for values in zip(*batch.columns):
+                run_id, path, kind, system, user = (v.as_py() for v in values)
+                for attempt in range(1, attempts + 1):
+                    row = {"run_id": run_id, "file_path": path, "analysis_type": kind, "attempt": attempt,
+                           "call_ok": True, "timed_out": False}
+                    began = time.monotonic()
+                    try:
+                        row["raw"] = call(system, user)
+                    except Exception as exc:
+                        row |= {"call_ok": False, "timed_out": isinstance(exc, TimeoutError), "error": str(exc)}
+                    yield row | {"execution_time": time.monotonic() - began}
+                    if row["call_ok"]:
+                        break
+                    if attempt < attempts:
+                        time.sleep(pause)
+
+    schema = ANSWER_ARROW.append(pa.field("attempt", pa.int32()))
+    made = ready.mapInArrow(
+        lambda batches: batches_of(answers(batches), schema, size=50), f"{ANSWER_SCHEMA}, attempt INT"
+    )
+    return made.select(
         "run_id", "file_path", "analysis_type",
         F.lit(analyzer_id).alias("analyzer_id"),
         F.lit(analyzer_ord).alias("analyzer_ord"),
         F.lit(mode).alias("mode"),
-        F.lit(1).alias("attempt"),
-        "call_ok", "timed_out", "raw", "error",
+        "attempt", "call_ok", "timed_out", "raw", "error",
         F.lit(None).cast("timestamp").alias("completed_at"),
         "execution_time",
     )

@@ -71,7 +71,7 @@ def analyzer_results(resolved: DataFrame, max_retries: int = 2) -> DataFrame:
     )
     abort = F.when(
         F.col("ok"),
-        F.when(mode == DIRECT, J.abort_direct(F.col("parsed"))).when(
+        F.when(mode == DIRECT, J.abort_direct(F.col("parsed"), F.col("raw"))).when(
             (mode == NOISY) & F.col("findings").isNull(), F.lit("value is not iterable")
         ),
     )

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.text import split_lines, strip, template
+from sparkwarden.functions.text import raw_lines, split_lines, strip, template
 
 QUOTES = ('"', "'")
 
@@ -20,9 +20,8 @@ class Rule:
 
     ``patterns`` are tried in order and every match counts, unless ``once_per_line``. ``guard`` must
     also occur in the line. Lines whose stripped text starts with one of ``skip_prefixes`` are left
-    out. ``needles`` are strings of which a matching line must hold at least one. ``file_tests`` are
-    patterns that all occur in every file with a hit, so that other files need not be split; leave
-    it empty for rules whose patterns depend on the ends of a line.
+    out. ``needles`` are cheap to test before any pattern: of each group of strings, a line with a hit
+    holds at least one.
     Templates may use {match}, {value}, {variable}, {file_path} and {line_number}.
     """
 
@@ -42,8 +41,7 @@ class Rule:
     value_group: int = 0
     skip_prefixes: tuple[str, ...] = ()
     snippet_length: int | None = None
-    needles: tuple[str, ...] = ()
-    file_tests: tuple[str, ...] = ()
+    needles: tuple[tuple[str, ...], ...] = ()
     enabled: bool = True
 
 
@@ -59,9 +57,7 @@ LOCAL_URL = (
     r"""(?:25[0-5]|2[0-4]\d|[01]?\d\d?))[^'"]*?)['"]"""
 )
 REMOTE_API = r"""(?iuU)['"](https?://api\.[a-z0-9\-]+\.[a-z]{2,}/v\d[^'"]*?)['"]"""
-ANY_URL = r"""(?iuU)['"]https?://(?:localhost|[0-9]|api\.)"""
 PROMPT_KEYWORD = r"(?iuU)\b(?:system_prompt|user_prompt|prompt_template|PROMPT|instruction)\b"
-MODEL_FAMILY = r"(?iuU)(?:gpt-4|gpt-3\.5|claude|llama|qwen|mistral|gemini|palm)"
 # A family name somewhere between the first quote of the line and a later one; starting at the
 # first quote only keeps long lines linear.
 QUOTED_FAMILY = r"""(?iuU)\A[^'"]*+['"].*?(?:gpt-4|gpt-3\.5|claude|llama|qwen|mistral|gemini|palm).*?['"]"""
@@ -89,8 +85,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
             "it via the model/provider abstraction already present in ConfigManager."
         ),
         context="Found hardcoded model name: {match}",
-        needles=('"',),
-        file_tests=(MODEL_LITERAL,),
+        needles=(('"',),),
     ),
     Rule(
         rule_id="hardcoded_constants",
@@ -112,8 +107,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
             "ConfigManager. Consider adding an 'endpoints' section to audit_config.json."
         ),
         context="Found hardcoded URL/endpoint: {value}",
-        needles=QUOTES,
-        file_tests=(ANY_URL,),
+        needles=(QUOTES, ("://",)),
     ),
     Rule(
         rule_id="non_agnostic_prompts",
@@ -136,8 +130,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
             "work across providers."
         ),
         context="Prompt variable contains a model-specific reference",
-        needles=QUOTES,
-        file_tests=(PROMPT_KEYWORD, MODEL_FAMILY),
+        needles=(QUOTES,),
     ),
     Rule(
         rule_id="leaked_project_ids",
@@ -160,8 +153,7 @@ BUILTIN_RULES: tuple[Rule, ...] = (
             "Never commit literal org/project IDs to source code."
         ),
         context="Variable '{variable}' assigned literal value '{value}'",
-        needles=QUOTES,
-        file_tests=(IDENTIFIER_LITERAL,),
+        needles=(QUOTES, ("=",), ("_",)),
     ),
 )
 
@@ -202,13 +194,15 @@ def _any(tests: Iterable[Column], default: bool) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(default)
 
 
-def _rule_test(rule: Rule, text: Column) -> Column:
-    found = _any((text.rlike(p) for p in rule.patterns), False)
-    return text.rlike(rule.guard) & found if rule.guard else found
+def _needle_test(rule: Rule, text: Column) -> Column:
+    groups = [_any((text.contains(n) for n in group), True) for group in rule.needles]
+    return reduce(lambda a, b: a & b, groups, F.lit(True))
 
 
-def _file_test(rule: Rule, text: Column) -> Column:
-    return reduce(lambda a, b: a & b, [text.rlike(p) for p in rule.file_tests])
+def _rule_test(rule: Rule, text: Column) -> Column:
+    found = _any((text.rlike(p) for p in rule.patterns), False)
+    found = text.rlike(rule.guard) & found if rule.guard else found
+    return _needle_test(rule, text) & found
 
 
 def numbered_lines(corpus: DataFrame) -> DataFrame:
@@ -226,13 +220,12 @@ def match_rules(corpus: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     Output: file_path, line_number, line, rule_id, rule_ord, pattern_ord, match_no, match, value.
     """
     rules = list(rules)
-    files = corpus.select("file_path", "content")
-    if all(r.file_tests for r in rules):
-        files = files.filter(_any((_file_test(r, F.col("content")) for r in rules), False))
-    lines = numbered_lines(files)
-    needles = {n for r in rules for n in r.needles}
-    if rules and all(r.needles for r in rules):
-        lines = lines.filter(_any((F.col("line").contains(n) for n in sorted(needles)), True))
+    possible = _any((_needle_test(r, F.col("content")) for r in rules), False)
+    files = corpus.select("file_path", "content").filter(possible)
+    # a last empty line cannot match, so the plain cut will do
+    lines = files.select("file_path", F.posexplode(raw_lines(F.col("content"))).alias("at", "line")).select(
+        "file_path", (F.col("at") + 1).alias("line_number"), "line"
+    )
     lines = lines.filter(_any((_rule_test(r, F.col("line")) for r in rules), False))
     lines = lines.withColumn("stripped", strip(F.col("line")))
 

@@ -19,7 +19,7 @@ from sparkwarden.operators.responses import analyzer_results, audit_results, mer
 from sparkwarden.operators.rules import BUILTIN_RULES, Rule, configured_rules, match_rules, numbered_lines
 from sparkwarden.operators.transitions import judge_requests, move_states
 from sparkwarden.queries import adapters as A
-from sparkwarden.session import prepare, scratch_path, spread
+from sparkwarden.session import cut_lineage, prepare, scratch_path, spread
 from sparkwarden.sources import stores
 from sparkwarden.sources.config import default_config
 from sparkwarden.streaming import jobs
@@ -70,7 +70,7 @@ def _proposals(spark, sf_dir, **options):
 
 
 def _responses(spark, sf_dir):
-    return _table(spark, sf_dir, "events", A.RESPONSES)
+    return A.select(spread(A.table(spark, sf_dir, "events")), A.RESPONSES)
 
 
 def _results(spark, sf_dir):
@@ -366,7 +366,7 @@ def scan_summary(spark, sf_dir):
 @query
 def scan_list(spark, sf_dir):
     path = scratch_path(spark, "scans")
-    found = _by_source(spark, sf_dir)
+    found = cut_lineage(_by_source(spark, sf_dir))
     stores.write_scans(B.scan_summary(found), found.drop("ord"), path)
     listed = stores.list_scans(spark, f"{path}/summary")
     return listed.withColumn("timestamp", F.substring("timestamp", 1, 10))
@@ -405,7 +405,7 @@ def _flat_events(events: DataFrame) -> DataFrame:
 
 @query
 def trace_events(spark, sf_dir):
-    found = _by_source(spark, sf_dir)
+    found = cut_lineage(_by_source(spark, sf_dir))
     scans = B.scan_summary(found).select(
         "scan_id", F.lit(A.ROOT).alias("project_path"), F.lit("ok").alias("status"), "proposal_count"
     )
@@ -417,7 +417,7 @@ def trace_events(spark, sf_dir):
 
 def _parse(function):
     def make(spark, sf_dir):
-        raw = _table(spark, sf_dir, "events", A.RAW_OUTPUTS).withColumn("parsed", function(F.col("raw")))
+        raw = A.select(spread(A.table(spark, sf_dir, "events")), A.RAW_OUTPUTS).withColumn("parsed", function(F.col("raw")))
         return raw.select("event_id", J.kind(F.col("parsed")).alias("kind"), F.to_json("parsed").alias("parsed"))
 
     return make
@@ -431,13 +431,13 @@ for _name, _function in (("parse_direct", J.parse_direct), ("parse_noisy", J.par
 
 @query
 def findings_scores(spark, sf_dir):
-    raw = _table(spark, sf_dir, "events", A.RAW_OUTPUTS)
-    parsed = raw.select("event_id", J.parse_direct(F.col("raw")).alias("d"), J.parse_noisy(F.col("raw")).alias("n"))
+    raw = A.select(spread(A.table(spark, sf_dir, "events")), A.RAW_OUTPUTS)
+    parsed = raw.select("event_id", "raw", J.parse_direct(F.col("raw")).alias("d"), J.parse_noisy(F.col("raw")).alias("n"))
     direct, noisy = F.col("d"), F.col("n")
     return parsed.select(
         "event_id",
         J.usable_direct(direct).alias("direct_ok"), J.usable_noisy(noisy).alias("noisy_ok"),
-        J.abort_direct(direct).alias("direct_abort"),
+        J.abort_direct(direct, F.col("raw")).alias("direct_abort"),
         F.to_json(J.findings_direct(direct)).alias("direct_findings"),
         F.to_json(J.findings_noisy(noisy)).alias("noisy_findings"),
         J.score_direct(direct).alias("direct_score"), J.score_noisy(noisy).alias("noisy_score"),
@@ -507,8 +507,8 @@ def linter_files(spark, sf_dir):
 # ---- reports ------------------------------------------------------------------------------------
 
 
-def _meta(spark, sf_dir):
-    meta = reports.report_metadata(_results(spark, sf_dir), F.col("completed_at"))
+def _meta(results):
+    meta = reports.report_metadata(results, F.col("completed_at"))
     return meta.select(
         "run_id", F.lit(A.ROOT).alias("project_path"), F.lit("Python Backend").alias("platform"),
         _text_time("timestamp"), "total_files", "total_analyses", "successful_analyses", "failed_analyses",
@@ -519,7 +519,7 @@ def _meta(spark, sf_dir):
 
 @query
 def report_meta(spark, sf_dir):
-    return _meta(spark, sf_dir)
+    return _meta(_results(spark, sf_dir))
 
 
 @query
@@ -533,8 +533,8 @@ def report_results(spark, sf_dir):
 @query
 def report_list(spark, sf_dir):
     path = scratch_path(spark, "reports")
-    results = _results(spark, sf_dir)
-    stores.write_report(_meta(spark, sf_dir), reports.report_results(results), path)
+    results = cut_lineage(_results(spark, sf_dir))
+    stores.write_report(_meta(results), reports.report_results(results), path)
     return stores.list_reports(spark, path)
 
 

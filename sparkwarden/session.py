@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -14,11 +16,17 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Arrow batches carry whole files and prompts: bound them by size, not only by row count.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the runtime options that parsing and time formatting depend on."""
+    """Set the runtime options that parsing and time formatting depend on.
+
+    Functions sent to tasks travel by value, so executors do not need this package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["sparkwarden"])
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark

@@ -10,49 +10,48 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.paths import SCAN_EXTENSIONS
 from sparkwarden.functions.text import read_text
+from sparkwarden.operators.plugins import batches_of
 from sparkwarden.session import scratch_path
 
 ENTRY_SCHEMA = "kind STRING, path STRING"
+ENTRY_ARROW = pa.schema([("kind", pa.string()), ("path", pa.string())])
+FILE_ARROW = pa.schema(
+    [("root", pa.string()), ("file_path", pa.string()), ("data", pa.binary()), ("error", pa.string())]
+)
 MAX_BATCH = 10_000
 
 
-def _list_directories(extensions: tuple[str, ...]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: list[tuple[str, str]] = []
-            for directory in batch["path"]:
-                try:
-                    entries = os.scandir(directory)
-                except OSError:
-                    continue
-                with entries:
-                    for entry in entries:
-                        if entry.is_dir(follow_symlinks=False):
-                            found.append(("dir", entry.path))
-                        elif entry.name.endswith(extensions) and entry.is_file():
-                            found.append(("file", os.path.realpath(entry.path)))
-                        if len(found) >= MAX_BATCH:
-                            yield pd.DataFrame(found, columns=["kind", "path"])
-                            found = []
-            yield pd.DataFrame(found, columns=["kind", "path"])
-
-    return run
+def _entries(extensions: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for directory in batch.column(0).to_pylist():
+            try:
+                listing = os.scandir(directory)
+            except OSError:
+                continue
+            with listing:
+                for entry in listing:
+                    if entry.is_dir(follow_symlinks=False):
+                        yield {"kind": "dir", "path": entry.path}
+                    elif entry.name.endswith(extensions) and entry.is_file():
+                        yield {"kind": "file", "path": os.path.realpath(entry.path)}
 
 
 def list_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS) -> DataFrame:
     """``(root, file_path)`` of all matching files, symbolic links resolved, each path once."""
-    root = os.path.realpath(root)
+    root, wanted = os.path.realpath(root), tuple(extensions)
     out = scratch_path(spark, "tree")
     level, depth = spark.createDataFrame([(root,)], "path STRING"), 0
     while True:
         where = f"{out}/depth={depth}"
-        level.mapInPandas(_list_directories(tuple(extensions)), ENTRY_SCHEMA).write.parquet(where)
+        level.mapInArrow(
+            lambda batches: batches_of(_entries(wanted, batches), ENTRY_ARROW, MAX_BATCH), ENTRY_SCHEMA
+        ).write.parquet(where)
         level = spark.read.schema(ENTRY_SCHEMA).parquet(where).filter("kind = 'dir'").select("path")
         if level.isEmpty():
             break
@@ -63,20 +62,21 @@ def list_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_E
     return files.select(F.lit(root).alias("root"), F.col("path").alias("file_path")).dropDuplicates(["file_path"])
 
 
-def _read_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for root, path in zip(batch["root"], batch["file_path"]):
+        for row in batch.to_pylist():
             data, error = None, None
             try:
-                with open(path, "rb") as handle:
+                with open(row["file_path"], "rb") as handle:
                     data = handle.read()
             except OSError as exc:
                 error = str(exc)
-            yield pd.DataFrame([(root, path, data, error)], columns=["root", "file_path", "data", "error"])
+            # one file per batch: contents can be large
+            yield pa.RecordBatch.from_pylist([{**row, "data": data, "error": error}], schema=FILE_ARROW)
 
 
 def read_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS) -> DataFrame:
     """Corpus ``(root, file_path, content, error)``; an unreadable file has no content but an error."""
     paths = list_tree(spark, root, extensions)
-    rows = paths.mapInPandas(_read_bytes, "root STRING, file_path STRING, data BINARY, error STRING")
+    rows = paths.mapInArrow(_read_bytes, "root STRING, file_path STRING, data BINARY, error STRING")
     return rows.select("root", "file_path", read_text(F.col("data")).alias("content"), "error")
