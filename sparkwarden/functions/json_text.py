@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ ABORT_MESSAGES = {
 }
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with a costly ``value`` computed a single time however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(text: Column) -> Column:
     """The text as VARIANT if, as a whole, it is exactly one JSON value; else NULL.
 
@@ -34,20 +40,20 @@ def strict_json(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    return _once(
+        listed, lambda v: F.when(v.isNotNull() & keyed.isNotNull(), F.try_variant_get(v, "$[0]", "variant"))
+    )
 
 
 def brace_span(text: Column) -> Column:
-    """From the first ``{`` to the last ``}``, NULL if there is no such span."""
-    first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + F.lit(1)
-    found = (first > 0) & (F.instr(text, "}") > 0) & (last > first)
-    return F.when(found, F.substr(text, first, last - first + F.lit(1)))
+    """From the first ``{`` to the last ``}``; empty if there is no such span."""
+    return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
 def parse_direct(raw: Column) -> Column:
     """Whole text, else its outermost brace span. May be a list, scalar or JSON null."""
-    return F.when(raw != "", F.coalesce(strict_json(raw), strict_json(brace_span(raw))))
+    inner = _once(brace_span(raw), lambda span: F.when((span != "") & (span != raw), strict_json(span)))
+    return F.when(raw != "", F.coalesce(strict_json(raw), inner))
 
 
 def parse_noisy(raw: Column) -> Column:

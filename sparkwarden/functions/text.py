@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The line boundaries of str.splitlines and the whitespace of str.strip.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
-BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 WHITESPACE = r"\s\x1C-\x1F\x{85}\p{Z}"
 
 # Fixed value: the namespace below which proposal ids are derived.
@@ -24,15 +26,21 @@ def strip(text: Column) -> Column:
 def raw_lines(text: Column) -> Column:
     """The text cut at every line boundary; a final line break leaves one empty element more.
 
-    All boundaries are first mapped to ``\\n``, which splits without a regular expression.
+    Nearly all text only has ``\\n``, which splits without a regular expression; other boundaries are
+    mapped to it first.
     """
-    unified = F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), BREAKS, "\n" * len(BREAKS))
-    return F.split(unified, "\n", -1)
+    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in RARE_BREAKS])
+    unified = F.translate(
+        F.replace(text, F.lit("\r\n"), F.lit("\n")), RARE_BREAKS, "\n" * len(RARE_BREAKS)
+    )
+    return F.when(rare, F.split(unified, "\n", -1)).otherwise(F.split(text, "\n", -1))
 
 
 def split_lines(text: Column) -> Column:
     """``str.splitlines()`` as an array, for non-empty text: nothing after a final line break."""
-    return raw_lines(F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", ""))
+    ends = reduce(lambda a, b: a | b, [text.endswith(c) for c in RARE_BREAKS], text.endswith("\n"))
+    extra = F.when(text.endswith("\r\n"), 2).otherwise(1)
+    return raw_lines(F.when(ends, F.substr(text, F.lit(1), F.length(text) - extra)).otherwise(text))
 
 
 def read_text(data: Column) -> Column:
