@@ -50,6 +50,11 @@ def _char_class(body: str, negated: bool) -> str:
     return f"[{'^' if negated else ''}{''.join(ranges)}]"
 
 
+def _literal(text: str) -> str:
+    """The text as a regex without special characters."""
+    return "".join(rf"\x{{{ord(c):x}}}" for c in text)
+
+
 def glob_regex(pattern: str) -> str:
     """A shell wildcard as an anchored Java regex; ``*`` also crosses ``/``."""
     out, i = [], 0
@@ -71,7 +76,7 @@ def glob_regex(pattern: str) -> str:
                 out.append(_char_class(pattern[start:end], negated))
                 i = end + 1
         else:
-            out.append(rf"\x{{{ord(char):x}}}")
+            out.append(_literal(char))
     return rf"\A(?s:{''.join(out)})\z"
 
 
@@ -96,15 +101,15 @@ def contains_text(path: Column, pattern: str) -> Column:
 def matches_any(path: Column, root: Column, patterns: Iterable[str]) -> Column:
     """True if one pattern matches by component, wildcard or substring; no patterns: false.
 
-    A matching component and a pattern without wildcards are also substrings of the absolute path,
-    so only real wildcards need a regex.
+    A matching component and a pattern without wildcards are also substrings of the absolute path, so
+    all patterns share one substring search and only real wildcards need an expression of their own.
     """
-    tests = []
-    for pattern in normalise_patterns(patterns):
-        tests.append(contains_text(path, pattern))
-        if any(c in pattern for c in "*?["):
-            tests.append(glob_matches(path, root, pattern))
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    patterns = normalise_patterns(patterns)
+    if not patterns:
+        return F.lit(False)
+    texts = "|".join(_literal(p.lower()) for p in patterns)
+    globs = [glob_matches(path, root, p) for p in patterns if any(c in p for c in "*?[")]
+    return reduce(lambda a, b: a | b, globs, F.lower(path).rlike(texts))
 
 
 @dataclass(frozen=True)

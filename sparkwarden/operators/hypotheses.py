@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.skew import number_rows
+
 # Severities from lowest to highest; anything else ranks with the lowest.
 SEVERITY_ORDER = ("low", "medium", "high", "critical")
 
@@ -38,14 +40,14 @@ def build_hypotheses(signals: DataFrame, created_at: Column | None = None) -> Da
     )
 
 
-def signal_chunks(signals: DataFrame, lines_per_chunk: int = 500) -> DataFrame:
-    """Member signals nested per (rule, file, block of lines), in order.
+def signal_chunks(signals: DataFrame, per_chunk: int = 500) -> DataFrame:
+    """Member signals nested per (rule, file, chunk), in order, ``per_chunk`` to a chunk.
 
-    A chunk covers a fixed span of lines, so no array grows with the group; reading the chunks of a
-    hypothesis by ``chunk`` gives its complete ordered signal list.
+    No array grows with its group; reading the chunks of a hypothesis by number gives its complete
+    ordered signal list.
     """
-    block = F.floor(F.coalesce(F.col("line_number"), F.lit(0)) / F.lit(lines_per_chunk))
+    key = ["rule_id", "file_path"]
     item = F.struct("ord", "line_number", "code_snippet", "context", "severity", "confidence", "source_detector")
-    return signals.groupBy("rule_id", "file_path", block.alias("chunk")).agg(
-        F.array_sort(F.collect_list(item)).alias("signals")
-    )
+    placed = number_rows(signals, key, ["ord"], "_place", "signal_count")
+    chunk = F.floor((F.col("_place") - 1) / F.lit(per_chunk)).alias("chunk")
+    return placed.groupBy(*key, "signal_count", chunk).agg(F.array_sort(F.collect_list(item)).alias("signals"))

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import proposal_id
-from sparkwarden.operators.rules import BUILTIN_RULES, Rule, describe_hits, match_rules, rule_dimension
-from sparkwarden.session import spread
+from sparkwarden.operators.rules import BUILTIN_RULES, Rule, describe_hits, match_rules
 
 HIT_ORDER = ("file_path", "rule_ord", "line_number", "pattern_ord", "match_no")
 
@@ -30,11 +29,9 @@ def build_proposals(
     Stateless and shuffle-free, so the same function serves batch and streaming input.
     """
     rules = list(rules)
-    spark = corpus.sparkSession
-    grades = F.broadcast(rule_dimension(spark, rules).drop("rule_ord"))
     scan = scan_id if isinstance(scan_id, Column) else F.lit(scan_id).cast("string")
     at = timestamp_of(as_of)
-    hits = describe_hits(match_rules(corpus, rules), rules).join(grades, "rule_id")
+    hits = describe_hits(match_rules(corpus, rules), rules)
     return hits.select(
         proposal_id(F.col("rule_id"), F.col("file_path"), F.col("line_number")).alias("id"),
         F.col("rule_id").alias("type"),
@@ -57,11 +54,6 @@ def build_proposals(
     )
 
 
-def scan_proposals(corpus: DataFrame, as_of, scan_id=None, rules: Iterable[Rule] = BUILTIN_RULES) -> DataFrame:
-    """:func:`build_proposals` on a batch corpus whose files are spread over all cores first."""
-    return build_proposals(spread(corpus.select("file_path", "content")), as_of, scan_id, rules)
-
-
 def first_evidence(field: str) -> Column:
     return F.get(F.col("evidence"), F.lit(0))[field]
 

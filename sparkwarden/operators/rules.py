@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import raw_lines, split_lines, strip, template
@@ -158,11 +158,6 @@ BUILTIN_RULES: tuple[Rule, ...] = (
 )
 
 OVERRIDABLE = ("severity", "priority", "risk_level", "confidence")
-RULE_DIM_SCHEMA = (
-    "rule_id STRING, rule_ord INT, severity STRING, priority STRING, risk_level STRING, "
-    "confidence DOUBLE, autofixable BOOLEAN"
-)
-
 
 def configured_rules(
     overrides: Mapping[str, Mapping] | None = None, rules: Iterable[Rule] = BUILTIN_RULES
@@ -180,15 +175,6 @@ def configured_rules(
     return chosen
 
 
-def rule_dimension(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """One row per rule. Its size is that of the rule list, so joins may broadcast it."""
-    rows = [
-        (r.rule_id, i, r.severity, r.priority, r.risk_level, float(r.confidence), r.autofixable)
-        for i, r in enumerate(rules)
-    ]
-    return spark.createDataFrame(rows, RULE_DIM_SCHEMA)
-
-
 def _any(tests: Iterable[Column], default: bool) -> Column:
     tests = list(tests)
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(default)
@@ -282,11 +268,11 @@ def _per_rule(rules: list[Rule], make) -> Column:
     for rule in rules:
         test = F.col("rule_id") == rule.rule_id
         chain = F.when(test, make(rule)) if chain is None else chain.when(test, make(rule))
-    return chain if chain is not None else F.lit(None).cast("string")
+    return chain if chain is not None else F.lit(None)
 
 
 def describe_hits(hits: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Add snippet, context, title, description and recommendation texts to rule hits."""
+    """Add the grades and texts of their rule to hits. The few rules are literals, so nothing is joined."""
     rules = list(rules)
     names = {
         "match": F.col("match"),
@@ -307,4 +293,5 @@ def describe_hits(hits: DataFrame, rules: Iterable[Rule]) -> DataFrame:
             _per_rule(rules, lambda r, f=f: template(getattr(r, f), **names)).alias(f)
             for f in ("context", "title", "description", "recommendation")
         ],
+        *[_per_rule(rules, lambda r, f=f: F.lit(getattr(r, f))).alias(f) for f in (*OVERRIDABLE, "autofixable")],
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.session import cut_lineage
 
-MAX_HEAVY_KEYS = 256
+MAX_HEAVY_KEYS = 4096
 HEAVY_ROWS = 100_000
 
 
@@ -16,8 +16,8 @@ def heavy_keys(
 ) -> list:
     """The largest keys with at least ``min_rows`` rows, at most ``max_keys`` of them.
 
-    Whatever is not listed holds fewer than ``min_rows`` rows or at most 1/max_keys of the table, so
-    it fits a task. The counts combine before the shuffle and only this short list reaches the driver.
+    Whatever is not listed holds fewer than ``min_rows`` rows, or at most 1/max_keys of the table. The
+    counts combine before the shuffle and only this short list reaches the driver.
     """
     top = (
         df.groupBy(key)
@@ -36,8 +36,10 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], number: str,
     numbers its own rows and the small per-slice counts give the offsets.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # stored first, as finding the range bounds reads the rows one time more; stored again, so that
+    # counts and numbers see the same slices
     sliced = cut_lineage(
-        df.repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id())
+        cut_lineage(df).repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*group)

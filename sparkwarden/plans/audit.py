@@ -14,7 +14,7 @@ from sparkwarden.operators.proposals import build_proposals, static_findings
 from sparkwarden.operators.reports import report_metadata, report_name, report_results
 from sparkwarden.operators.responses import TASK_KEY, audit_results
 from sparkwarden.operators.tasks import audit_tasks, discover_files, with_prompts
-from sparkwarden.session import cut_lineage, spread
+from sparkwarden.session import cut_lineage
 from sparkwarden.sources.config import AuditConfig
 
 
@@ -85,7 +85,7 @@ def audit_run(
     if target is None:
         raise ValueError(f"unknown platform: {platform}")
     chosen = config.analyzers(set(calls))
-    files = spread(discover_files(corpus, target.extensions, config.path_filter()))
+    files = discover_files(corpus, target.extensions, config.path_filter())
     types = config.type_dimension(spark, platform)
     tasks = with_prompts(audit_tasks(files, requested, types), practices).withColumn("run_id", F.lit(run_id))
     answers = [

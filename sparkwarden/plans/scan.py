@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.operators.backlog import scan_summary, upsert_backlog
 from sparkwarden.operators.hypotheses import build_hypotheses
-from sparkwarden.operators.proposals import scan_proposals, signals_of, timestamp_of
+from sparkwarden.operators.proposals import build_proposals, signals_of, timestamp_of
 from sparkwarden.operators.tasks import discover_files
 from sparkwarden.operators.trace import scan_trace
 from sparkwarden.session import cut_lineage
@@ -40,7 +40,7 @@ def proposal_scan(
     The proposals feed four outputs, so they are written once and the corpus is scanned only once.
     """
     files = discover_files(corpus, path_filter=config.path_filter(), wanted=wanted)
-    proposals = cut_lineage(scan_proposals(files, as_of, scan_id, config.rules()))
+    proposals = cut_lineage(build_proposals(files, as_of, scan_id, config.rules()))
     counted = proposals.agg(F.count(F.lit(1)).alias("proposal_count")).select(
         F.lit(scan_id).alias("scan_id"), F.lit(project_path).alias("project_path"),
         F.lit("ok").alias("status"), "proposal_count",

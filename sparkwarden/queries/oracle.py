@@ -593,8 +593,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "hypotheses": hypotheses_all,
         "hypotheses_mixed": hypotheses_of(f"({SIGNALS})", "ord", "source_analyzer"),
-        "hypothesis_signals": f"""SELECT rule_id, file_path, CAST(floor(line_number / 100) AS BIGINT) AS chunk, CAST(count(*) AS INT) AS n,
- string_agg(code_snippet, ',' ORDER BY ord) AS snippets FROM ({SIGNALS}) GROUP BY 1, 2, 3""",
+        "hypothesis_signals": f"""SELECT rule_id, file_path, CAST(floor((place - 1) / 20) AS BIGINT) AS chunk, signal_count,
+ CAST(count(*) AS INT) AS n, string_agg(code_snippet, ',' ORDER BY ord) AS snippets FROM (SELECT *,
+ row_number() OVER (PARTITION BY rule_id, file_path ORDER BY ord) AS place,
+ count(*) OVER (PARTITION BY rule_id, file_path) AS signal_count FROM ({SIGNALS})) GROUP BY 1, 2, 3, 4""",
         "backlog_upsert": UPSERT,
         "backlog_get": with_ctes(PRIOR | RESCAN, f"SELECT {FLAT} FROM prior WHERE id IN (SELECT id FROM found)"),
         "backlog_list": with_ctes(PRIOR, f"SELECT {FLAT} FROM prior WHERE state = 'validated'"),

@@ -14,7 +14,7 @@ from sparkwarden.operators import backlog as B
 from sparkwarden.operators import lint as L
 from sparkwarden.operators import plugins, reports, tasks, trace
 from sparkwarden.operators.hypotheses import build_hypotheses, signal_chunks
-from sparkwarden.operators.proposals import first_evidence, scan_proposals, signals_of, static_findings
+from sparkwarden.operators.proposals import build_proposals, first_evidence, signals_of, static_findings
 from sparkwarden.operators.responses import analyzer_results, audit_results, merge_analyzers, resolve_attempts
 from sparkwarden.operators.rules import BUILTIN_RULES, Rule, configured_rules, match_rules, numbered_lines
 from sparkwarden.operators.transitions import judge_requests, move_states
@@ -61,16 +61,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str, adapter: dict[str, str])
     return A.select(A.table(spark, sf_dir, name), adapter)
 
 
+def _spread_table(spark, sf_dir, name, adapter):
+    """The same for work that is heavy per row: a table in one split is dealt out to all cores."""
+    return A.select(spread(A.table(spark, sf_dir, name)), adapter)
+
+
 def _corpus(spark, sf_dir):
+    return _spread_table(spark, sf_dir, "documents", A.CORPUS)
+
+
+def _paths(spark, sf_dir):
     return _table(spark, sf_dir, "documents", A.CORPUS)
 
 
 def _proposals(spark, sf_dir, **options):
-    return scan_proposals(_corpus(spark, sf_dir), A.AS_OF, A.SCAN_ID, **options)
+    return build_proposals(_corpus(spark, sf_dir), A.AS_OF, A.SCAN_ID, **options)
 
 
 def _responses(spark, sf_dir):
-    return A.select(spread(A.table(spark, sf_dir, "events")), A.RESPONSES)
+    return _spread_table(spark, sf_dir, "events", A.RESPONSES)
 
 
 def _results(spark, sf_dir):
@@ -79,21 +88,21 @@ def _results(spark, sf_dir):
 
 def _prior(spark, sf_dir):
     """The backlog an earlier scan left behind: labelled documents only, states already moved on."""
-    labelled = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "labels"), "doc_id")
+    labelled = spread(A.table(spark, sf_dir, "documents")).join(A.table(spark, sf_dir, "labels"), "doc_id")
     corpus = labelled.selectExpr(*[f"{e} AS {n}" for n, e in A.CORPUS.items()], f"{A.PRIOR_STATE} AS labelled")
     empty = spark.createDataFrame([], B.PROPOSAL_SCHEMA)
-    found = B.upsert_backlog(empty, scan_proposals(corpus, A.AS_OF, "scan-000"), A.AS_OF)
+    found = B.upsert_backlog(empty, build_proposals(corpus, A.AS_OF, "scan-000"), A.AS_OF)
     states = corpus.select("file_path", "labelled")
     joined = found.withColumn("file_path", first_evidence("file_path")).join(states, "file_path")
     return joined.withColumn("state", F.col("labelled")).select(*B.PROPOSAL_FIELDS)
 
 
-def _eligible(spark, sf_dir):
-    return tasks.eligible(_corpus(spark, sf_dir), P.SCAN_EXTENSIONS, default_config().path_filter())
+def _eligible(spark, sf_dir, source=_corpus):
+    return tasks.eligible(source(spark, sf_dir), P.SCAN_EXTENSIONS, default_config().path_filter())
 
 
 def _rescan(spark, sf_dir):
-    return scan_proposals(_eligible(spark, sf_dir), A.LATER, A.SCAN_ID)
+    return build_proposals(_eligible(spark, sf_dir), A.LATER, A.SCAN_ID)
 
 
 def _text_time(name: str, pattern: str = TIME) -> Column:
@@ -114,16 +123,16 @@ def _flat(proposals: DataFrame) -> DataFrame:
 
 @query
 def discover_files(spark, sf_dir):
-    return tasks.distinct_paths(_eligible(spark, sf_dir)).orderBy("file_path")
+    return tasks.distinct_paths(_eligible(spark, sf_dir, _paths)).orderBy("file_path")
 
 
 @query
 def read_text_files(spark, sf_dir):
     tail = F.encode(F.lit("\r\nx\ry"), "UTF-8")
-    raw = _table(spark, sf_dir, "documents", A.RAW_CORPUS).select(
+    raw = _spread_table(spark, sf_dir, "documents", A.RAW_CORPUS).select(
         "file_path", F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FF")), tail).alias("data")
     )
-    text = spread(raw).select("file_path", read_text(F.col("data")).alias("content"))
+    text = raw.select("file_path", read_text(F.col("data")).alias("content"))
     return text.select("file_path", F.md5("content").alias("digest"), F.length("content").alias("chars"))
 
 
@@ -139,7 +148,7 @@ def scan_file_list(spark, sf_dir):
 def dims_platform_types(spark, sf_dir):
     config = default_config()
     extension = F.regexp_extract("file_path", r"\.[^./]+$", 0).alias("extension")
-    counts = _corpus(spark, sf_dir).select(extension).groupBy("extension").agg(F.count(F.lit(1)).alias("n"))
+    counts = _paths(spark, sf_dir).select(extension).groupBy("extension").agg(F.count(F.lit(1)).alias("n"))
     dims = config.extension_dimension(spark).join(config.type_dimension(spark), "platform")
     return (
         counts.join(F.broadcast(dims), "extension")
@@ -151,7 +160,7 @@ def dims_platform_types(spark, sf_dir):
 @query
 def audit_tasks(spark, sf_dir):
     config = default_config()
-    files = tasks.eligible(_corpus(spark, sf_dir), config.platform("python").extensions, config.path_filter())
+    files = tasks.eligible(_paths(spark, sf_dir), config.platform("python").extensions, config.path_filter())
     return tasks.audit_tasks(files.select("root", "file_path"), REQUESTED_TYPES, config.type_dimension(spark, "python")).select(
         "file_path", "analysis_type", "type_name", "error"
     )
@@ -161,7 +170,7 @@ def _prompt_tasks(spark, sf_dir, requested):
     config = default_config()
     platform = config.platform("python")
     files = tasks.eligible(_corpus(spark, sf_dir), platform.extensions, config.path_filter())
-    made = tasks.audit_tasks(spread(files), requested, config.type_dimension(spark, "python"))
+    made = tasks.audit_tasks(files, requested, config.type_dimension(spark, "python"))
     return tasks.with_prompts(made, PRACTICES).withColumn("run_id", F.lit("run0"))
 
 
@@ -179,7 +188,7 @@ def prompt_render(spark, sf_dir):
 
 @query
 def path_match(spark, sf_dir):
-    docs = _corpus(spark, sf_dir).select("root", "file_path")
+    docs = _paths(spark, sf_dir).select("root", "file_path")
     pages = _table(spark, sf_dir, "pages", A.PATHS)
     path, root = F.col("file_path"), F.col("root")
     tests = []
@@ -203,12 +212,12 @@ def filter_modes(spark, sf_dir):
         for mode in P.FILTER_MODES
     ]
     nothing = P.PathFilter(mode="include_only").keep(path, root).alias("nothing_included")
-    return _corpus(spark, sf_dir).select("file_path", *kept, nothing)
+    return _paths(spark, sf_dir).select("file_path", *kept, nothing)
 
 
 @query
 def scan_lines(spark, sf_dir):
-    return numbered_lines(spread(_corpus(spark, sf_dir)))
+    return numbered_lines(_corpus(spark, sf_dir))
 
 
 # ---- rules and proposals ------------------------------------------------------------------------
@@ -247,7 +256,7 @@ def rule_overrides(spark, sf_dir):
 
 @query
 def proposal_ids(spark, sf_dir):
-    hits = match_rules(spread(_corpus(spark, sf_dir)), BUILTIN_RULES)
+    hits = match_rules(_corpus(spark, sf_dir), BUILTIN_RULES)
     rule, path = F.col("rule_id"), F.col("file_path")
     return hits.select(
         "rule_id", "file_path", "line_number",
@@ -267,8 +276,8 @@ def static_analyzer_findings(spark, sf_dir):
 
 @query
 def custom_rule(spark, sf_dir):
-    raw = _table(spark, sf_dir, "documents", A.RAW_CORPUS)
-    return match_rules(spread(raw), USER_RULES).select("rule_id", "file_path", "line_number", "match_no", "match")
+    raw = _spread_table(spark, sf_dir, "documents", A.RAW_CORPUS)
+    return match_rules(raw, USER_RULES).select("rule_id", "file_path", "line_number", "match_no", "match")
 
 
 @query
@@ -280,7 +289,7 @@ def custom_python_rule(spark, sf_dir):
                 yield {"line_number": number, "code_snippet": line.strip()[:200], "context": str(len(line))}
             seen.add(line)
 
-    raw = spread(_table(spark, sf_dir, "documents", A.RAW_CORPUS))
+    raw = _spread_table(spark, sf_dir, "documents", A.RAW_CORPUS)
     return plugins.python_rule(raw, "repeated_lines", repeated_lines, "low").select(
         "file_path", "rule_id", "line_number", "context", "severity", "error"
     )
@@ -317,9 +326,9 @@ def hypotheses_mixed(spark, sf_dir):
 
 @query
 def hypothesis_signals(spark, sf_dir):
-    chunks = signal_chunks(_table(spark, sf_dir, "events", A.SIGNALS), lines_per_chunk=100)
+    chunks = signal_chunks(_table(spark, sf_dir, "events", A.SIGNALS), per_chunk=20)
     return chunks.select(
-        "rule_id", "file_path", "chunk", F.size("signals").alias("n"),
+        "rule_id", "file_path", "chunk", "signal_count", F.size("signals").alias("n"),
         F.array_join(F.transform("signals", lambda s: s["code_snippet"]), ",").alias("snippets"),
     )
 
@@ -355,7 +364,7 @@ def backlog_defaults(spark, sf_dir):
 
 def _by_source(spark, sf_dir):
     scan = F.concat(F.lit("scan-"), F.split_part("file_path", F.lit("/"), F.lit(4)))
-    return scan_proposals(_eligible(spark, sf_dir), A.AS_OF, scan)
+    return build_proposals(_eligible(spark, sf_dir), A.AS_OF, scan)
 
 
 @query
@@ -417,7 +426,7 @@ def trace_events(spark, sf_dir):
 
 def _parse(function):
     def make(spark, sf_dir):
-        raw = A.select(spread(A.table(spark, sf_dir, "events")), A.RAW_OUTPUTS).withColumn("parsed", function(F.col("raw")))
+        raw = _spread_table(spark, sf_dir, "events", A.RAW_OUTPUTS).withColumn("parsed", function(F.col("raw")))
         return raw.select("event_id", J.kind(F.col("parsed")).alias("kind"), F.to_json("parsed").alias("parsed"))
 
     return make
@@ -431,7 +440,7 @@ for _name, _function in (("parse_direct", J.parse_direct), ("parse_noisy", J.par
 
 @query
 def findings_scores(spark, sf_dir):
-    raw = A.select(spread(A.table(spark, sf_dir, "events")), A.RAW_OUTPUTS)
+    raw = _spread_table(spark, sf_dir, "events", A.RAW_OUTPUTS)
     parsed = raw.select("event_id", "raw", J.parse_direct(F.col("raw")).alias("d"), J.parse_noisy(F.col("raw")).alias("n"))
     direct, noisy = F.col("d"), F.col("n")
     return parsed.select(
@@ -571,7 +580,12 @@ def _run(spark, start) -> str:
 
 
 def _corpus_stream(spark, sf_dir):
-    return A.select(A.stream(spark, sf_dir, "documents"), A.CORPUS)
+    """The document stream; a source in fewer splits than cores is dealt out, as for batch reads."""
+    cores = spark.sparkContext.defaultParallelism
+    source = A.stream(spark, sf_dir, "documents")
+    if A.table(spark, sf_dir, "documents").rdd.getNumPartitions() < cores:
+        source = source.repartition(cores)
+    return A.select(source, A.CORPUS)
 
 
 @query
@@ -584,8 +598,6 @@ def stream_scan(spark, sf_dir):
 
 @query
 def stream_upsert(spark, sf_dir):
-    from sparkwarden.operators.proposals import build_proposals
-
     files = tasks.eligible(_corpus_stream(spark, sf_dir), P.SCAN_EXTENSIONS, default_config().path_filter())
     found = build_proposals(files, A.LATER, A.SCAN_ID)
     out = _run(spark, lambda o, c: jobs.sighting_stream(found, o, c))

@@ -64,8 +64,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core before row-multiplying work.
 
-    Only an input with fewer splits than cores is shuffled, which by construction is a small one;
-    a large table keeps its own splits and is not moved.
+    For plain table reads. Only an input with fewer splits than cores is shuffled, which by
+    construction is a small one; a large table keeps its own splits and is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

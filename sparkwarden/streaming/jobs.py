@@ -23,11 +23,12 @@ from sparkwarden.operators.trace import hit_events
 from sparkwarden.operators.transitions import judge_requests, move_states
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def file_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """New and changed files below a folder as a corpus stream (hidden names are left out)."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     path = F.regexp_replace(F.col("path"), "^file:/+", "/")
@@ -121,7 +122,7 @@ def transition_stream(requests: DataFrame, backlog: DataFrame, out: str, checkpo
         current = states.join(ids, "id", "left_semi")
         if batch_id > 0:
             earlier = read_batches(spark, out).filter(F.col("accepted") & (F.col("batch_id") < batch_id))
-            current = move_states(current, earlier)
+            current = move_states(current, earlier.join(ids, "id", "left_semi"))
         return judge_requests(current, batch)
 
     return _start(_per_batch(requests, judge, out), checkpoint, interval)

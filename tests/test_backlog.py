@@ -133,7 +133,7 @@ def test_hypotheses(spark):
     assert (first.severity, round(first.confidence, 9), first.signal_count, first.primary_signal.line_number) == ("high", 0.6, 3, 10)
     # unknown ranks with the lowest, and the earlier one stays
     assert got["r", "g"].severity == "weird"
-    chunks = signal_chunks(frame, lines_per_chunk=12).orderBy("rule_id", "file_path", "chunk").collect()
+    chunks = signal_chunks(frame, per_chunk=2).orderBy("rule_id", "file_path", "chunk").collect()
     assert [(c.rule_id, c.file_path, c.chunk, [s.ord for s in c.signals]) for c in chunks] == [
         ("q", "f", 0, [1]), ("r", "f", 0, [1, 2]), ("r", "f", 1, [3]), ("r", "g", 0, [1, 2])
     ]
