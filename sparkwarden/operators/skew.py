@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ HEAVY_ROWS = 100_000
 def heavy_keys(
     df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, max_keys: int = MAX_HEAVY_KEYS
 ) -> list:
-    """The largest keys with at least ``min_rows`` rows, at most ``max_keys`` of them.
+    """The largest keys, None included, with at least ``min_rows`` rows; at most ``max_keys`` of them.
 
     Whatever is not listed holds fewer than ``min_rows`` rows, or at most 1/max_keys of the table. The
     counts combine before the shuffle and only this short list reaches the driver.
@@ -22,7 +24,7 @@ def heavy_keys(
     top = (
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter((F.col("n") >= min_rows) & F.col(key).isNotNull())
+        .filter(F.col("n") >= min_rows)
         .orderBy(F.desc("n"), key)
         .limit(max_keys)
     )
@@ -47,16 +49,21 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], number: str,
         sliced.groupBy(*group, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
-            *group,
-            "_slice",
+            *[F.col(g).alias(f"_{g}") for g in group],
+            F.col("_slice").alias("_from"),
             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_n").over(everything).alias(total),
         )
     )
     local = Window.partitionBy(*group, "_slice").orderBy(*order)
+    # a group without a key is a group too
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group],
+        F.col("_slice") == F.col("_from"),
+    )
     return (
         sliced.withColumn("_at", F.row_number().over(local))
-        .join(offsets, [*group, "_slice"])
-        .withColumn(number, F.col("_before") + F.col("_at"))
-        .drop("_slice", "_before", "_at")
+        .join(offsets, same)
+        .select(*df.columns, (F.col("_before") + F.col("_at")).alias(number), total)
     )

@@ -83,7 +83,7 @@ def eligible(corpus: DataFrame, extensions: Iterable[str], path_filter: PathFilt
 
 def distinct_paths(corpus: DataFrame) -> DataFrame:
     """Each path once. Only the path column is shuffled, never the content."""
-    return corpus.select("root", "file_path").dropDuplicates(["file_path"])
+    return corpus.select("root", "file_path").distinct()
 
 
 def audit_tasks(files: DataFrame, requested: Sequence[str], types: DataFrame) -> DataFrame:

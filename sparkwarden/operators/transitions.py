@@ -91,9 +91,11 @@ def judge_requests(backlog: DataFrame, log: DataFrame, heavy_rows: int = HEAVY_R
     (invalid_state, not_found or not_allowed).
     """
     states = backlog.select("id", F.col("state").alias("start_state"), F.lit(True).alias("known"))
-    hot = heavy_keys(log, "id", heavy_rows)
-    if hot:
-        is_hot = F.coalesce(F.col("id").isin(hot), F.lit(False))
+    listed = heavy_keys(log, "id", heavy_rows)
+    if listed:
+        hot = [key for key in listed if key is not None]
+        # requests without an id are just one more hot key
+        is_hot = F.coalesce(F.col("id").isin(hot), F.lit(None in listed))
         rows = _light(log.filter(~is_hot), states).unionByName(
             _heavy(log.filter(is_hot), states.filter(F.col("id").isin(hot)))
         )

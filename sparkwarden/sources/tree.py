@@ -75,8 +75,14 @@ def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{**row, "data": data, "error": error}], schema=FILE_ARROW)
 
 
-def read_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS) -> DataFrame:
-    """Corpus ``(root, file_path, content, error)``; an unreadable file has no content but an error."""
+def read_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS,
+              files_per_task: int = 500) -> DataFrame:
+    """Corpus ``(root, file_path, content, error)``; an unreadable file has no content but an error.
+
+    The path list is tiny next to the contents, so it is dealt out by number of files and not by size.
+    """
     paths = list_tree(spark, root, extensions)
+    parts = max(spark.sparkContext.defaultParallelism, -(-paths.count() // files_per_task))
+    paths = paths.repartition(parts)
     rows = paths.mapInArrow(_read_bytes, "root STRING, file_path STRING, data BINARY, error STRING")
     return rows.select("root", "file_path", read_text(F.col("data")).alias("content"), "error")

@@ -101,7 +101,7 @@ def test_transitions_equal_a_replay(spark, heavy_rows):
     ids = [f"p{i}" for i in range(45)]
     # one id holds a third of the log
     log = [
-        ("p0" if draw.random() < 0.33 else draw.choice(ids), draw.randint(0, 50), n, draw.choice(names + ["planned", "validated"]), None)
+        ("p0" if draw.random() < 0.33 else draw.choice(ids + [None] * 4), draw.randint(0, 50), n, draw.choice(names + ["planned", "validated"]), None)
         for n in range(900)
     ]
     states["p0"] = "detected"
@@ -140,7 +140,7 @@ def test_hypotheses(spark):
 
 
 def test_number_rows_and_heavy_keys(spark):
-    rows = [("hot" if i % 3 else f"k{i % 7}", (i * 37) % 11, i) for i in range(500)]
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 37) % 11, i) for i in range(500)]
     frame = spark.createDataFrame(rows, "k STRING, t INT, n INT")
     got = {r.n: (r.at, r.total) for r in number_rows(frame, ["k"], ["t", "n"], "at", "total").collect()}
     for key in {r[0] for r in rows}:
@@ -148,4 +148,5 @@ def test_number_rows_and_heavy_keys(spark):
         for place, row in enumerate(ordered, 1):
             assert got[row[2]] == (place, len(ordered))
     assert heavy_keys(frame, "k", min_rows=100) == ["hot"]
+    assert heavy_keys(frame, "k", min_rows=40) == ["hot", None]
     assert heavy_keys(frame, "k", min_rows=1, max_keys=2)[0] == "hot"
