@@ -51,7 +51,7 @@ def resolve_attempts(responses: DataFrame, max_retries: int = 2) -> DataFrame:
         F.when(final, F.col("attempt")).otherwise(-F.col("attempt")).alias("place"),
     )
     kept = ("analyzer_ord", "mode", "attempt", "call_ok", "timed_out", "raw", "error", "usable",
-            "completed_at", "execution_time")
+            "parsed", "completed_at", "execution_time")
     chosen = tried.groupBy(*TASK_KEY, "analyzer_id").agg(F.min_by(F.struct(*kept), rank).alias("r"))
     return chosen.select(*TASK_KEY, "analyzer_id", "r.*")
 
@@ -62,8 +62,7 @@ def analyzer_results(resolved: DataFrame, max_retries: int = 2) -> DataFrame:
     ``abort`` carries the message of a parsed value that breaks the task altogether.
     """
     mode, ok = F.col("mode"), F.col("usable") & ~((F.col("mode") == NOISY) & F.col("timed_out"))
-    parsed = resolved.withColumn("ok", ok).withColumn("parsed", F.when(F.col("ok"), _parsed(mode, F.col("raw"))))
-    found = parsed.withColumn(
+    found = resolved.withColumn("ok", ok).withColumn(
         "findings",
         F.when(mode == DIRECT, J.findings_direct(F.col("parsed")))
         .when(mode == NOISY, J.findings_noisy(F.col("parsed")))
