@@ -48,7 +48,7 @@ RAW_CORPUS = A.as_sql(A.RAW_CORPUS, "documents")
 
 
 def lines_of(source: str) -> str:
-    return f"""SELECT root, file_path, generate_subscripts(ls, 1) AS line_number, unnest(ls) AS line FROM (
+    return f"""SELECT root, file_path, CAST(generate_subscripts(ls, 1) AS INT) AS line_number, unnest(ls) AS line FROM (
  SELECT root, file_path, string_split_regex(regexp_replace(content, {quote(f'(?:{LINE_BREAK})$')}, ''), {quote(LINE_BREAK)}) AS ls
  FROM {source} WHERE content <> '')"""
 
@@ -430,7 +430,7 @@ UPSERT = with_ctes(
 )
 
 DEFAULTS = f"""SELECT json_extract_string(value, '$.id') AS id, json_extract_string(value, '$.type') AS type,
- json_extract_string(value, '$.title') AS title, COALESCE(json_array_length(value, '$.evidence'), 0) AS evidence,
+ json_extract_string(value, '$.title') AS title, CAST(COALESCE(json_array_length(value, '$.evidence'), 0) AS INT) AS evidence,
  COALESCE(json_extract_string(value, '$.severity'), 'medium') AS severity,
  COALESCE(json_extract_string(value, '$.priority'), 'p2') AS priority,
  COALESCE(CAST(json_extract(value, '$.confidence') AS DOUBLE), 0.5) AS confidence,
@@ -541,6 +541,10 @@ def oracle_sql() -> dict[str, str]:
         "'[' || CAST(to_json({'file_path': file_path, 'line_number': line_number, 'code_snippet': code_snippet, "
         "'context': context}) AS VARCHAR) || ']'"
     )
+    logged = with_ctes(
+        RESULTS,
+        f"SELECT file_path, analysis_type, success, {FINDINGS_TEXT} AS findings, score, error, execution_time FROM results",
+    )
     return {
         "discover_files": f"SELECT DISTINCT root, file_path FROM ({ELIGIBLE})",
         "read_text": f"""SELECT file_path, md5(t) AS digest, CAST(length(t) AS INT) AS chars FROM (SELECT file_path,
@@ -641,10 +645,7 @@ def oracle_sql() -> dict[str, str]:
             RESULTS | {"meta": META},
             'SELECT report_file AS filename, "timestamp", project_path, platform, total_files, total_findings, critical_findings FROM meta',
         ),
-        "checkpoint_rows": with_ctes(
-            RESULTS,
-            f"SELECT file_path, analysis_type, success, {FINDINGS_TEXT} AS findings, score, error, execution_time FROM results",
-        ),
+        "checkpoint_rows": logged,
         "findings_view": with_ctes(RESULTS, FINDINGS_VIEW),
         "progress": with_ctes(
             RESULTS,
@@ -656,5 +657,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_hypotheses": hypotheses_all,
         "stream_transitions": OUTCOMES,
         "stream_filter_reload": f"SELECT root, file_path FROM ({ELIGIBLE})",
+        "stream_checkpoint": logged,
         "stream_trace": with_ctes(scan(), HIT_EVENTS),
     }

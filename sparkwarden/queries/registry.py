@@ -547,10 +547,7 @@ def report_list(spark, sf_dir):
     return stores.list_reports(spark, path)
 
 
-@query
-def checkpoint_rows(spark, sf_dir):
-    path = scratch_path(spark, "progress")
-    stores.append_json(reports.checkpoint_rows(_results(spark, sf_dir)), path)
+def _read_log(spark, path):
     schema = (
         "file_path STRING, analysis_type STRING, success BOOLEAN, findings STRING, score STRING, error STRING, "
         "execution_time DOUBLE"
@@ -558,6 +555,13 @@ def checkpoint_rows(spark, sf_dir):
     return spark.read.schema(schema).json(path).withColumn("execution_time", F.round("execution_time", 4))
 
 
+@query
+def checkpoint_rows(spark, sf_dir):
+    path = scratch_path(spark, "progress")
+    stores.append_json(reports.checkpoint_rows(_results(spark, sf_dir)), path)
+    return _read_log(spark, path)
+
+
 @query
 def findings_view(spark, sf_dir):
     return reports.findings_view(_results(spark, sf_dir))
@@ -627,6 +631,14 @@ def stream_filter_reload(spark, sf_dir):
     return jobs.read_batches(spark, out).select("root", "file_path")
 
 
+@query
+def stream_checkpoint(spark, sf_dir):
+    path = scratch_path(spark, "results")
+    _results(spark, sf_dir).write.parquet(path)
+    results = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return _read_log(spark, _run(spark, lambda o, c: jobs.checkpoint_stream(results, o, c)))
+
+
 @query
 def stream_trace(spark, sf_dir):
     corpus = _corpus_stream(spark, sf_dir)

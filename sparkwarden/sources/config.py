@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.functions.paths import PathFilter
@@ -83,6 +84,18 @@ DEFAULT_CONFIG: dict[str, Any] = {
 }
 
 
+def best_practices(spark: SparkSession, *paths: str) -> str:
+    """The text of the first document that can be read, in the given order; none: empty."""
+    for path in paths:
+        try:
+            found = spark.read.text(path, wholetext=True).first()
+        except AnalysisException:
+            continue
+        if found is not None:
+            return found[0]
+    return ""
+
+
 @dataclass(frozen=True)
 class Platform:
     key: str

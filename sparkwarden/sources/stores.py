@@ -58,6 +58,14 @@ def write_scans(summary: DataFrame, proposals: DataFrame, path: str) -> None:
     proposals.write.mode("append").partitionBy("scan_id").parquet(f"{path}/proposals")
 
 
+def read_scan(spark: SparkSession, path: str, scan_id: str) -> tuple[DataFrame, DataFrame]:
+    """Summary and proposals of one stored scan; both empty for an unknown id."""
+    wanted = F.col("scan_id") == scan_id
+    summary = spark.read.schema("scan_id STRING, timestamp STRING, proposal_count BIGINT").json(f"{path}/summary")
+    proposals = spark.read.schema(PROPOSAL_SCHEMA).parquet(f"{path}/proposals")
+    return summary.filter(wanted), proposals.filter(wanted)
+
+
 def list_scans(spark: SparkSession, path: str) -> DataFrame:
     """Scan id, time and count of the stored summaries, last name first.
 
@@ -96,6 +104,13 @@ def write_report(meta: DataFrame, results: DataFrame, path: str) -> None:
     )
 
 
+def read_report(spark: SparkSession, path: str, report_file: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata and result rows of one stored report; the run of the report prunes the result folders."""
+    meta = spark.read.json(f"{path}/meta").filter(F.col("report_file") == report_file)
+    results = spark.read.json(f"{path}/results").withColumn("run_id", F.col("run_id").cast("string"))
+    return meta, results.join(meta.select("run_id"), "run_id", "left_semi")
+
+
 def list_reports(spark: SparkSession, path: str) -> DataFrame:
     """Reports written by :func:`write_report`, newest name first, with the six listed fields."""
     schema = (

@@ -17,6 +17,7 @@ from sparkwarden.functions.paths import SCAN_EXTENSIONS, PathFilter
 from sparkwarden.functions.text import read_text
 from sparkwarden.operators.hypotheses import build_hypotheses
 from sparkwarden.operators.proposals import build_proposals, signals_of
+from sparkwarden.operators.reports import checkpoint_rows
 from sparkwarden.operators.rules import BUILTIN_RULES, Rule
 from sparkwarden.operators.tasks import eligible
 from sparkwarden.operators.trace import hit_events
@@ -71,6 +72,11 @@ def trace_stream(corpus: DataFrame, out: str, checkpoint: str, as_of, scan_id: s
     return _start(events.writeStream.format("json").option("path", out), checkpoint, interval)
 
 
+def checkpoint_stream(results: DataFrame, out: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Append the log row of every finished task as a JSON line."""
+    return _start(checkpoint_rows(results).writeStream.format("json").option("path", out), checkpoint, interval)
+
+
 def sighting_stream(proposals: DataFrame, out: str, checkpoint: str,
                     interval: str | None = None) -> StreamingQuery:
     """Continuous upsert, write side: each micro-batch stores only its own proposals.

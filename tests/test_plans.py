@@ -129,3 +129,27 @@ def test_tree(spark, tmp_path):
     rows = {r.file_path[len(str(tree)) + 1 :]: r.content for r in read_tree(spark, str(tree)).collect()}
     assert rows == {"__init__.py": "a", ".hid.py": "b", "_priv/x.py": "c\n", ".git/h.py": "�", "a b#/y.ts": ""}
     assert list_tree(spark, str(tree), [".txt"]).count() == 1
+
+
+def test_stored_scans_and_reports(spark, corpus, tmp_path):
+    from sparkwarden.sources import stores
+    from sparkwarden.sources.config import best_practices
+
+    nothing = spark.createDataFrame([], B.PROPOSAL_SCHEMA)
+    for name in ("s1", "s2"):
+        scan = proposal_scan(corpus(FILES), nothing, config(), name, FIRST, "/srv/p")
+        stores.write_scans(scan.summary, scan.proposals.drop("ord"), f"{tmp_path}/scans")
+    summary, proposals = stores.read_scan(spark, f"{tmp_path}/scans", "s2")
+    assert summary.first().proposal_count == 3 == proposals.count()
+    assert stores.read_scan(spark, f"{tmp_path}/scans", "no")[0].count() == 0
+    static = config(analyzers={"static": {"enabled": True}})
+    for day in (1, 2):
+        run = audit_run(corpus(FILES), static, "python", ["deep_scan"], f"r{day}", f"2024-01-0{day} 00:00:00", "/srv/p")
+        stores.write_report(run.meta, run.report, f"{tmp_path}/reports")
+    listed = [r.filename for r in stores.list_reports(spark, f"{tmp_path}/reports").collect()]
+    assert listed == ["audit_python_backend_20240102_000000.json", "audit_python_backend_20240101_000000.json"]
+    meta, results = stores.read_report(spark, f"{tmp_path}/reports", listed[0])
+    assert meta.first().run_id == "r2" and results.count() == 2
+    (tmp_path / "p.md").write_text("be good\n")
+    assert best_practices(spark, f"{tmp_path}/none.md", f"{tmp_path}/p.md") == "be good\n"
+    assert best_practices(spark, f"{tmp_path}/none.md") == ""
