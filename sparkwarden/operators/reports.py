@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions.text import slug
 from sparkwarden.operators.skew import number_rows
+from sparkwarden.session import cut_lineage
 
 # Finding severities counted as critical, and display defaults.
 CRITICAL_SEVERITIES = ("critical", "high")
@@ -89,4 +90,4 @@ def findings_view(results: DataFrame) -> DataFrame:
 def progress(results: DataFrame) -> DataFrame:
     """(done, total) per run in completion order."""
     rows = results.select("run_id", "completed_at", "file_path", "analysis_type")
-    return number_rows(rows, ["run_id"], ["completed_at", "file_path", "analysis_type"], "done", "total")
+    return number_rows(cut_lineage(rows), ["run_id"], ["completed_at", "file_path", "analysis_type"], "done", "total")

@@ -35,13 +35,13 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], number: str,
     """``row_number`` and group size in a total order, without a whole group in one window task.
 
     Rows are range-partitioned on (group, order) so that a large group spans many slices; each slice
-    numbers its own rows and the small per-slice counts give the offsets.
+    numbers its own rows and the small per-slice counts give the offsets. Finding the range bounds
+    reads ``df`` one time more, so store a costly one before (``cut_lineage``).
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # stored first, as finding the range bounds reads the rows one time more; stored again, so that
-    # counts and numbers see the same slices
+    # stored, so that counts and numbers see the same slices
     sliced = cut_lineage(
-        cut_lineage(df).repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id())
     )
     earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*group)

@@ -10,7 +10,7 @@ from sparkwarden.operators import lint, reports, responses, tasks, trace
 from sparkwarden.operators.rules import BUILTIN_RULES, configured_rules
 from sparkwarden.queries import adapters as A
 from sparkwarden.queries.registry import OVERRIDES, PRACTICES, REQUESTED_TYPES, USER_RULES
-from sparkwarden.sources.config import DEFAULT_CONFIG, default_config
+from sparkwarden.sources.config import DEFAULT_CONFIG
 
 BLANK = r"[\s\x1C-\x1F\x{85}\p{Z}]"
 

@@ -19,7 +19,7 @@ NO_ANALYZERS = (
     "Configure an enabled backend or install its runtime dependency."
 )
 
-# Default values: platforms, linters and the excluded paths. Prompt templates are configuration too;
+# Default platforms, linters and excluded paths. Prompt templates are configuration too;
 # bring your own by loading a configuration file of the same layout.
 _KEYS = "Answer only with JSON: an object with {key}, a list of objects with severity, {kind}, description, line_number, code_snippet and recommendation, and {score} from 0 to 100."
 

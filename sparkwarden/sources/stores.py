@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkwarden.operators.backlog import PROPOSAL_FIELDS, PROPOSAL_SCHEMA, with_defaults
 
@@ -16,12 +17,6 @@ REPORT_FIELDS = ("timestamp", "project_path", "platform", "total_files", "total_
 SCAN_SCHEMA = "scan_id STRING, timestamp STRING, proposal_count BIGINT, _corrupt_record STRING"
 
 
-def _struct_ddl() -> str:
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(PROPOSAL_SCHEMA).simpleString()
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).schema
@@ -47,7 +42,7 @@ def import_json_index(spark: SparkSession, path: str) -> DataFrame:
     """A backlog kept as one JSON document ``{"proposals": {id: proposal}}``; unreadable: empty."""
     if not _exists(spark, path):
         return spark.createDataFrame([], PROPOSAL_SCHEMA)
-    schema = f"proposals MAP<STRING, {_struct_ddl()}>"
+    schema = f"proposals MAP<STRING, {StructType.fromDDL(PROPOSAL_SCHEMA).simpleString()}>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return with_defaults(rows.select(F.explode("proposals").alias("id", "p")).select("p.*"))
 

@@ -95,7 +95,10 @@ def test_python_rule_isolates_failures(spark, corpus):
 
 
 def test_prompts(spark, corpus):
-    made = tasks.with_prompts(tasks.audit_tasks(corpus({"src/a.py": "x"}), ["t", "u"], spark.createDataFrame([("t", "T", "Check {file_path} {context}!")], "analysis_type STRING, type_name STRING, prompt_template STRING")), "B" * 9000)
+    types = spark.createDataFrame(
+        [("t", "T", "Check {file_path} {context}!")], "analysis_type STRING, type_name STRING, prompt_template STRING"
+    )
+    made = tasks.with_prompts(tasks.audit_tasks(corpus({"src/a.py": "x"}), ["t", "u"], types), "B" * 9000)
     rows = {r.analysis_type: r for r in made.collect()}
     assert rows["u"].prompt_user is None and rows["u"].error == tasks.UNKNOWN_TYPE
     assert rows["t"].prompt_user.startswith("Check src/a.py !\n\n") and rows["t"].prompt_user.endswith("```\nx\n```")
