@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwarden.llm import quality, simhash
+from sparkwarden.llm import chunks, quality, simhash
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,11 @@ def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return make
 
 
+def _spans(column: str) -> Column:
+    """An array of (start, end) as ``start:end`` joined by commas."""
+    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 @query
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,3 +33,12 @@ def op7_simhash(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_chunks(spark, sf_dir):
+    found = chunks.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_kept", "n_dropped", "dropped_chars", _spans("drop_spans").alias("drop_spans"),
+        _spans("kept_spans").alias("kept_spans"), "first_docs",
+    )
