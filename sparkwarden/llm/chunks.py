@@ -16,6 +16,7 @@ from sparkwarden.session import cut_lineage
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -147,14 +148,15 @@ def _tag():
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks whose digest occurs more than once, with the first occurrence (by doc_id, tag, start) of each.
+    """The chunks whose digest occurs more than once, with the smallest doc_id that each occurs in.
 
-    Counts and first occurrences combine before the shuffle, so a passage that a third of all documents share
+    Counts and smallest ids combine before the shuffle, so a passage that a third of all documents share
     costs a row per task; the join that marks its occurrences has one row per digest on the other side, which
-    lets Spark split a hot digest over tasks.
+    lets Spark split a hot digest over tasks. A null doc_id counts as the smallest number.
     """
-    found = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tag", "start")).alias("first"))
-    return chunks.join(found.filter("n > 1").select(F.col("digest").alias("same"), "n", "first"), F.col("digest") == F.col("same")).drop("same")
+    known = chunks.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    found = known.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return known.join(found.filter("n > 1").select("digest", "first_doc"), "digest")
 
 
 def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -164,50 +166,58 @@ def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ``drop`` is true equal chunks stand earlier (smaller doc_id, then earlier in the text), the first of them
     in ``first_doc``; otherwise this is the one that stays. Code points, end exclusive.
     """
-    chunks = cut_lineage(repeated_chunks(chunk_table(docs.filter("text IS NOT NULL"), settings)).select(
-        "doc_id", "tag", "start", "end", "words",
-        (F.struct("doc_id", "tag", "start") != F.col("first")).alias("drop"), F.col("first.doc_id").alias("first_doc"),
-    ))
+    fields = ["tag", "start", "end", "words", "digest", "first_doc"]
+    grouped = cut_lineage(
+        repeated_chunks(chunk_table(docs.filter("text IS NOT NULL"), settings))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct(*fields)).alias("rows"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags, out = [], [], []
-            for doc_id, tag, rows in zip(*[c.to_pylist() for c in batch.columns]):
-                for span in runs([tuple(r.values()) for r in rows], settings):
-                    ids.append(doc_id)
-                    tags.append(tag)
-                    out.append(span)
-            start, end, drop, first = zip(*out) if out else ((), (), (), ())
+            rows = batch.column(1)
+            flat = rows.flatten()
+            doc = np.repeat(batch.column(0).to_numpy(), rows.value_lengths().to_numpy())
+            ids, tags, starts, ends, drops, firsts = runs(doc, *[flat.field(f).to_numpy() for f in fields], settings)
             yield batch_of(
                 [
-                    ("doc_id", ids, pa.int64()), ("tag", tags, pa.int32()), ("start", start, pa.int32()),
-                    ("end", end, pa.int32()), ("drop", drop, pa.bool_()), ("first_doc", first, pa.int64()),
+                    ("doc_id", pa.array(ids, mask=ids == NO_ID), None), ("tag", tags, pa.int32()), ("start", starts, pa.int32()),
+                    ("end", ends, pa.int32()), ("drop", drops, pa.bool_()), ("first_doc", pa.array(firsts, mask=firsts == NO_ID), None),
                 ]
             )
 
-    grouped = chunks.groupBy("doc_id", "tag").agg(
-        F.collect_set(F.struct("start", "end", "words", "drop", "first_doc")).alias("rows")
-    )
     return grouped.mapInArrow(run, "doc_id long, tag int, start int, end int, drop boolean, first_doc long")
 
 
-def runs(chunks: list[tuple], settings: Settings) -> list[tuple[int, int, bool, int]]:
-    """Join the repeated chunks of one text, those to drop and those to keep apart, into passages."""
-    out = []
-    for drop in (True, False):
-        held: list = []
-        mine = (c for c in chunks if c[3] == drop)
-        for start, end, words, _, first in sorted(mine, key=lambda c: c[:3]):
-            if held and start <= held[-1][1] + 1:
-                last = held[-1]
-                # words of the overlap are shared out by length
-                last[3] += words * max(0, end - max(start, last[1])) / (end - start)
-                last[1] = max(last[1], end)
-                last[2] = None if last[2] is None or first is None else min(last[2], first)
-            else:
-                held.append([start, end, first, words])
-        out += [(s, e, drop, first) for s, e, first, words in held if words >= settings.run_words]
-    return out
+def runs(doc, tag, start, end, words, digest, first, settings: Settings) -> list[np.ndarray]:
+    """Join the repeated chunks of each text, those to drop and those to keep apart, into passages.
+
+    Of equal chunks in the first document the earliest is kept. Columns: doc, tag, start, end, drop, first.
+    """
+    order = np.lexsort((start, tag, digest, doc))
+    doc, tag, start, end, words, digest, first = (x[order] for x in (doc, tag, start, end, words, digest, first))
+    before = np.zeros(len(doc), bool)
+    before[1:] = (doc[1:] == doc[:-1]) & (digest[1:] == digest[:-1])
+    again = np.zeros(len(doc), bool)  # a repeated row's chunk
+    again[1:] = before[1:] & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])
+    drop = (first != doc) | before
+    order = np.lexsort((start, drop, tag, doc))
+    order = order[~again[order]]
+    doc, tag, start, end, words, drop, first = (x[order] for x in (doc, tag, start, end, words, drop, first))
+    if not len(doc):
+        return [doc, tag, start, end, drop, first]
+    same = (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (drop[1:] == drop[:-1])
+    text = np.concatenate([[0], np.cumsum(~same)])
+    reach = int(end.max()) + 2
+    reached = np.maximum.accumulate(end + text * reach) - text * reach
+    earlier = np.concatenate([[0], reached[:-1]])  # only looked at within a text
+    fresh = np.concatenate([[True], ~same | (start[1:] > earlier[1:] + 1)])
+    # words of an overlap are shared out by length
+    share = np.where(fresh, 1.0, np.maximum(0, end - np.maximum(start, earlier)) / np.maximum(1, end - start))
+    at = np.flatnonzero(fresh)
+    held = np.add.reduceat(words * share, at) >= settings.run_words
+    made = [doc[at], tag[at], start[at], np.maximum.reduceat(end, at), drop[at], np.minimum.reduceat(first, at)]
+    return [x[held] for x in made]
 
 
 def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -227,7 +237,7 @@ def repeated_passages(docs: DataFrame, settings: Settings = Settings()) -> DataF
         spans.alias("drop_spans"),
         kept.alias("kept_spans"),
         F.sort_array(F.collect_set(F.when(F.col("drop"), F.col("first_doc")))).alias("first_docs"),
-    )
+    ).drop("tag")
 
 
 def drop_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
