@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chunks, quality, simhash
+from sparkwarden.llm import chunks, packing, pii, quality, simhash
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,23 @@ def op9_chunks(spark, sf_dir):
         "doc_id", "n_kept", "n_dropped", "dropped_chars", _spans("drop_spans").alias("drop_spans"),
         _spans("kept_spans").alias("kept_spans"), "first_docs",
     )
+
+
+@query
+def op10_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def _digest(spans: Column) -> Column:
+    return F.sha2(F.array_join(spans, ",").cast("binary"), 256)
+
+
+@query
+def op5_pii(spark, sf_dir):
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind_no"] <= len(pii.BASE_KINDS))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], _digest(F.transform(base, text)).alias("base_sha256"),
+        F.array_join(F.transform("spans", text), ",").alias("spans"),
+    )
