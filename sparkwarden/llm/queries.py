@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chunks, packing, pii, quality, simhash
+from sparkwarden.llm import chunks, merkle, multi_index, packing, pii, quality, secrets, simhash
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,30 @@ def op5_pii(spark, sf_dir):
         "doc_id", *[f"n_{k}" for k in pii.BASE_KINDS], _digest(F.transform(base, text)).alias("base_sha256"),
         F.array_join(F.transform("spans", text), ",").alias("spans"),
     )
+
+
+@query
+def op1_multi_index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query
+def op3_merkle(spark, sf_dir):
+    return merkle.compared(table(spark, sf_dir, "documents"))
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+@query
+def op4_secrets(spark, sf_dir):
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    number = lambda s: F.array_position(F.array(*[F.lit(k) for k in secrets.KINDS]), s["kind"])
+    both = F.array_sort(F.transform(F.concat("base", "weak"), lambda s: F.struct(s["start"], number(s), text(s).alias("told"))))
+    return found.select(
+        "doc_id", *[_count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        _digest(F.transform("base", text)).alias("base_sha256"), F.array_join(F.transform(both, lambda s: s["told"]), ",").alias("spans"),
+    )
