@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chunks, merkle, multi_index, packing, pii, quality, secrets, simhash
+from sparkwarden.llm import chunks, merkle, multi_index, nbest, packing, pii, quality, secrets, simhash
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,12 @@ def op4_secrets(spark, sf_dir):
         "doc_id", *[_count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
         _digest(F.transform("base", text)).alias("base_sha256"), F.array_join(F.transform(both, lambda s: s["told"]), ",").alias("spans"),
     )
+
+
+@query
+def op6_nbest(spark, sf_dir):
+    found = nbest.segmentations(table(spark, sf_dir, "documents"), nbest.default_settings())
+    return found.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "scores",
+        "swaps", "round_trip",
+    )
