@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chunks, merkle, multi_index, nbest, packing, pii, quality, secrets, simhash
+from sparkwarden.llm import chunks, licenses, merkle, multi_index, nbest, packing, pii, quality, secrets, simhash
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op6_nbest(spark, sf_dir):
         "doc_id", F.size("ids").alias("n_pieces"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), "scores",
         "swaps", "round_trip",
     )
+
+
+@query
+def op8_licenses(spark, sf_dir):
+    found = licenses.licences(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
