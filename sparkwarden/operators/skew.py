@@ -1,4 +1,4 @@
-"""Keeping hot keys and total orders from landing in one task."""
+"""Keeping total orders from landing in one task."""
 
 from __future__ import annotations
 
@@ -9,28 +9,6 @@ from pyspark.sql import functions as F
 
 from sparkwarden.session import cut_lineage
 
-MAX_HEAVY_KEYS = 4096
-HEAVY_ROWS = 100_000
-
-
-def heavy_keys(
-    df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, max_keys: int = MAX_HEAVY_KEYS
-) -> list:
-    """The largest keys, None included, with at least ``min_rows`` rows; at most ``max_keys`` of them.
-
-    Whatever is not listed holds fewer than ``min_rows`` rows, or at most 1/max_keys of the table. The
-    counts combine before the shuffle and only this short list reaches the driver.
-    """
-    top = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_rows)
-        .orderBy(F.desc("n"), key)
-        .limit(max_keys)
-    )
-    return [row[0] for row in top.collect()]
-
-
 def number_rows(df: DataFrame, group: list[str], order: list[str], number: str, total: str) -> DataFrame:
     """``row_number`` and group size in a total order, without a whole group in one window task.
 

@@ -3,16 +3,15 @@
 The lifecycle is a chain (detected, candidate, validated, planned) with a way out to rejected from
 every link. For one id that leaves at most four accepted requests, each the earliest one of its kind
 after the one before. So instead of replaying a log row by row, its milestones are found with ``min``
-and every request is then judged against them.
+and every request is then judged against them. All ids take the same way, hot or not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.backlog import STATES
-from sparkwarden.operators.skew import HEAVY_ROWS, heavy_keys
 
 # Which states may follow which.
 ALLOWED_TRANSITIONS = {
@@ -39,68 +38,43 @@ def may_follow(state: Column, new_state: Column) -> Column:
 
 
 def _place() -> Column:
-    return F.struct("ts", "seq")
+    """Order of the requests of one id; what they ask for breaks ties of time and number."""
+    return F.struct("ts", "seq", "new_state")
 
 
-def _eligible(milestone: str) -> Column:
-    """Requests that can be this milestone, given the start state and the link before it."""
-    new_state, start = F.col("new_state"), F.col("start_state")
-    if milestone == "rejected":
-        return (new_state == "rejected") & start.isin(*[s for s in STATES if s != "rejected"])
-    link = CHAIN.index(milestone)
-    before = STATES[link]
-    reached = start == before
-    if link:
-        reached = reached | (_place() > F.col(f"at_{before}"))
-    return (new_state == milestone) & reached
-
-
-MILESTONES = ("candidate", "rejected", "validated", "planned")
-
-
-def _light(log: DataFrame, states: DataFrame) -> DataFrame:
-    """Ids of ordinary size: one shuffle by id, shared by the join and all windows."""
-    rows = log.join(states, "id", "left")
-    whole = Window.partitionBy("id")
-    for name in MILESTONES:
-        rows = rows.withColumn(f"at_{name}", F.min(F.when(_eligible(name), _place())).over(whole))
-    return rows
+def _first_after(log: DataFrame, states: DataFrame, link: str) -> DataFrame:
+    """``states`` with ``at_<link>``: where that link of the chain is reached, null if it never is.
 
+    The link before it is the start state, or has a place that must come first. ``states`` has one row per
+    id, so a hot id only repeats on the side of the log, where a skewed join is split; its rows then
+    combine to one before they are shuffled.
+    """
+    before = STATES[CHAIN.index(link)]
+    asked = log.filter(F.col("new_state") == link).select("id", _place().alias("place"))
+    reached = F.col("start_state") == before
+    if before in CHAIN:
+        reached = reached | (F.col("place") > F.col(f"at_{before}"))
+    found = asked.join(states, "id").filter(reached).groupBy("id").agg(F.min("place").alias(f"at_{link}"))
+    return states.join(found, "id", "left")
 
-def _heavy(log: DataFrame, states: DataFrame) -> DataFrame:
-    """The few hot ids: milestones by map-side combined ``min`` and broadcast, log rows never move.
 
-    ``states`` holds at most one row per listed id, which bounds every broadcast.
-    """
-    known = states
-    for name in MILESTONES:
-        found = (
-            log.join(F.broadcast(known), "id")
-            .filter(_eligible(name))
-            .groupBy("id")
-            .agg(F.min(_place()).alias(f"at_{name}"))
-        )
-        known = known.join(F.broadcast(found), "id", "left")
-    return log.join(F.broadcast(known), "id", "left")
-
-
-def judge_requests(backlog: DataFrame, log: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def judge_requests(backlog: DataFrame, log: DataFrame) -> DataFrame:
     """Every request of ``log(id, ts, seq, new_state, reason)`` with its outcome.
 
-    Requests of one id apply in (ts, seq) order. Output adds from_state, accepted and refusal
-    (invalid_state, not_found or not_allowed).
+    Requests of one id apply in (ts, seq, new_state) order; requests that repeat all three are one and
+    the same and get the same outcome. Output adds from_state, accepted and refusal (invalid_state, not_found
+    or not_allowed). Ids are those of ``backlog``, each once; a request without id is not found.
     """
     states = backlog.select("id", F.col("state").alias("start_state"), F.lit(True).alias("known"))
-    listed = heavy_keys(log, "id", heavy_rows)
-    if listed:
-        hot = [key for key in listed if key is not None]
-        # requests without an id are just one more hot key
-        is_hot = F.coalesce(F.col("id").isin(hot), F.lit(None in listed))
-        rows = _light(log.filter(~is_hot), states).unionByName(
-            _heavy(log.filter(is_hot), states.filter(F.col("id").isin(hot)))
-        )
-    else:
-        rows = _light(log, states)
+    requests = log.select("id", "ts", "seq", "new_state").filter(F.col("id").isNotNull())
+    # from the start state alone: any state but rejected may be rejected
+    left = requests.filter("new_state = 'rejected'").groupBy("id").agg(F.min(_place()).alias("at_rejected"))
+    known = states.join(left, "id", "left").withColumn(
+        "at_rejected", F.when(F.col("start_state").isin(*[s for s in STATES if s != "rejected"]), F.col("at_rejected"))
+    )
+    for link in CHAIN:
+        known = _first_after(requests, known, link)
+    rows = log.join(known, "id", "left")
 
     current = F.col("start_state")
     for name in (*CHAIN, "rejected"):

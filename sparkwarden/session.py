@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # An aggregate above a join on its key must not keep a hot key in one task.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Arrow batches carry whole files and prompts: bound them by size, not only by row count.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
@@ -59,12 +61,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core before row-multiplying work.
-
-    For plain table reads. Only an input with fewer splits than cores is shuffled, which by
-    construction is a small one; a large table keeps its own splits and is not moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sparkwarden.operators import backlog as B
 from sparkwarden.operators.hypotheses import build_hypotheses, signal_chunks
 from sparkwarden.operators.proposals import build_proposals
-from sparkwarden.operators.skew import heavy_keys, number_rows
+from sparkwarden.operators.skew import number_rows
 from sparkwarden.operators.trace import validation_events
 from sparkwarden.operators.transitions import ALLOWED_TRANSITIONS, judge_requests, move_states
 from sparkwarden.sources import stores
@@ -93,8 +93,7 @@ def replay(states, log):
     return states, out
 
 
-@pytest.mark.parametrize("heavy_rows", [10**9, 25])
-def test_transitions_equal_a_replay(spark, heavy_rows):
+def test_transitions_equal_a_replay(spark):
     draw = random.Random(9)
     names = list(ALLOWED_TRANSITIONS) + ["archived"]
     states = {f"p{i}": draw.choice(names) for i in range(40)}
@@ -107,12 +106,30 @@ def test_transitions_equal_a_replay(spark, heavy_rows):
     states["p0"] = "detected"
     backlog = spark.createDataFrame([(k, v, 0) for k, v in states.items()], "id STRING, state STRING, updated_at INT")
     frame = spark.createDataFrame(log, "id STRING, ts INT, seq BIGINT, new_state STRING, reason STRING")
-    judged = judge_requests(backlog, frame, heavy_rows).cache()
+    judged = judge_requests(backlog, frame).cache()
     after, want = replay(states, log)
     assert {r.seq: (r.from_state, r.accepted, r.refusal) for r in judged.collect()} == want
     assert {r.id: r.state for r in move_states(backlog, judged).collect()} == after
 
 
+def test_one_hot_id_among_many(spark):
+    draw = random.Random(12)
+    names = ["detected", "candidate", "validated", "planned", "rejected", "odd"]
+    ids = ["hot"] + [f"w{i}" for i in range(10_000)]
+    states = {k: draw.choice(names[:2]) for k in ids}
+    # the hot id holds nine tenths of the log; ties of time and number are settled by what is asked for
+    log = [("hot", draw.randint(0, 9), n % 50, draw.choice(names), None) for n in range(90_000)]
+    log += [(k, n, n, draw.choice(names), None) for n, k in enumerate(ids[1:])]
+    log = sorted({r[:4] for r in log}, key=lambda r: r[1:])
+    backlog = spark.createDataFrame([(k, v, 0) for k, v in states.items()], "id STRING, state STRING, updated_at INT")
+    frame = spark.createDataFrame([(*r, None) for r in log], "id STRING, ts INT, seq BIGINT, new_state STRING, reason STRING")
+    judged = judge_requests(backlog, frame)
+    after, want = replay(states, [(k, ts, n, new, None) for n, (k, ts, _, new) in enumerate(log)])
+    place = {(k, ts, seq, new): want[n] for n, (k, ts, seq, new) in enumerate(log)}
+    assert {(r.id, r.ts, r.seq, r.new_state): (r.from_state, r.accepted, r.refusal) for r in judged.collect()} == place
+    assert {r.id: r.state for r in move_states(backlog, judged).collect()} == after
+
+
 def test_validation_events(spark):
     rows = [("a", 1, 1, "validated", "fine", True), ("b", 1, 2, "rejected", "", True), ("c", 1, 3, "planned", "x", True), ("d", 1, 4, "rejected", "x", False)]
     judged = spark.createDataFrame(rows, "id STRING, ts INT, seq INT, new_state STRING, reason STRING, accepted BOOLEAN")
@@ -139,7 +156,7 @@ def test_hypotheses(spark):
     ]
 
 
-def test_number_rows_and_heavy_keys(spark):
+def test_number_rows(spark):
     rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"k{i % 7}", (i * 37) % 11, i) for i in range(500)]
     frame = spark.createDataFrame(rows, "k STRING, t INT, n INT")
     got = {r.n: (r.at, r.total) for r in number_rows(frame, ["k"], ["t", "n"], "at", "total").collect()}
@@ -147,6 +164,4 @@ def test_number_rows_and_heavy_keys(spark):
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
         for place, row in enumerate(ordered, 1):
             assert got[row[2]] == (place, len(ordered))
-    assert heavy_keys(frame, "k", min_rows=100) == ["hot"]
-    assert heavy_keys(frame, "k", min_rows=40) == ["hot", None]
-    assert heavy_keys(frame, "k", min_rows=1, max_keys=2)[0] == "hot"
+
