@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.functions.json_text import BRACE_BLOCK
+from sparkwarden.operators.responses import DIRECT, NOISY
+
 HIT_SCHEMA = (
     "file_path STRING, rule_id STRING, line_number INT, code_snippet STRING, context STRING, "
     "severity STRING, confidence DOUBLE, error STRING"
@@ -19,11 +25,12 @@ HIT_ARROW = pa.schema(
 )
 ANSWER_SCHEMA = (
     "run_id STRING, file_path STRING, analysis_type STRING, call_ok BOOLEAN, timed_out BOOLEAN, "
-    "raw STRING, error STRING, execution_time DOUBLE"
+    "raw STRING, error STRING, completed_at TIMESTAMP, execution_time DOUBLE"
 )
 ANSWER_ARROW = pa.schema(
     [("run_id", pa.string()), ("file_path", pa.string()), ("analysis_type", pa.string()), ("call_ok", pa.bool_()),
-     ("timed_out", pa.bool_()), ("raw", pa.string()), ("error", pa.string()), ("execution_time", pa.float64())]
+     ("timed_out", pa.bool_()), ("raw", pa.string()), ("error", pa.string()),
+     ("completed_at", pa.timestamp("us", "UTC")), ("execution_time", pa.float64())]
 )
 ROWS_PER_BATCH = 2_000
 
@@ -66,17 +73,39 @@ def python_rule(corpus: DataFrame, rule_id: str, detect: Detector, severity: str
     )
 
 
+def _json(text: str):
+    """The value of a strict JSON text; None for JSON null and for anything else."""
+    def refuse(name: str):
+        raise ValueError(name)
+
+    try:
+        return json.loads(text, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
+
+
+def has_usable_json(mode: str, raw: str) -> bool:
+    """Whether an answer needs no further attempt, read as ``parse_direct`` and ``parse_noisy`` do."""
+    if mode == DIRECT:
+        inner = re.search(r"\{.*\}", raw, re.DOTALL)
+        return _json(raw) is not None or (inner is not None and _json(inner.group()) is not None)
+    if mode == NOISY:
+        values = (_json(text) for text in [*(m.group() for m in re.finditer(BRACE_BLOCK, raw)), raw.strip()])
+        return bool(next((v for v in values if isinstance(v, dict)), None))
+    return True
+
+
 def analyze_batch(tasks: DataFrame, analyzer_id: str, analyzer_ord: int, mode: str, call: Analyzer,
                   parallel_calls: int | None = None, attempts: int = 1, pause: float = 0.0) -> DataFrame:
     """Call ``call(system_prompt, user_prompt)`` for every task that has prompts; raw answers out.
 
-    A call that raises is a failed attempt and may be repeated up to ``attempts`` times, ``pause``
-    seconds apart, one row each. ``parallel_calls`` bounds the calls in flight for an external service
-    by running in that many partitions.
+    A noisy analyzer gets the full prompt as its user prompt and an empty system prompt. A call that
+    raises and an answer without usable JSON are failed attempts and may be repeated up to ``attempts``
+    times, ``pause`` seconds apart, one row each; in noisy mode a timeout is not repeated.
+    ``parallel_calls`` bounds the calls in flight for an external service by running in that many partitions.
     """
-    ready = tasks.filter(F.col("error").isNull()).select(
-        "run_id", "file_path", "analysis_type", "prompt_system", "prompt_user"
-    )
+    prompts = (F.lit(""), F.col("prompt_full")) if mode == NOISY else (F.col("prompt_system"), F.col("prompt_user"))
+    ready = tasks.filter(F.col("error").isNull()).select("run_id", "file_path", "analysis_type", *prompts)
     if parallel_calls:
         ready = ready.repartition(parallel_calls)
 
@@ -87,13 +116,15 @@ def analyze_batch(tasks: DataFrame, analyzer_id: str, analyzer_ord: int, mode: s
                 for attempt in range(1, attempts + 1):
                     row = {"run_id": run_id, "file_path": path, "analysis_type": kind, "attempt": attempt,
                            "call_ok": True, "timed_out": False}
-                    began = time.monotonic()
+                    began, done = time.monotonic(), False
                     try:
                         row["raw"] = call(system, user)
+                        done = has_usable_json(mode, row["raw"] or "")
                     except Exception as exc:
                         row |= {"call_ok": False, "timed_out": isinstance(exc, TimeoutError), "error": str(exc)}
-                    yield row | {"execution_time": time.monotonic() - began}
-                    if row["call_ok"]:
+                        done = mode == NOISY and row["timed_out"]
+                    yield row | {"completed_at": datetime.now(UTC), "execution_time": time.monotonic() - began}
+                    if done:
                         break
                     if attempt < attempts:
                         time.sleep(pause)
@@ -107,7 +138,5 @@ def analyze_batch(tasks: DataFrame, analyzer_id: str, analyzer_ord: int, mode: s
         F.lit(analyzer_id).alias("analyzer_id"),
         F.lit(analyzer_ord).alias("analyzer_ord"),
         F.lit(mode).alias("mode"),
-        "attempt", "call_ok", "timed_out", "raw", "error",
-        F.lit(None).cast("timestamp").alias("completed_at"),
-        "execution_time",
+        "attempt", "call_ok", "timed_out", "raw", "error", "completed_at", "execution_time",
     )

@@ -71,9 +71,9 @@ def findings_view(results: DataFrame) -> DataFrame:
     finding = F.col("finding")
 
     def shown(name: str) -> Column:
-        # what a page treats as absent: no value, empty text, zero, false
-        text = text_field(finding, name)
-        return F.when(~text.isin("", "0", "false"), text)
+        # what a page treats as absent: no value, empty text, the number zero, false
+        value = F.to_json(F.try_variant_get(finding, f"$.{name}", "variant"))
+        return F.when(~value.rlike(r'\A(null|""|false|-?0+(\.0+)?)\z'), text_field(finding, name))
 
     present = finding.isNotNull()
     return exploded.select(

@@ -59,7 +59,9 @@ def resolve_attempts(responses: DataFrame, max_retries: int = 2) -> DataFrame:
 def analyzer_results(resolved: DataFrame, max_retries: int = 2) -> DataFrame:
     """Success, findings, score and messages of each analyzer's deciding attempt.
 
-    ``abort`` carries the message of a parsed value that breaks the task altogether.
+    ``abort`` carries the message of a parsed value that breaks the task altogether. ``ends`` marks what
+    no later analyzer comes after: such a value, or a noisy answer whose findings cannot be listed. The latter
+    has succeeded by then, so the task is a success without findings, score or text from it.
     """
     mode, ok = F.col("mode"), F.col("usable") & ~((F.col("mode") == NOISY) & F.col("timed_out"))
     found = resolved.withColumn("ok", ok).withColumn(
@@ -68,16 +70,12 @@ def analyzer_results(resolved: DataFrame, max_retries: int = 2) -> DataFrame:
         .when(mode == NOISY, J.findings_noisy(F.col("parsed")))
         .otherwise(F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")),
     )
-    abort = F.when(
-        F.col("ok"),
-        F.when(mode == DIRECT, J.abort_direct(F.col("parsed"), F.col("raw"))).when(
-            (mode == NOISY) & F.col("findings").isNull(), F.lit("value is not iterable")
-        ),
-    )
+    abort = F.when(F.col("ok") & (mode == DIRECT), J.abort_direct(F.col("parsed"), F.col("raw")))
+    unlisted = F.col("ok") & (mode == NOISY) & F.col("findings").isNull()
     error = (
         F.when(F.col("ok") | (mode == NOISY), F.lit(None).cast("string"))
         .when((mode == DIRECT) & F.col("call_ok"), F.lit(NO_JSON))
-        .when(mode == DIRECT, F.lit(CALL_FAILED.format(attempts=max_retries + 1)))
+        .when(mode == DIRECT, F.replace(F.lit(CALL_FAILED), F.lit("{attempts}"), F.col("attempt").cast("string")))
         .otherwise(F.col("error"))
     )
     return found.select(
@@ -86,9 +84,10 @@ def analyzer_results(resolved: DataFrame, max_retries: int = 2) -> DataFrame:
         "analyzer_ord",
         F.col("ok").alias("success"),
         abort.alias("abort"),
+        (abort.isNotNull() | unlisted).alias("ends"),
         F.when(F.col("ok"), F.col("findings")).alias("findings"),
         F.when(
-            F.col("ok"),
+            F.col("ok") & ~unlisted,
             F.when(mode == DIRECT, J.score_direct(F.col("parsed")).cast("string")).when(
                 mode == NOISY, J.score_noisy(F.col("parsed"))
             ),
@@ -104,17 +103,18 @@ def merge_analyzers(results: DataFrame) -> DataFrame:
     """One row per task over its analyzers, in analyzer order.
 
     The input has one row per task and analyzer, so an array holds at most as many items as analyzers
-    are configured. Nothing after an aborting analyzer counts.
+    are configured. Nothing after an analyzer that ends the task counts, and of that one only whether it
+    had succeeded.
     """
     item = F.struct(
-        "analyzer_ord", "analyzer_id", "success", "abort", "findings", "score", "raw_output", "error"
+        "analyzer_ord", "analyzer_id", "success", "abort", "ends", "findings", "score", "raw_output", "error"
     )
     grouped = results.groupBy(*TASK_KEY).agg(
         F.array_sort(
             F.collect_list(item),
             lambda a, b: (a["analyzer_ord"] - b["analyzer_ord"]).cast("int"),
         ).alias("all"),
-        F.min(F.when(F.col("abort").isNotNull(), F.col("analyzer_ord"))).alias("stop"),
+        F.min(F.when(F.col("ends"), F.col("analyzer_ord"))).alias("stop"),
         F.max("completed_at").alias("completed_at"),
         F.sum("execution_time").alias("execution_time"),
     )
@@ -132,9 +132,12 @@ def merge_analyzers(results: DataFrame) -> DataFrame:
             F.filter("reached", lambda r: ~r["success"] & (F.coalesce(r["error"], F.lit("")) != "")),
             lambda r: F.concat(r["analyzer_id"], F.lit(": "), r["error"]),
         ),
-        F.transform(F.filter("all", lambda r: r["analyzer_ord"] == F.col("stop")), lambda r: r["abort"]),
+        F.transform(
+            F.filter("all", lambda r: (r["analyzer_ord"] == F.col("stop")) & r["abort"].isNotNull()), lambda r: r["abort"]
+        ),
     )
-    success = F.size("good") > 0
+    ended_well = F.exists("all", lambda r: (r["analyzer_ord"] == F.col("stop")) & r["success"] & r["abort"].isNull())
+    success = (F.size("good") > 0) | F.coalesce(ended_well, F.lit(False))
     return good.select(
         *TASK_KEY,
         success.alias("success"),

@@ -90,13 +90,15 @@ def audit_tasks(files: DataFrame, requested: Sequence[str], types: DataFrame) ->
     """One task per file and requested analysis type.
 
     The short type list is unfolded on each row (no join over pairs); the type table, as small as the
-    configuration, is looked up by broadcast. A type it lacks leaves an error instead of a template.
+    configuration, is looked up by broadcast. A type it lacks leaves an error instead of a template, and
+    so does a file that could not be read (column ``error`` of the corpus, where there is one).
     """
     names = F.array(*[F.lit(n) for n in requested]).cast("array<string>")
+    unread = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     return (
         files.select("*", F.explode(names).alias("analysis_type"))
         .join(F.broadcast(types.select("analysis_type", "type_name", "prompt_template")), "analysis_type", "left")
-        .withColumn("error", F.when(F.col("type_name").isNull(), UNKNOWN_TYPE))
+        .withColumn("error", F.coalesce(F.when(F.col("type_name").isNull(), UNKNOWN_TYPE), unread))
     )
 
 
@@ -134,9 +136,10 @@ def user_prompt(prompt_template: Column, file_path: Column, root: Column, conten
 
 
 def with_prompts(tasks: DataFrame, practices: str = "") -> DataFrame:
-    """Tasks with their system and user prompt; unknown types get none."""
+    """Tasks with their system, user and full prompt; those with an error get none."""
     known = F.col("error").isNull()
-    return tasks.withColumn("prompt_system", F.when(known, system_prompt(F.lit(practices)))).withColumn(
+    full = full_prompt(F.coalesce("prompt_template", F.lit("")), F.col("file_path"), F.lit(practices))
+    return tasks.withColumn("prompt_full", F.when(known, full)).withColumn("prompt_system", F.when(known, system_prompt(F.lit(practices)))).withColumn(
         "prompt_user",
         F.when(
             known,

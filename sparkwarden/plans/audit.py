@@ -15,7 +15,7 @@ from sparkwarden.operators.reports import report_metadata, report_name, report_r
 from sparkwarden.operators.responses import TASK_KEY, audit_results
 from sparkwarden.operators.tasks import audit_tasks, discover_files, with_prompts
 from sparkwarden.session import cut_lineage
-from sparkwarden.sources.config import AuditConfig
+from sparkwarden.sources.config import AuditConfig, best_practices
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def static_responses(files: DataFrame, tasks: DataFrame, config: AuditConfig, an
 
 
 def failed_tasks(tasks: DataFrame) -> DataFrame:
-    """Result rows of tasks that could not start (unknown analysis type)."""
+    """Result rows of tasks that could not start: unknown analysis type, unreadable file."""
     return tasks.filter(F.col("error").isNotNull()).select(
         *TASK_KEY, F.lit(False).alias("success"), F.array().cast("array<variant>").alias("findings"),
         F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("raw_output"), "error",
@@ -71,35 +71,51 @@ def audit_run(
     project_path: str,
     calls: Mapping[str, Analyzer] | None = None,
     practices: str = "",
-    max_retries: int = 2,
+    practices_paths: Sequence[str] = (),
+    model_id: str | None = None,
+    parallel_calls: int | None = None,
+    pause: float = 0.0,
     lint_results: DataFrame | None = None,
 ) -> AuditRun:
     """Audit all files of a platform with the configured analyzers.
 
     ``calls`` maps analyzer ids to functions that take the two prompts and return raw text; an
-    analyzer without one counts as unavailable. Each file is read once and unfolded to its tasks.
+    analyzer without one counts as unavailable. Failed attempts are repeated as often as the configuration
+    allows, ``pause`` seconds apart. A file that could not be read (``error`` of the corpus) gives failed
+    results. ``practices_paths`` are tried in order where ``practices`` is empty. Without files the run is
+    empty, whatever analyzers there are. Results are stored once; all tables read them.
     """
     calls = calls or {}
     spark = corpus.sparkSession
     target = config.platform(platform)
     if target is None:
         raise ValueError(f"unknown platform: {platform}")
-    chosen = config.analyzers(set(calls))
     files = discover_files(corpus, target.extensions, config.path_filter())
+    empty = files.select("file_path").isEmpty()
+    chosen = [] if empty else config.analyzers(set(calls))
     types = config.type_dimension(spark, platform)
+    practices = practices or best_practices(spark, *practices_paths)
     tasks = with_prompts(audit_tasks(files, requested, types), practices).withColumn("run_id", F.lit(run_id))
+    retries = {name: config.max_retries(name) for name, _ in chosen}
     answers = [
-        static_responses(files, tasks, config, i) if name == "static" else analyze_batch(tasks, name, i, mode, calls[name])
+        static_responses(files, tasks, config, i)
+        if name == "static"
+        else analyze_batch(tasks, name, i, mode, calls[name], parallel_calls, retries[name] + 1, pause)
         for i, (name, mode) in enumerate(chosen)
     ]
-    # answers are expensive and reused by every report table: store them
-    responses = cut_lineage(reduce(DataFrame.unionByName, answers))
-    results = audit_results(responses, max_retries).unionByName(failed_tasks(tasks))
+    results = failed_tasks(tasks)
+    if answers:
+        # a call is made once: its answer is stored before anything reads it twice
+        responses = cut_lineage(reduce(DataFrame.unionByName, answers))
+        results = audit_results(responses, max(retries.values())).unionByName(results)
+    results = cut_lineage(results)
     if lint_results is not None:
         results = results.join(lint_results, "file_path", "left")
     at = F.to_timestamp(F.lit(as_of))
+    model = config.model(model_id) or {}
     meta = report_metadata(results, at).select(
         "*", F.lit(project_path).alias("project_path"), F.lit(target.name).alias("platform"),
+        F.struct(*[F.lit(model.get(k)).cast("string").alias(k) for k in ("id", "name", "type")]).alias("model"),
         report_name(F.lit(target.name), at).alias("report_file"),
     )
     return AuditRun(results=results, meta=meta, report=report_results(results))

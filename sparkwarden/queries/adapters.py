@@ -48,9 +48,9 @@ _FINDING = (
     """'{"category":"c' || CAST(user_id % 4 AS STRING) || '","description":"d' || CAST(event_id AS STRING)"""
     """ || '","line_number":' || CAST(user_id % 3 AS STRING) || ',"severity":"' || """ + _SEVERITY + """ || '"}'"""
 )
-_BARE = """'{"code_snippet":"","severity":"","type":"t' || CAST(user_id % 2 AS STRING) || '"}'"""
+_BARE = """'{"category":false,"code_snippet":"0","severity":"","type":"t' || CAST(user_id % 2 AS STRING) || '"}'"""
 
-RAW = f"""CASE event_id % 16
+RAW = f"""CASE event_id % 19
  WHEN 0 THEN '{{"findings":[' || {_FINDING} || ',' || {_BARE} || '],"overall_score":85}}'
  WHEN 1 THEN 'Here you go: {{"issues":[' || {_FINDING} || '],"quality_score":"77"}} thanks'
  WHEN 2 THEN '{{"note":1}} then {{"security_score":true,"vulnerabilities":[' || {_FINDING} || ']}}'
@@ -66,6 +66,9 @@ RAW = f"""CASE event_id % 16
  WHEN 12 THEN '{{"findings":[],"quality_score":"7x","security_score":3}}'
  WHEN 13 THEN '{{''a'':1}} or {{"b":2'
  WHEN 14 THEN '{{"security_score":-4.6,"vulnerabilities":[' || {_FINDING} || ']}} trailing'
+ WHEN 15 THEN '{{"findings":5,"overall_score":60}}'
+ WHEN 16 THEN '{{"findings":null,"issues":[' || {_FINDING} || ']}}'
+ WHEN 17 THEN '{{"findings":[' || {_FINDING} || '],"overall_score":51}}'
  ELSE '["overall_score"]' END"""
 RAW = RAW.replace("{''a'':1}", "{' || chr(39) || 'a' || chr(39) || ':1}")
 
@@ -78,7 +81,8 @@ RESPONSES = {
     "analysis_type": f"CASE {_TASK} % 4 WHEN 0 THEN 'deep_scan' WHEN 1 THEN 'security_scan' "
     "WHEN 2 THEN 'code_quality' ELSE 'performance' END",
     "analyzer_id": "CASE WHEN event_id % 6 < 3 THEN 'llm' ELSE 'aider' END",
-    "analyzer_ord": "CASE WHEN event_id % 6 < 3 THEN 0 ELSE 1 END",
+    # the noisy analyzer comes first in every other task
+    "analyzer_ord": f"CASE WHEN (event_id % 6 < 3) = ({_TASK} % 2 = 0) THEN 0 ELSE 1 END",
     "mode": "CASE WHEN event_id % 6 < 3 THEN 'direct' ELSE 'noisy' END",
     "attempt": "CAST(event_id % 3 + 1 AS INT)",
     "call_ok": "event_id % 11 <> 0",

@@ -342,6 +342,7 @@ RESOLVED = {
  ORDER BY CASE WHEN final THEN 0 ELSE 1 END, CASE WHEN final THEN attempt ELSE -attempt END) AS rn FROM marked) WHERE rn = 1""",
 }
 _OK = "(usable AND NOT (mode = 'noisy' AND timed_out))"
+_SUCCESS = "COALESCE(bool_or(ok) FILTER (WHERE reached OR (unlisted AND analyzer_ord = stop)), FALSE)"
 RESULTS = RESOLVED | {
     "read_rows": f"""SELECT *, {_OK} AS ok,
  CASE WHEN {_OK} AND mode = 'direct' THEN {direct_abort('parsed')} END AS abort,
@@ -350,14 +351,15 @@ RESULTS = RESOLVED | {
  CASE WHEN NOT {_OK} THEN NULL WHEN mode = 'direct' THEN CASE WHEN json_type(parsed) = 'OBJECT' THEN CAST({direct_score('parsed')} AS VARCHAR) END
    ELSE {noisy_score('parsed')} END AS score_text,
  CASE WHEN {_OK} OR mode = 'noisy' THEN NULL WHEN call_ok THEN {quote(responses.NO_JSON)}
-   ELSE {quote(responses.CALL_FAILED.format(attempts=3))} END AS message FROM chosen""",
-    "stops": f"""SELECT *, min(CASE WHEN abort IS NOT NULL THEN analyzer_ord END) OVER (PARTITION BY {_KEY}) AS stop FROM read_rows""",
+   ELSE 'Chiamata LLM fallita dopo ' || CAST(attempt AS VARCHAR) || ' tentativi' END AS message,
+ {_OK} AND mode = 'noisy' AND {noisy_findings('parsed')} IS NULL AS unlisted FROM chosen""",
+    "stops": f"""SELECT *, min(CASE WHEN abort IS NOT NULL OR unlisted THEN analyzer_ord END) OVER (PARTITION BY {_KEY}) AS stop FROM read_rows""",
     "sided": "SELECT *, (stop IS NULL OR analyzer_ord < stop) AS reached FROM stops",
-    "results": f"""SELECT {_KEY}, COALESCE(bool_or(ok) FILTER (WHERE reached), FALSE) AS success,
+    "results": f"""SELECT {_KEY}, {_SUCCESS} AS success,
  COALESCE(flatten(list(from_json(found, '["JSON"]') ORDER BY analyzer_ord) FILTER (WHERE reached AND ok)), []) AS findings,
  first(score_text ORDER BY analyzer_ord DESC) FILTER (WHERE reached AND ok AND score_text IS NOT NULL) AS score,
  string_agg(raw, chr(10) || chr(10) ORDER BY analyzer_ord) FILTER (WHERE reached AND ok AND raw <> '') AS raw_output,
- CASE WHEN COALESCE(bool_or(ok) FILTER (WHERE reached), FALSE) THEN NULL ELSE COALESCE(
+ CASE WHEN {_SUCCESS} THEN NULL ELSE COALESCE(
    string_agg(CASE WHEN analyzer_ord = stop THEN abort ELSE analyzer_id || ': ' || message END, '; ' ORDER BY analyzer_ord)
    FILTER (WHERE (reached AND NOT ok AND message IS NOT NULL) OR analyzer_ord = stop), {quote(responses.FAILED)}) END AS error,
  max(completed_at) AS completed_at, round(sum(execution_time), 4) AS execution_time
@@ -373,8 +375,8 @@ META = f"""SELECT run_id, {quote(A.ROOT)} AS project_path, 'Python Backend' AS p
 
 
 def _shown(name: str) -> str:
-    text = f"json_extract_string(f, '$.{name}')"
-    return f"CASE WHEN {text} NOT IN ('', '0', 'false') THEN {text} END"
+    value, text = f"CAST(json_extract(f, '$.{name}') AS VARCHAR)", f"json_extract_string(f, '$.{name}')"
+    return f"CASE WHEN {value} NOT IN ('null', '\"\"', '0', '0.0', 'false') THEN {text} END"
 
 
 FINDINGS_VIEW = f"""SELECT {_KEY}, CAST(position - 1 AS INT) AS position,
@@ -631,8 +633,22 @@ def oracle_sql() -> dict[str, str]:
             requests,
             f"""SELECT file_path, analysis_type, success, CAST(CASE WHEN success THEN 2 ELSE 0 END AS INT) AS findings,
  CASE WHEN success THEN CAST(size % 100 AS VARCHAR) END AS score, CASE WHEN size % 7 = 0 THEN
- 'llm: {responses.CALL_FAILED.format(attempts=3)}' WHEN size % 11 = 0 THEN 'llm: {responses.NO_JSON}' END AS error
+ 'llm: Chiamata LLM fallita dopo 3 tentativi' WHEN size % 11 = 0 THEN 'llm: {responses.NO_JSON}' END AS error
  FROM (SELECT *, {size} AS size, ({size} % 7 <> 0 AND {size} % 11 <> 0) AS success FROM made)""",
+        ),
+        "audit_run": with_ctes(
+            task_rows(("deep_scan", "code_quality", "no_such_scan")) | scan() | {
+                "per_file": "SELECT file_path, count(*) AS n FROM found GROUP BY file_path",
+                "sized": f"""SELECT file_path, analysis_type, {size} AS s, length({FULL_PROMPT}) AS n,
+ COALESCE(error, CASE WHEN length(content) % 13 = 0 THEN 'cannot read' END) AS failure FROM made""",
+                "told": """SELECT *, s % 7 <> 0 AND s % 17 = 0 AS ended, s % 7 <> 0 AND s % 11 <> 0 AS listed FROM sized""",
+            },
+            """SELECT t.file_path, analysis_type, failure IS NULL AND NOT ended AS success,
+ CAST(CASE WHEN failure IS NOT NULL OR ended THEN 0 ELSE CASE WHEN listed THEN 2 ELSE 0 END
+   + CASE t.n % 3 WHEN 0 THEN COALESCE(p.n, 0) WHEN 1 THEN 1 + COALESCE(p.n, 0) ELSE 0 END END AS INT) AS findings,
+ CASE WHEN failure IS NULL AND NOT ended AND listed THEN CAST(s % 100 AS VARCHAR) END AS score,
+ COALESCE(failure, CASE WHEN ended THEN 'list indices must be integers or slices, not str' END) AS error,
+ failure IS NULL AS completed FROM told t LEFT JOIN per_file p USING (file_path)""",
         ),
         "linter_status": LINT_ROWS,
         "linter_files": LINT_FILES,

@@ -18,10 +18,11 @@ from sparkwarden.operators.proposals import build_proposals, first_evidence, sig
 from sparkwarden.operators.responses import analyzer_results, audit_results, merge_analyzers, resolve_attempts
 from sparkwarden.operators.rules import BUILTIN_RULES, Rule, configured_rules, match_rules, numbered_lines
 from sparkwarden.operators.transitions import judge_requests, move_states
+from sparkwarden.plans import audit
 from sparkwarden.queries import adapters as A
 from sparkwarden.session import cut_lineage, prepare, scratch_path
 from sparkwarden.sources import stores
-from sparkwarden.sources.config import default_config
+from sparkwarden.sources.config import AuditConfig, default_config
 from sparkwarden.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -466,23 +467,54 @@ def redact_messages(spark, sf_dir):
     return rows.select("event_id", redact(F.col("message"), F.col("secret")).alias("message"))
 
 
-@query
-def analyze_tasks(spark, sf_dir):
+def _answering(failing: str | None = None):
+    """An analyzer whose answers, and how many attempts they take, depend on the length of its prompt alone."""
+    tried: dict[str, int] = {}
+
     def answer(system: str, user: str) -> str:
         size = len(user)
-        if size % 7 == 0:
+        tried[user] = tried.get(user, 0) + 1
+        if size % 7 == 0 or (size % 5 == 0 and tried[user] < 3):
             raise RuntimeError("refused")
+        if size % 17 == 0 and failing:
+            return failing
         if size % 11 == 0:
             return "nothing to report"
         return f'Sure: {{"findings":[{{"severity":"high"}},{{"severity":"low"}}],"overall_score":{size % 100}}}'
 
+    return answer
+
+
+@query
+def analyze_tasks(spark, sf_dir):
     made = _prompt_tasks(spark, sf_dir, ("deep_scan", "code_quality"))
-    answers = plugins.analyze_batch(made, "llm", 0, "direct", answer)
+    answers = plugins.analyze_batch(made, "llm", 0, "direct", _answering(), attempts=3)
     return audit_results(answers).select(
         "file_path", "analysis_type", "success", F.size("findings").alias("findings"), "score", "error"
     )
 
 
+@query
+def audit_run(spark, sf_dir):
+    """The whole plan: three analyzers, repeated attempts, answers that end a task, unreadable files, an unknown type."""
+
+    def aider(system: str, user: str) -> str:
+        if len(user) % 3 == 0:
+            raise TimeoutError("slow")
+        return 'Done. {"findings":[{"severity":"critical"}]}' if len(user) % 3 == 1 else '{"findings":null,"overall_score":1}'
+
+    chosen = AuditConfig(default_config().data | {"analyzers": {"llm": {"max_retries": 2}, "aider": {"max_retries": 1}, "static": {}}})
+    corpus = _corpus(spark, sf_dir).withColumn("error", F.when(F.length("content") % 13 == 0, "cannot read"))
+    calls = {"llm": _answering('["overall_score"]'), "aider": aider}
+    run = audit.audit_run(
+        corpus, chosen, "python", ("deep_scan", "code_quality", "no_such_scan"), "run0", A.AS_OF, A.ROOT, calls, practices=PRACTICES
+    )
+    return run.results.select(
+        "file_path", "analysis_type", "success", F.size("findings").alias("findings"), "score", "error",
+        F.col("completed_at").isNotNull().alias("completed"),
+    )
+
+
 # ---- linters ------------------------------------------------------------------------------------
 
 

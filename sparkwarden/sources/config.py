@@ -14,10 +14,12 @@ from sparkwarden.operators.responses import ANALYZER_MODES
 from sparkwarden.operators.rules import Rule, configured_rules
 from sparkwarden.operators.tasks import TYPE_SCHEMA
 
+# The refusal without analyzers, and repeated attempts unless configured.
 NO_ANALYZERS = (
     "No audit analyzers are available. "
     "Configure an enabled backend or install its runtime dependency."
 )
+MAX_RETRIES = 2
 
 # Default platforms, linters and excluded paths. Prompt templates are configuration too;
 # bring your own by loading a configuration file of the same layout.
@@ -140,12 +142,13 @@ class AuditConfig:
     def analyzers(self, available: set[str], static_fallback: bool = False) -> list[tuple[str, str]]:
         """(analyzer id, mode) of the enabled and available backends in configured order.
 
+        Without any configured, the top-level ``aider`` section stands for them unless it is disabled.
         Entries that are no objects or name an unknown backend are skipped. With none left either the
         static analyzer steps in or the audit is refused.
         """
         chosen = [
             (name, ANALYZER_MODES[name])
-            for name, options in (self.data.get("analyzers") or {}).items()
+            for name, options in self._analyzer_options().items()
             if isinstance(options, dict)
             and options.get("enabled", True)
             and name in ANALYZER_MODES
@@ -157,6 +160,13 @@ class AuditConfig:
             raise RuntimeError(NO_ANALYZERS)
         return chosen
 
+    def _analyzer_options(self) -> dict:
+        configured, aider = self.data.get("analyzers"), self.data.get("aider", {})
+        return configured or ({"aider": aider} if aider.get("enabled", True) else {})
+
+    def max_retries(self, analyzer: str) -> int:
+        return int((self._analyzer_options().get(analyzer) or {}).get("max_retries", MAX_RETRIES))
+
     def enabled_linters(self, platform: str) -> list[str]:
         found = self.platform(platform)
         return [n for n, o in found.linters.items() if o.get("enabled")] if found else []

@@ -72,6 +72,49 @@ def test_audit_run(spark, corpus):
         audit_run(corpus(FILES), only, "cobol", ["deep_scan"], "r", FIRST, "/srv/p")
 
 
+def test_audit_run_with_failures(spark, corpus):
+    """Unreadable files, failing calls, unusable answers, timeouts, practices, model and completion times."""
+    files = corpus({"src/a.py": "a", "src/b.py": "bb", "src/gone.py": ""}).withColumn(
+        "error", F.when(F.col("file_path").endswith("gone.py"), "no such file")
+    )
+    asked = []
+
+    def llm(system, user):
+        asked.append(user)
+        if "src/b.py" in user or len(asked) < 2:
+            raise RuntimeError("refused")
+        return "no json" if len(asked) < 3 else '{"findings":[],"overall_score":7}'
+
+    def aider(system, user):
+        assert system == "" and "KEEP" in user and "{" not in user
+        if "b.py" in user:
+            raise TimeoutError("slow")
+        return '{"findings":5} {"findings":[1]}'
+
+    options = {"llm": {"max_retries": 3}, "aider": {"max_retries": 1}}
+    chosen = config(analyzers=options, models=[{"id": "m", "name": "M", "type": "chat"}])
+    run = audit_run(files.coalesce(1), chosen, "python", ["deep_scan"], "007", FIRST, "/srv/p", {"llm": llm, "aider": aider}, practices="KEEP", model_id="m")
+    got = {r.file_path[11:]: r for r in run.results.drop("findings").collect()}
+    assert (got["a.py"].success, got["a.py"].score, got["a.py"].error) == (True, "7", None)
+    assert (got["b.py"].success, got["b.py"].error) == (False, "llm: Chiamata LLM fallita dopo 4 tentativi")
+    assert (got["gone.py"].success, got["gone.py"].error, got["gone.py"].completed_at) == (False, "no such file", None)
+    assert got["a.py"].completed_at is not None and got["b.py"].completed_at is not None
+    meta = run.meta.first()
+    assert meta.model.asDict() == {"id": "m", "name": "M", "type": "chat"} and meta.failed_analyses == 2
+    empty = audit_run(files.filter("false"), config(analyzers={}, aider={"enabled": False}), "python", ["deep_scan"], "r", FIRST, "/srv/p")
+    assert empty.results.count() == 0
+    top = config(analyzers={}, aider={"enabled": True, "max_retries": 0})
+    assert top.analyzers({"aider"}) == [("aider", "noisy")] and top.max_retries("aider") == 0
+
+
+def test_usable_json():
+    for raw, direct, noisy in [
+        ('{"a":1}', True, True), ("{}", True, False), ("null", False, False), ("5", True, False), ("[1]", True, False),
+        ('x {"a":{"b":1}} y', True, True), ("{'a':1}", False, False), ('{"a":NaN}', False, False), ("", False, False), ('{} {"a":1}', False, False),
+    ]:
+        assert (plugins.has_usable_json("direct", raw), plugins.has_usable_json("noisy", raw)) == (direct, noisy), raw
+
+
 def test_analyzer_calls_are_repeated(spark, corpus):
     def flaky(system, user):
         raise TimeoutError("slow")
