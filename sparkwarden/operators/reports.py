@@ -48,19 +48,21 @@ def report_name(platform: Column, timestamp: Column) -> Column:
 
 
 def report_results(results: DataFrame) -> DataFrame:
-    """Result rows of a report: no raw output, blank errors left out."""
+    """Result rows of a report: no raw output, blank errors left out, the score as a JSON value."""
     return results.select(
-        "run_id", "file_path", "analysis_type", "success", "execution_time", "findings", "score",
+        "run_id", "file_path", "analysis_type", "success", "execution_time", "findings", _score(),
         *(["linter_results"] if "linter_results" in results.columns else []),
         F.nullif(F.col("error"), F.lit("")).alias("error"),
     )
 
 
 def checkpoint_rows(results: DataFrame) -> DataFrame:
-    """The seven fields logged for every finished task, findings as JSON text."""
-    return results.select(
-        *[F.to_json("findings").alias(f) if f == "findings" else F.col(f) for f in CHECKPOINT_FIELDS]
-    )
+    """The seven fields logged for every finished task; findings and score are JSON values, not quoted text."""
+    return results.select(*[_score() if f == "score" else F.col(f) for f in CHECKPOINT_FIELDS])
+
+
+def _score() -> Column:
+    return F.try_parse_json("score").alias("score")
 
 
 def findings_view(results: DataFrame) -> DataFrame:

@@ -607,13 +607,16 @@ def oracle_sql() -> dict[str, str]:
         "backlog_get": with_ctes(PRIOR | RESCAN, f"SELECT {FLAT} FROM prior WHERE id IN (SELECT id FROM found)"),
         "backlog_list": with_ctes(PRIOR, f"SELECT {FLAT} FROM prior WHERE state = 'validated'"),
         "backlog_defaults": DEFAULTS,
+        "backlog_corrupt": f"SELECT * FROM ({DEFAULTS}) WHERE id NOT LIKE '%0' AND id NOT LIKE '%1'",
         "scan_summary": with_ctes(
             SCANS, 'SELECT scan_id, max(created_at) AS "timestamp", count(*) AS proposal_count FROM found GROUP BY scan_id'
         ),
         "scan_list": with_ctes(
             SCANS,
-            'SELECT scan_id, substr(max(created_at), 1, 10) AS "timestamp", count(*) AS proposal_count FROM found GROUP BY scan_id',
+            """SELECT scan_id, replace(max(created_at), ' ', 'T') || '.000Z' AS "timestamp", count(*) AS proposal_count
+ FROM found GROUP BY scan_id""",
         ),
+        "scan_get": with_ctes(SCANS, f"SELECT {FLAT} FROM found WHERE scan_id = (SELECT max(scan_id) FROM found)"),
         "transitions_apply": OUTCOMES,
         "transitions_backlog": MOVED,
         "transition_events": DECISIONS,
@@ -661,6 +664,11 @@ def oracle_sql() -> dict[str, str]:
             RESULTS | {"meta": META},
             'SELECT report_file AS filename, "timestamp", project_path, platform, total_files, total_findings, critical_findings FROM meta',
         ),
+        "report_get": with_ctes(
+            RESULTS | {"meta": META},
+            f"""SELECT {_KEY}, success, {FINDINGS_TEXT} AS findings, score, error FROM results
+ WHERE run_id = (SELECT run_id FROM meta ORDER BY report_file LIMIT 1)""",
+        ),
         "checkpoint_rows": logged,
         "findings_view": with_ctes(RESULTS, FINDINGS_VIEW),
         "progress": with_ctes(

@@ -343,17 +343,30 @@ def backlog_list(spark, sf_dir):
     return B.list_backlog(_flat(_prior(spark, sf_dir)), "validated")
 
 
-@query
-def backlog_defaults(spark, sf_dir):
+def _read_back(spark, lines: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stored")
-    _table(spark, sf_dir, "labels", A.STORED).write.text(path)
-    stored = stores.read_backlog(spark, path, "json")
-    return stored.select(
+    lines.write.text(path)
+    return stores.read_backlog(spark, path, "json").select(
         "id", "type", "title", F.size("evidence").alias("evidence"), "severity", "priority", "confidence",
         "risk_level", "autofixable", "recommendation", "state", "source_rule", "scan_id",
     )
 
 
+@query
+def backlog_defaults(spark, sf_dir):
+    return _read_back(spark, _table(spark, sf_dir, "labels", A.STORED))
+
+
+@query
+def backlog_corrupt(spark, sf_dir):
+    """Lines of ids that end in 0 are cut short, those of ids that end in 1 lack the id."""
+    line = F.col("value")
+    broken = F.when(line.rlike('"id":"p[0-9]*0"'), F.substring(line, 1, 40)).when(
+        line.rlike('"id":"p[0-9]*1"'), F.regexp_replace(line, '"id"', '"no"')
+    )
+    return _read_back(spark, _table(spark, sf_dir, "labels", A.STORED).select(F.coalesce(broken, line).alias("value")))
+
+
 def _by_source(spark, sf_dir):
     scan = F.concat(F.lit("scan-"), F.split_part("file_path", F.lit("/"), F.lit(4)))
     return build_proposals(_eligible(spark, sf_dir), A.AS_OF, scan)
@@ -369,8 +382,18 @@ def scan_list(spark, sf_dir):
     path = scratch_path(spark, "scans")
     found = cut_lineage(_by_source(spark, sf_dir))
     stores.write_scans(B.scan_summary(found), found.drop("ord"), path)
-    listed = stores.list_scans(spark, f"{path}/summary")
-    return listed.withColumn("timestamp", F.substring("timestamp", 1, 10))
+    return stores.list_scans(spark, f"{path}/summary")
+
+
+@query
+def scan_get(spark, sf_dir):
+    """The stored proposals of the last scan, read back by its id; it is written twice and replaced."""
+    path = scratch_path(spark, "scans")
+    found = cut_lineage(_by_source(spark, sf_dir))
+    for _ in range(2):
+        stores.write_scans(B.scan_summary(found), found.drop("ord"), path)
+    last = stores.list_scans(spark, f"{path}/summary").first().scan_id
+    return _flat(stores.read_scan(spark, path, last)[1])
 
 
 def _transition_inputs(spark, sf_dir):
@@ -557,8 +580,8 @@ def report_meta(spark, sf_dir):
 @query
 def report_results(spark, sf_dir):
     rows = reports.report_results(_results(spark, sf_dir))
-    return rows.withColumn("findings", F.to_json("findings")).withColumn(
-        "execution_time", F.round("execution_time", 4)
+    return rows.withColumns(
+        {"findings": F.to_json("findings"), "score": F.to_json("score"), "execution_time": F.round("execution_time", 4)}
     )
 
 
@@ -570,12 +593,27 @@ def report_list(spark, sf_dir):
     return stores.list_reports(spark, path)
 
 
+@query
+def report_get(spark, sf_dir):
+    """The result rows of the first report by name, read back."""
+    path = scratch_path(spark, "reports")
+    results = cut_lineage(_results(spark, sf_dir))
+    stores.write_report(_meta(results), reports.report_results(results), path)
+    name = stores.list_reports(spark, path).orderBy("filename").first().filename
+    _, rows = stores.read_report(spark, path, name)
+    return rows.select(
+        "run_id", "file_path", "analysis_type", "success", F.to_json("findings").alias("findings"), F.to_json("score").alias("score"), "error"
+    )
+
+
 def _read_log(spark, path):
     schema = (
-        "file_path STRING, analysis_type STRING, success BOOLEAN, findings STRING, score STRING, error STRING, "
+        "file_path STRING, analysis_type STRING, success BOOLEAN, findings ARRAY<VARIANT>, score VARIANT, error STRING, "
         "execution_time DOUBLE"
     )
-    return spark.read.schema(schema).json(path).withColumn("execution_time", F.round("execution_time", 4))
+    return spark.read.schema(schema).json(path).withColumns(
+        {"findings": F.to_json("findings"), "score": F.to_json("score"), "execution_time": F.round("execution_time", 4)}
+    )
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,6 +14,16 @@ REPORT_SCHEMA = (
     "total_findings: BIGINT, critical_findings: BIGINT>, _corrupt_record STRING"
 )
 REPORT_FIELDS = ("timestamp", "project_path", "platform", "total_files", "total_findings", "critical_findings")
+META_SCHEMA = (
+    "run_id STRING, report_file STRING, timestamp STRING, project_path STRING, platform STRING, "
+    "model STRUCT<id: STRING, name: STRING, type: STRING>, total_files BIGINT, total_analyses BIGINT, "
+    "successful_analyses BIGINT, failed_analyses BIGINT, total_findings BIGINT, critical_findings BIGINT"
+)
+# run ids are text, whatever they look like
+RESULT_SCHEMA = (
+    "file_path STRING, analysis_type STRING, success BOOLEAN, execution_time DOUBLE, findings ARRAY<VARIANT>, "
+    "score VARIANT, linter_results VARIANT, error STRING, run_id STRING"
+)
 SCAN_SCHEMA = "scan_id STRING, timestamp STRING, proposal_count BIGINT, _corrupt_record STRING"
 
 
@@ -26,10 +36,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_backlog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """A stored backlog with defaults for missing fields; empty if there is none at ``path``."""
+    """A stored backlog with defaults for missing fields; empty if there is none at ``path``.
+
+    Records that cannot be read, or have no id, are left out.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], PROPOSAL_SCHEMA)
-    return with_defaults(spark.read.schema(PROPOSAL_SCHEMA).format(fmt).load(path))
+    return with_defaults(spark.read.schema(PROPOSAL_SCHEMA).format(fmt).load(path).filter("id IS NOT NULL"))
 
 
 def write_backlog(backlog: DataFrame, path: str) -> DataFrame:
@@ -48,9 +61,11 @@ def import_json_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_scans(summary: DataFrame, proposals: DataFrame, path: str) -> None:
-    """Scan counts, and their proposals below one folder per scan."""
-    summary.write.mode("append").json(f"{path}/summary")
-    proposals.write.mode("append").partitionBy("scan_id").parquet(f"{path}/proposals")
+    """Scan counts and proposals, each below one folder per scan; a scan that was there is replaced."""
+    for rows, name, kind in ((summary, "summary", "json"), (proposals, "proposals", "parquet")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").format(kind).save(
+            f"{path}/{name}"
+        )
 
 
 def read_scan(spark: SparkSession, path: str, scan_id: str) -> tuple[DataFrame, DataFrame]:
@@ -62,48 +77,45 @@ def read_scan(spark: SparkSession, path: str, scan_id: str) -> tuple[DataFrame,
 
 
 def list_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Scan id, time and count of the stored summaries, last name first.
-
-    Reads tables written by :func:`write_scans` and folders with one JSON document per scan. Documents
-    that do not parse are left out, a missing id is the file name, a missing time or count is empty.
-    """
-    rows = spark.read.schema(SCAN_SCHEMA).option("multiLine", False).json(path)
-    return _light_scans(rows)
+    """Scan id, time and count of the summaries that :func:`write_scans` stored, last id first."""
+    rows = spark.read.schema(SCAN_SCHEMA).json(path)
+    return _light_scans(rows, F.col("scan_id")).orderBy(F.desc("scan_id"))
 
 
 def list_scan_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The same of a folder with one JSON document per scan, last file name first.
+
+    Documents that do not parse are left out, a missing id is the file name, a missing time or count is empty.
+    """
     rows = spark.read.schema(SCAN_SCHEMA).option("multiLine", True).json(path)
-    return _light_scans(rows)
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    return _light_scans(rows, F.coalesce("scan_id", stem), stem.alias("_name")).orderBy(F.desc("_name")).drop("_name")
 
 
-def _light_scans(rows: DataFrame) -> DataFrame:
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+def _light_scans(rows: DataFrame, scan_id: Column, *more: Column) -> DataFrame:
     return (
         rows.select(
-            "_corrupt_record", F.coalesce("scan_id", stem).alias("scan_id"),
+            "_corrupt_record", scan_id.alias("scan_id"),
             F.coalesce("timestamp", F.lit("")).alias("timestamp"),
-            F.coalesce("proposal_count", F.lit(0)).alias("proposal_count"),
-            stem.alias("_name"),
+            F.coalesce("proposal_count", F.lit(0)).alias("proposal_count"), *more,
         )
         .filter(F.col("_corrupt_record").isNull())
-        .orderBy(F.desc("_name"), F.desc("scan_id"))
-        .drop("_corrupt_record", "_name")
+        .drop("_corrupt_record")
     )
 
 
 def write_report(meta: DataFrame, results: DataFrame, path: str) -> None:
     """Metadata and result rows as two JSON tables; results below one folder per run."""
     meta.write.mode("append").json(f"{path}/meta")
-    results.withColumn("findings", F.to_json("findings")).write.mode("append").partitionBy("run_id").json(
-        f"{path}/results"
-    )
+    results.write.mode("append").partitionBy("run_id").json(f"{path}/results")
 
 
 def read_report(spark: SparkSession, path: str, report_file: str) -> tuple[DataFrame, DataFrame]:
-    """Metadata and result rows of one stored report; the run of the report prunes the result folders."""
-    meta = spark.read.json(f"{path}/meta").filter(F.col("report_file") == report_file)
-    results = spark.read.json(f"{path}/results").withColumn("run_id", F.col("run_id").cast("string"))
-    return meta, results.join(meta.select("run_id"), "run_id", "left_semi")
+    """Metadata and result rows of one stored report; only the result folders of its runs are read."""
+    meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta").filter(F.col("report_file") == report_file)
+    runs = [row.run_id for row in meta.select("run_id").distinct().collect()]
+    results = spark.read.schema(RESULT_SCHEMA).json(f"{path}/results")
+    return meta, results.filter(F.col("run_id").isin(runs) if runs else F.lit(False))
 
 
 def list_reports(spark: SparkSession, path: str) -> DataFrame:
