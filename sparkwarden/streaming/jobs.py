@@ -21,9 +21,8 @@ from sparkwarden.operators.reports import checkpoint_rows
 from sparkwarden.operators.rules import BUILTIN_RULES, Rule
 from sparkwarden.operators.tasks import eligible
 from sparkwarden.operators.trace import hit_events
-from sparkwarden.operators.transitions import judge_requests, move_states
+from sparkwarden.operators.transitions import judge_requests
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
@@ -56,13 +55,24 @@ def read_batches(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("mergeSchema", False).parquet(out)
 
 
-def scan_stream(corpus: DataFrame, out: str, checkpoint: str, as_of, scan_id: str,
-                rules: Iterable[Rule] = BUILTIN_RULES, path_filter: PathFilter = PathFilter(),
+def _now(setting, batch_id: int):
+    """A setting that is fixed, or a function of the micro-batch."""
+    return setting(batch_id) if callable(setting) else setting
+
+
+def scan_stream(corpus: DataFrame, out: str, checkpoint: str, as_of, scan_id,
+                rules: Iterable[Rule] = BUILTIN_RULES, path_filter=PathFilter(),
                 extensions: Iterable[str] = SCAN_EXTENSIONS, interval: str | None = None) -> StreamingQuery:
-    """Continuous scan: every arriving file is matched, its proposals are appended."""
-    files = eligible(corpus, extensions, path_filter)
-    proposals = build_proposals(files, as_of, scan_id, rules)
-    return _start(proposals.writeStream.format("parquet").option("path", out), checkpoint, interval)
+    """Continuous scan: every arriving file is matched, its proposals are stored with their batch.
+
+    Time, scan id and path filter may be functions of the batch number; then each batch asks for its own.
+    """
+
+    def scan(batch: DataFrame, batch_id: int) -> DataFrame:
+        files = eligible(batch, extensions, _now(path_filter, batch_id))
+        return build_proposals(files, _now(as_of, batch_id), _now(scan_id, batch_id), rules)
+
+    return _start(_per_batch(corpus, scan, out), checkpoint, interval)
 
 
 def trace_stream(corpus: DataFrame, out: str, checkpoint: str, as_of, scan_id: str,
@@ -95,43 +105,72 @@ def sightings(spark: SparkSession, out: str) -> DataFrame:
 
 def hypothesis_stream(corpus: DataFrame, out: str, checkpoint: str, as_of,
                       rules: Iterable[Rule] = BUILTIN_RULES, interval: str | None = None) -> StreamingQuery:
-    """Keep hypotheses up to date: running aggregates per (rule, file), changed groups per batch."""
-    corpus.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    grouped = build_hypotheses(signals_of(build_proposals(corpus, as_of, None, rules)))
-    writer = _per_batch(grouped, lambda batch, _: batch, out).outputMode("update")
-    return _start(writer, checkpoint, interval)
+    """Keep hypotheses up to date: a file's hypotheses come from that file, so a batch needs no earlier ones.
+
+    Each batch stores the hypotheses of its files and which files it saw. A file that arrives again replaces
+    what it gave before; of one that comes twice in a batch one version counts.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        files = batch.dropDuplicates(["file_path"])
+        found = build_hypotheses(signals_of(build_proposals(files, _now(as_of, batch_id), None, rules)))
+        found.write.mode("overwrite").parquet(f"{out}/hypotheses/batch_id={batch_id}")
+        batch.select("file_path").distinct().write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}")
+
+    return _start(corpus.writeStream.foreachBatch(store), checkpoint, interval)
 
 
 def latest_hypotheses(spark: SparkSession, out: str) -> DataFrame:
-    """The newest stored version of every group."""
-    rows = read_batches(spark, out)
-    key = ("rule_id", "file_path")
-    fields = [c for c in rows.columns if c not in (*key, "batch_id")]
-    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*fields), "batch_id").alias("h"))
-    return newest.select(*key, "h.*")
+    """The hypotheses of every file as of the last batch that saw it."""
+    newest = read_batches(spark, f"{out}/files").groupBy("file_path").agg(F.max("batch_id").alias("batch_id"))
+    return read_batches(spark, f"{out}/hypotheses").join(newest, ["file_path", "batch_id"]).drop("batch_id")
 
 
-def transition_stream(requests: DataFrame, backlog: DataFrame, out: str, checkpoint: str,
-                      interval: str | None = None) -> StreamingQuery:
+def transition_stream(requests: DataFrame, backlog: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str,
+                      interval: str | None = None, compact_every: int = 20) -> StreamingQuery:
     """State machine per proposal id over a request stream.
 
-    Requests apply in (ts, seq) order within a micro-batch, on top of what earlier batches accepted; a
-    request that is illegal by then, late ones included, is logged as refused. The state is the log
-    of accepted requests (at most four per id), so a hot id needs no single task and a lost executor
-    nothing but a re-run of the batch.
+    Requests apply in (ts, seq, new_state) order within a micro-batch, on top of what earlier batches accepted;
+    a request that is illegal by then, late ones included, is logged as refused. ``backlog`` may be a function,
+    which every batch asks for the proposals there are by then.
+
+    The states that a batch moved are stored next to its log (``out`` with ``_state``), and every
+    ``compact_every`` batches all states so far as one table. A batch reads the last such table and the few
+    moves since, never the log; a replay overwrites its own folders only.
     """
     spark = requests.sparkSession
-    states = backlog.select("id", "state", "updated_at")
+    schema = "id STRING, state STRING, updated_at " + requests.schema["ts"].dataType.simpleString()
 
-    def judge(batch: DataFrame, batch_id: int) -> DataFrame:
-        ids = batch.select("id").distinct()
-        current = states.join(ids, "id", "left_semi")
-        if batch_id > 0:
-            earlier = read_batches(spark, out).filter(F.col("accepted") & (F.col("batch_id") < batch_id))
-            current = move_states(current, earlier.join(ids, "id", "left_semi"))
-        return judge_requests(current, batch)
+    def moves(table: int, end: int) -> DataFrame:
+        """The table of all states before batch ``table`` and the moves of the batches from there to ``end``."""
+        paths = [f"{out}_state/all/{table}"] * bool(table) + [f"{out}_state/moves/{n}" for n in range(table, end)]
+        full = f"{schema}, batch_id BIGINT"
+        return spark.read.schema(full).parquet(*paths) if paths else spark.createDataFrame([], full)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy("id").agg(F.max_by(F.struct("state", "updated_at", "batch_id"), "batch_id").alias("m"))
+        return last.select("id", "m.*")
 
-    return _start(_per_batch(requests, judge, out), checkpoint, interval)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            newest(moves(batch_id - compact_every, batch_id)).write.mode("overwrite").parquet(f"{out}_state/all/{batch_id}")
+        earlier = newest(moves(batch_id // compact_every * compact_every, batch_id))
+        now = backlog() if callable(backlog) else backlog
+        ids = batch.select("id").distinct()
+        current = now.select("id", "state", "updated_at").join(ids, "id", "left_semi").join(
+            earlier.select("id", F.col("state").alias("_state"), F.col("updated_at").alias("_at")), "id", "left"
+        ).select("id", F.coalesce("_state", "state").alias("state"), F.coalesce("_at", "updated_at").alias("updated_at"))
+        log = f"{out}/batch_id={batch_id}"
+        judge_requests(current, batch).write.mode("overwrite").parquet(log)
+        judged = spark.read.parquet(log)
+        accepted = judged.filter("accepted").groupBy("id").agg(
+            F.max_by(F.struct(F.col("new_state").alias("state"), F.col("ts").alias("updated_at")), F.struct("ts", "seq", "new_state")).alias("m")
+        )
+        accepted.select("id", "m.*", F.lit(batch_id).cast("bigint").alias("batch_id")).write.mode("overwrite").parquet(
+            f"{out}_state/moves/{batch_id}"
+        )
+
+    return _start(requests.writeStream.foreachBatch(store), checkpoint, interval)
 
 
 def filtered_stream(corpus: DataFrame, load_filter: Callable[[], PathFilter], out: str, checkpoint: str,

@@ -47,7 +47,7 @@ def test_scan_and_trace(spark, corpus, arriving, tmp_path):
     keep = PathFilter(exclude=("vendor",))
     query = finish(jobs.scan_stream(arriving(), f"{tmp_path}/out", f"{tmp_path}/ck", AS_OF, "s", path_filter=keep))
     assert query.lastProgress["batchId"] >= 3
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = jobs.read_batches(spark, f"{tmp_path}/out").drop("batch_id")
     wanted = {k: v for k, v in FILES.items() if not k.startswith(("vendor", "e."))}
     assert rows(got) == rows(build_proposals(corpus(wanted), AS_OF, "s").select(got.columns))
     finish(jobs.trace_stream(arriving(), f"{tmp_path}/trace", f"{tmp_path}/ck2", AS_OF, "s"))
@@ -61,6 +61,27 @@ def test_hypotheses(spark, corpus, arriving, tmp_path):
     assert rows(got.select(want.columns)) == rows(want)
 
 
+def test_settings_of_each_batch(spark, arriving, tmp_path):
+    """Time, scan id and filter are asked for in every batch."""
+    keep = lambda n: PathFilter(exclude=("*.py",)) if n > 1 else PathFilter()
+    finish(jobs.scan_stream(arriving(), f"{tmp_path}/out", f"{tmp_path}/ck", lambda n: f"2024-01-0{n + 1} 00:00:00", lambda n: f"s{n}", path_filter=keep))
+    got = {(r.evidence[0].file_path[7:], r.scan_id, r.created_at.day) for r in jobs.read_batches(spark, f"{tmp_path}/out").collect()}
+    assert got == {("a.py", "s0", 1), ("b.py", "s1", 2), ("c.js", "s2", 3)}
+
+
+def test_a_file_that_comes_again_replaces_its_hypotheses(spark, corpus, tmp_path):
+    source = tmp_path / "source"
+    source.mkdir()
+    versions = [("a.py", FILES["a.py"]), ("b.py", FILES["b.py"]), ("a.py", FILES["a.py"]), ("b.py", "clean")]
+    for i, (path, text) in enumerate(versions):
+        (source / f"{i}.json").write_text(json.dumps({"root": "/srv/p", "file_path": f"/srv/p/{path}", "content": text}))
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    finish(jobs.hypothesis_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck", AS_OF))
+    want = build_hypotheses(signals_of(build_proposals(corpus({"a.py": FILES["a.py"]}), AS_OF)))
+    assert rows(jobs.latest_hypotheses(spark, f"{tmp_path}/out").select(want.columns)) == rows(want)
+
+
 def test_upsert_over_batches_and_replay(spark, corpus, arriving, tmp_path):
     prior = B.upsert_backlog(spark.createDataFrame([], B.PROPOSAL_SCHEMA), build_proposals(corpus({"a.py": FILES["a.py"]}), AS_OF, "s0"), AS_OF)
     prior = prior.withColumn("state", F.lit("planned")).cache()
@@ -94,7 +115,9 @@ def test_transitions_over_batches(spark, tmp_path):
     backlog = spark.createDataFrame([(k, v, 0) for k, v in states.items()], "id STRING, state STRING, updated_at INT")
     schema = "id STRING, ts INT, seq BIGINT, new_state STRING, reason STRING"
     requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    finish(jobs.transition_stream(requests, backlog, f"{tmp_path}/out", f"{tmp_path}/ck"))
+    # a table of all states every second batch; the log of earlier batches is out of reach
+    finish(jobs.transition_stream(requests, lambda: backlog, f"{tmp_path}/out", f"{tmp_path}/ck", compact_every=2))
+    assert sorted(p.name for p in (tmp_path / "out_state" / "all").iterdir()) == ["2"]
     judged = jobs.read_batches(spark, f"{tmp_path}/out")
     assert {r.seq: (r.from_state, r.accepted, r.refusal) for r in judged.collect()} == wanted
     assert {r.id: r.state for r in move_states(backlog, judged).collect()} == current
