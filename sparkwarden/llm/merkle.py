@@ -7,13 +7,14 @@ from base64 import urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
+from os.path import commonprefix
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwarden.llm.common import batch_of, whole_text
-from sparkwarden.session import cut_lineage
+from sparkwarden.session import scratch_path
 
 #: A clause ends after its punctuation; one without any is cut every 160 bytes.
 CLAUSE = re.compile(rb"[^.,;:!?|]{1,160}[.,;:!?|]*|[.,;:!?|]+")
@@ -106,24 +107,39 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - size] + following[:size]
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What a task makes of a document. Of the edited text's fingerprint the root and what follows the leaves shared
+#: with the original one, as the first three quarters of both are the same.
+FIELDS = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_root string, shared int, edited_tail string, "
+    "near_edited double, near_next double"
+)
 
 
 def _row(doc_id, text: str, mark: str, following: str, next_mark: str) -> tuple:
     changed = edited(text, following).encode()
     edited_mark = fingerprint(changed)
+    root, _, body = edited_mark.partition("|")
+    shared = len(commonprefix([mark.partition("|")[2], body]))
     return (
-        doc_id, len(text), sha256(changed).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_mark),
+        doc_id, len(text), sha256(changed).hexdigest(), mark, root, shared, body[shared:],
+        likeness(mark, edited_mark), likeness(mark, next_mark),
     )
 
 
+def _whole() -> list[Column]:
+    """The results of ``FIELDS`` with the edited text's fingerprint put together again."""
+    body = F.substring_index("fingerprint", "|", -1)
+    made = F.concat("edited_root", F.lit("|"), F.left(body, F.col("shared")), "edited_tail")
+    return [*map(F.col, ("doc_id", "n_chars", "edited_sha256", "fingerprint")), made.alias("edited_fingerprint"), F.col("near_edited"), F.col("near_next")]
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
 
     Its edited text ends as the next document, by ascending doc_id, begins; ``near_edited`` and ``near_next``
     are the likeness of its fingerprint to the edited text's and to the next document's. After the last
-    comes the first. A null text counts as empty; rows of equal doc_id follow each other by their texts, rows without id
-    come first. Repeated rows give a row each, a single row is its own next one, an empty table gives an
+    comes the first. A null text counts as empty; rows of equal doc_id follow each other by the hashes of their texts
+    (XXH64, seed 42, signed), rows without id come first. Repeated rows give a row each, a single row is its own next one, an empty table gives an
     empty result; other columns are not read.
 
     Texts move once, into ranges of doc_id, where each document but the last of a range meets the next one.
@@ -131,16 +147,19 @@ def compared(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("string").alias("text"))
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(slices, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the hash, not the text, takes part in the choice of ranges, for which the driver gets a sample of the keys
+    keyed = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(slices, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").drop("hash")
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in FIELDS.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = [kinds[f.split()[1]] for f in FIELDS.split(", ")]
 
     def table_of(made: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
         """Results, then the range's first and last document with their texts (role, range)."""
         columns = [list(c) for c in zip(*made)] if made else [[] for _ in names]
         columns[0] += [doc_id for _, _, doc_id, _, _ in edges]
         columns[3] += [mark for _, _, _, _, mark in edges]
-        for i in (1, 2, 4, 5, 6):
+        for i in (1, 2, *range(4, len(names))):
             columns[i] += [None] * len(edges)
         extra = [[None] * len(made) + [e[i] for e in edges] for i in (0, 1, 3)]
         return batch_of(
@@ -164,7 +183,10 @@ def compared(docs: DataFrame) -> DataFrame:
         if held is not None:
             yield table_of([], [("last", place, *held)])
 
-    stored = cut_lineage(ordered.mapInArrow(walk, f"{FIELDS}, role string, range long, text string"))
+    path = scratch_path(docs.sparkSession, "merkle")
+    made = ordered.mapInArrow(walk, f"{FIELDS}, role string, range long, text string")
+    made.write.option("compression", "zstd").parquet(path)  # digests only shrink by their letters' entropy
+    stored = docs.sparkSession.read.parquet(path)
     inner = stored.filter("role IS NULL").select(*names)
     edges = stored.filter("role IS NOT NULL").select("role", "range", "doc_id", "text", F.col("fingerprint").alias("mark"))
     # one row for each range of the shuffle, without texts
@@ -180,4 +202,5 @@ def compared(docs: DataFrame) -> DataFrame:
             columns = [list(c) for c in zip(*made)] if made else [[] for _ in names]
             yield batch_of(zip(names, columns, types))
 
-    return inner.union(meet.select("doc_id", "text", "mark", "next_text", "next_mark").mapInArrow(close, FIELDS))
+    closed = meet.select("doc_id", "text", "mark", "next_text", "next_mark").mapInArrow(close, FIELDS)
+    return inner.union(closed).select(*_whole())

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from sparkwarden.llm import merkle as M
 from sparkwarden.llm.queries import QUERIES
@@ -77,7 +78,8 @@ def test_next_document(spark, slices):
     rows = [(i, "".join(rng.choices("ab .\né😀", k=rng.randint(0, 60))), "r") for i in rng.sample(range(1000), 50)]
     rows += [(None, "lost", "r"), (5000, None, "r"), (5001, "same", "r"), (5001, "same", "r"), (5001, "other. words", "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, range string")
-    ordered = sorted([(i, t or "") for i, t, _ in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    digest = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64
+    ordered = sorted([(i, t or "") for i, t, _ in rows], key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1])))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", slices)
