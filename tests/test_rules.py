@@ -16,32 +16,32 @@ def found(corpus, text, rule=None, **options):
 @pytest.mark.parametrize(
     "text, rule, count",
     [
-        ('model_name = "gpt-4-turbo"', "hardcoded_model_names", 1),
-        ('cfg = {"model": "meta-llama/Llama-3.1-70B-Instruct"}', "hardcoded_model_names", 1),
-        ('# model = "gpt-4"', "hardcoded_model_names", 1),
+        ('writer = pick("claude-3-haiku", 3)', "hardcoded_model_names", 1),
+        ("opts['engine'] = \"mistralai/Mixtral-8x7B\"", "hardcoded_model_names", 1),
+        ('  # was "gpt-3.5" once', "hardcoded_model_names", 1),
         ("x = 'gpt-4'", "hardcoded_model_names", 0),
-        ('model_name = config["model_name"]', "hardcoded_model_names", 0),
+        ('engine = settings.get("engine", fallback)', "hardcoded_model_names", 0),
         ('a = "GPT-4o", "miſtral-7b", "o1-mini"', "hardcoded_model_names", 3),
-        ('api_base = "http://localhost:8000/v1"', "hardcoded_constants", 1),
-        ('base = "https://api.openai.com/v1"', "hardcoded_constants", 1),
+        ('HEALTH = "http://localhost:9417/ping"', "hardcoded_constants", 1),
+        ('post("https://api.weather.example/v3", body)', "hardcoded_constants", 1),
         ('x = "http://localhostfoo"', "hardcoded_constants", 1),
         ("x = 'http://256.1.1.1'", "hardcoded_constants", 0),
         ("x = 'http://10.0.0.1/a\"", "hardcoded_constants", 1),
         ('  # x = "http://localhost"', "hardcoded_constants", 0),
         ('  // x = "http://localhost"', "hardcoded_constants", 0),
-        ("x = some_function()", "hardcoded_constants", 0),
-        ('project_id = "my-secret-project"', "leaked_project_ids", 1),
-        ('org_id = "acme-corp"', "leaked_project_ids", 1),
+        ("total += price * amount", "hardcoded_constants", 0),
+        ('run(project_id = "billing-7")', "leaked_project_ids", 1),
+        ("org_id = 'northwind-east'", "leaked_project_ids", 1),
         ('tenant_id\xa0=\xa0f"abc"', "leaked_project_ids", 1),
         ('org_id = "ab"', "leaked_project_ids", 0),
-        ('# tenant_id = "example"', "leaked_project_ids", 0),
-        ('project_id = os.getenv("PROJECT_ID")', "leaked_project_ids", 0),
-        ('system_prompt = "You are running on gpt-4. Use it"', "non_agnostic_prompts", 1),
+        ('    # tenant_id = "blue-42"', "leaked_project_ids", 0),
+        ("project_id = vault.read(slot)", "leaked_project_ids", 0),
+        ('system_prompt = "Answer as mistral would"', "non_agnostic_prompts", 1),
         ('// prompt = "for claude"', "non_agnostic_prompts", 1),
         ('# prompt = "for claude"', "non_agnostic_prompts", 0),
         ('my_prompt = "for claude"', "non_agnostic_prompts", 0),
         ('prompts = "for claude"', "non_agnostic_prompts", 0),
-        ('description = "This supports claude-3-opus well"', "non_agnostic_prompts", 0),
+        ('summary = "tested with claude and others"', "non_agnostic_prompts", 0),
         ('prompt = claude + "x"', "non_agnostic_prompts", 0),
         ('prompt = "x" + claude', "non_agnostic_prompts", 0),
     ],
