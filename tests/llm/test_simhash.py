@@ -97,6 +97,29 @@ def test_defined_results(spark):
     assert S.near_duplicates(docs.filter("false")).count() == 0 == S.keep_one(docs.filter("false")).count()
 
 
+def test_near_copies_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for group in range(3):
+        base = rng.choice(words, 150).tolist()
+        for _ in range(40):
+            text = list(base)
+            for at in rng.integers(0, 150, 3):
+                text[at] = "x" + str(rng.integers(0, 10**6))
+            texts.append((group, " ".join(text)))
+    texts += [(3 + k, " ".join(rng.choice(words, 150))) for k in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    first = {g: min(i for i, (h, _) in enumerate(texts) if h == g) for g, _ in texts}
+    got = {r.doc_id: r.component_id for r in S.copies(docs).collect()}
+    assert got == {i: first[g] for i, (g, _) in enumerate(texts)}
+    prints = [S.wide_fingerprint(t.encode()) for _, t in texts]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(prints)], "node long, bits array<long>, keys array<long>")
+    for most in (7, 2048):
+        parts = dict(map(tuple, roots(S.wide_links(df, S.Copies(), group_most=most)).collect()))
+        assert parts == {i: first[g] for i, (g, _) in enumerate(texts) if g < 3}
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
