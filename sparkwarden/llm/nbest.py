@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,7 @@ from sparkwarden.llm.common import batch_of, text_list
 MARK = "▁"
 #: Scores are whole numbers of this part of a natural logarithm: sums are exact and equal paths compare equal.
 UNITS = 1 << 20
-#: A run of spaces and the word after it, a word after no space, a line end, or a mark that stands in the text.
-UNIT = re.compile(f" +[^ \\n{MARK}]*|[^ \\n{MARK}]+|\\n|{MARK}")
+LOW = -(1 << 62)  # below every score
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Settings:
 
     model: str
     best: int = 4
-    remembered: int = 200_000
+    remembered: int = 400_000
     remembered_length: int = 48
 
 
@@ -41,8 +41,9 @@ def default_settings() -> Settings:
 class Vocabulary:
     """Pieces with log-probabilities by Zipf's law over their merge ranks, and bytes for all other characters.
 
-    No piece may hold a mark after another character, or a line end: so no piece crosses the border of two
-    ``UNIT``s, and a text's segmentations are the combinations of those of its units.
+    ``unit`` cuts a text where no piece can lie across: before spaces, around line ends and marks that stand in
+    the text, and before signs, but for those after a character that some piece holds before a sign. So a
+    text's segmentations are the combinations of those of its units.
     """
 
     def __init__(self, model: str):
@@ -66,70 +67,96 @@ class Vocabulary:
         norm = math.log(sum(1 / (r + 1) for _, r in ranks.values()))
         self.pieces = {p: (i, -round((math.log(r + 1) + norm) * UNITS)) for p, (i, r) in ranks.items()}
         self.byte_score = -round((math.log(2 * size) + norm) * UNITS)
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[0]] = max(len(p), self.reach.get(p[0], 0))
+        # pieces, and None for what a longer piece begins with
+        self.begun: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
+        self.begun.update(self.pieces)
+        signs = {c for p in self.pieces for c in p if not c.isalnum() and c != MARK}
+        glue = {x for p in self.pieces for x, c in zip(p, p[1:]) if c in signs and x not in signs and x != MARK}
+        listed = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]" if chars else "(?!)"
+        sign, other = listed(signs), f"[^ \\n{MARK}{listed(signs)[1:-1]}]"
+        word = f"{other}+(?:(?<={listed(glue)}){sign}+{other}*)*"
+        self.unit = re.compile(f" +{sign}*(?:{word})?|{sign}+(?:{word})?|{word}|\\n|{MARK}")
+
+    def spelt(self, character: str) -> tuple[int, tuple[int, ...]]:
+        """Score and ids of a character in bytes."""
+        raw = character.encode()
+        return len(raw) * self.byte_score, tuple(self.byte_ids[b] for b in raw)
 
     def edges(self, text: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each position (end, score, ids) of the pieces that begin there."""
-        out = []
-        pieces, reach, size = self.pieces, self.reach, len(text)
+        out, begun, size = [], self.begun, len(text)
         for i, c in enumerate(text):
             here = []
-            for end in range(i + 1, min(size, i + reach.get(c, 0)) + 1):
-                found = pieces.get(text[i:end])
+            for end in range(i + 1, size + 1):
+                found = begun.get(text[i:end], 0)
                 if found:
                     here.append((end, found[1], (found[0],)))
+                elif found == 0:
+                    break
             if not here or here[0][0] != i + 1:  # a character that is no piece
-                raw = c.encode()
-                here.append((i + 1, len(raw) * self.byte_score, tuple(self.byte_ids[b] for b in raw)))
+                here.insert(0, (i + 1, *self.spelt(c)))
             out.append(here)
         return out
 
     def unit_edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """The lattice of a ``UNIT``; a mark that stands in the text itself is spelt in bytes."""
+        """The lattice of a unit; a mark that stands in the text itself is spelt in bytes."""
+        return [[(1, *self.spelt(MARK))]] if unit == MARK else self.edges(unit.replace(" ", MARK))
+
+    def solve(self, unit: str) -> tuple[tuple[int, ...], int, float]:
+        """Best ids of a unit, their score, and how far its second best segmentation is behind (or infinite).
+
+        One forward pass with the two best scores of every position.
+        """
         if unit == MARK:
-            raw = MARK.encode()
-            return [[(1, len(raw) * self.byte_score, tuple(self.byte_ids[b] for b in raw))]]
-        return self.edges(unit.replace(" ", MARK))
+            score, ids = self.spelt(MARK)
+            return ids, score, math.inf
+        text, get, low = unit.replace(" ", MARK), self.begun.get, LOW
+        size = len(text)
+        best, second, back = [low] * (size + 1), [low] * (size + 1), [None] * (size + 1)
+        best[0] = 0
+        for i in range(size):
+            top, next_top, first = best[i], second[i], i + 1
+            for end in range(first, size + 1):
+                found = get(text[i:end], 0)
+                if found:
+                    ids, score = found
+                elif end == first:
+                    score, ids = self.spelt(text[i])
+                elif found is None:
+                    continue
+                else:
+                    break
+                value, old = top + score, best[end]
+                if value > old:
+                    other = next_top + score
+                    second[end] = old if old > other else other
+                    best[end] = value
+                    back[end] = (i, ids)
+                elif value > second[end]:
+                    second[end] = value
+        path, at = [], size
+        while at:
+            at, ids = back[at]
+            if type(ids) is int:
+                path.append(ids)
+            else:
+                path.extend(reversed(ids))
+        path.reverse()
+        return tuple(path), best[size], best[size] - second[size] if second[size] > LOW // 2 else math.inf
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the space put before every text is taken off again."""
         return b"".join([self.shown[i] for i in ids]).decode()[1:]
 
 
-def forward(edges: list) -> tuple[list[float], list]:
-    """Viterbi: the best score up to each position, and the edge (from, ids) by which it is reached."""
+def forward(edges: list) -> list:
+    """Viterbi: the best score up to each position."""
     best = [-math.inf] * (len(edges) + 1)
     best[0] = 0
-    back: list = [None] * (len(edges) + 1)
     for i, here in enumerate(edges):
-        base = best[i]
-        for end, score, ids in here:
-            if base + score > best[end]:
-                best[end] = base + score
-                back[end] = (i, ids)
-    return best, back
-
-
-def solve(edges: list) -> tuple[tuple[int, ...], float, float]:
-    """Best ids, their score, and how far the second best segmentation is behind (infinite if there is none)."""
-    best, back = forward(edges)
-    size = len(edges)
-    rest = [-math.inf] * size + [0]
-    for i in range(size - 1, -1, -1):
-        rest[i] = max(score + rest[end] for end, score, _ in edges[i])
-    path, at = [], size
-    taken = set()
-    while at:
-        before, ids = back[at]
-        taken.add((before, at))
-        path.append(ids)
-        at = before
-    second = max(
-        (best[i] + s + rest[e] for i, here in enumerate(edges) for e, s, _ in here if (i, e) not in taken), default=-math.inf
-    )
-    return tuple(x for ids in reversed(path) for x in ids), best[size], best[size] - second
+        for end, score, _ in here:
+            best[end] = max(best[end], best[i] + score)
+    return best
 
 
 def search(edges: list, wanted: int) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
@@ -140,7 +167,7 @@ def search(edges: list, wanted: int) -> list[tuple[float, list[tuple[int, int, t
     order of the best whole paths through them, and the k-th to reach the start is the k-th best. Of equal
     ones the path nearest to the start goes first, so ties are not all followed at once.
     """
-    best, _ = forward(edges)
+    best = forward(edges)
     into: list[list] = [[] for _ in range(len(edges) + 1)]
     for i, here in enumerate(edges):
         for end, score, ids in here:
@@ -171,7 +198,7 @@ class Encoder:
         self.known: dict[str, tuple] = {}
 
     def unit(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        found = solve(self.words.unit_edges(unit))
+        found = self.words.solve(unit)
         if len(unit) <= self.settings.remembered_length:
             if len(self.known) >= self.settings.remembered:
                 self.known.clear()
@@ -185,12 +212,12 @@ class Encoder:
         the wanted segmentations: a difference elsewhere costs more than each of these does alone. The search runs
         over the lattice of these units joined; all others keep their best pieces.
         """
-        units = UNIT.findall(" " + text)
+        units = self.words.unit.findall(" " + text)
         known = self.known
-        solved = [known.get(u) or self.unit(u) for u in units]
-        ids = [x for s in solved for x in s[0]]
-        total = sum(s[1] for s in solved)
-        losses = np.fromiter((s[2] for s in solved), float, len(solved))
+        parts, values, behind = zip(*[known.get(u) or self.unit(u) for u in units])
+        ids = list(chain.from_iterable(parts))
+        total = sum(values)
+        losses = np.array(behind, float)
         most = self.settings.best - 1
         if len(losses) > most:
             chosen = np.sort(np.argpartition(losses, most)[:most]).tolist() if most else []
@@ -204,14 +231,14 @@ class Encoder:
             shift = len(joined)
             joined += [[(e + shift, s, i) for e, s, i in here] for here in self.words.unit_edges(units[k])]
             borders.append((shift, len(joined)))
-        starts = np.concatenate([[0], np.cumsum([len(s[0]) for s in solved])]).tolist()
+        starts = list(accumulate(map(len, parts), initial=0))
         scores, swaps = [], []
         for score, steps in search(joined, self.settings.best):
-            scores.append((total + score - sum(solved[k][1] for k in chosen)) / UNITS)
+            scores.append((total + score - sum(values[k] for k in chosen)) / UNITS)
             mine = []
             for k, (low, high) in zip(chosen, borders):
                 new = [x for a, _, i in steps if low <= a < high for x in i]
-                if tuple(new) != solved[k][0]:
+                if tuple(new) != parts[k]:
                     mine.append((starts[k], starts[k + 1], new))
             swaps.append(mine)
         # of equally good segmentations the first found takes the place of the one in ``ids``
@@ -245,7 +272,7 @@ def segmentations(docs: DataFrame, settings: Settings) -> DataFrame:
             ids, scores, swaps, good = [], [], [], []
             for text in text_list(batch.column(1)):
                 best, values, changes = encoder.encode(text)
-                same = encoder.words.decode(best) == text
+                same = b"".join(map(shown.__getitem__, best)) == b" " + text.encode()
                 for mine in changes:
                     for first, end, new in mine:
                         same &= b"".join([shown[i] for i in new]) == b"".join([shown[i] for i in best[first:end]])
