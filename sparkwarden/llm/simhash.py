@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import batch_of, byte_list, free_name
+from sparkwarden.llm.common import batch_of, byte_list, free_name, slices
 from sparkwarden.llm.components import roots
 from sparkwarden.session import cut_lineage
 
@@ -22,6 +22,8 @@ RADIUS = 2
 BLOCKS = 5
 GROUP_MOST = 2048
 LANES = 1 << 17
+EXACT_MOST = 1024
+SET_MOST = 1 << 21
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------
@@ -248,32 +250,42 @@ class Copies:
     """Near copies by the similarity of their word shingles.
 
     Texts of similarity 0.8 differ in about 15 % of the bits of a SimHash (an angle of 27 degrees), far more than
-    two of 64. So wide fingerprints of ``words`` times 64 bits are compared, within ``radius`` bits; 50 of 256 is
-    two deviations beyond the mean at similarity 0.8. Texts are compared if one of their ``keys`` smallest
-    shingle hashes is the same, which at 0.8 fails for one pair in 400,000.
+    two of 64. So wide fingerprints of ``words`` times 64 bits are compared, within ``radius`` bits. They only
+    choose candidates: 80 of 256 is five deviations beyond the mean of the worst sets of similarity 0.8 (four of five
+    shingles, 18.75 % of the bits), passed by one pair in 1.8 million. Texts are compared if one of their ``keys``
+    smallest shingle hashes is the same, which at 0.8 fails for one pair in 400,000. Candidates are near copies if the
+    exact similarity of their sets of shingle hashes is ``similarity`` or more.
     """
 
     shingle: int = 5
     words: int = 4
-    radius: int = 50
+    radius: int = 80
     keys: int = 8
+    similarity: float = 0.8
 
 
-def wide_fingerprint(text: bytes, settings: Copies = Copies()) -> tuple[list[int], list[int]]:
-    """The words of a wide SimHash and the smallest shingle hash of each key's own order; none without words."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes; empty without words."""
     words = text.lower().split()
     if not words:
-        return [0] * settings.words, [0]
-    joined, size = b" ".join(words), settings.shingle
-    digest = xxhash.xxh64_intdigest
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        begins = (ends - lengths)[: 1 - size].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[size - 1 :].tolist())], np.uint64)
-    hashes = np.unique(hashes)
+        return np.array([digest(joined, SEED)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    begins = (ends - lengths)[: 1 - size].tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[size - 1 :].tolist())], np.uint64))
+
+
+def wide_fingerprint(text: bytes, settings: Copies = Copies()) -> tuple[list[int], list[int]]:
+    """The words of a wide SimHash and the smallest shingle hash of each key's own order; none without words."""
+    return _wide(shingle_hashes(text, settings.shingle), settings)
+
+
+def _wide(hashes: np.ndarray, settings: Copies) -> tuple[list[int], list[int]]:
+    if not len(hashes):
+        return [0] * settings.words, [0]
     odd = np.random.default_rng(SEED).integers(0, 1 << 63, (settings.words + settings.keys, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = []
     for k in range(settings.words):
@@ -320,47 +332,183 @@ def wide_links(prints: DataFrame, settings: Copies, group_most: int = GROUP_MOST
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
-def copies(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
-    """(doc_id, digest, root, component_id) of every row: texts whose wide fingerprints are linked share a root.
+def _marked(docs: DataFrame, settings: Copies) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, node) of every row, and (node, first, text, size, bits, keys) of every set of shingles.
 
-    ``component_id`` is the smallest doc_id of the texts that do.
+    ``node`` names the set, ``text`` is the digest of one text that has it, ``size`` its number of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t, settings) for t in byte_list(batch.column(2))]
+            found = []
+            for text in byte_list(batch.column(2)):
+                hashes = shingle_hashes(text, settings.shingle)
+                found.append((_signed_digest(hashes), len(hashes), *_wide(hashes, settings)))
             yield batch_of(
                 [
                     ("doc_id", batch.column(0), None), ("digest", batch.column(1), None),
-                    ("bits", [f[0] for f in found], pa.list_(pa.int64())), ("keys", [f[1] for f in found], pa.list_(pa.int64())),
+                    ("node", [f[0] for f in found], pa.int64()), ("size", [f[1] for f in found], pa.int64()),
+                    ("bits", [f[2] for f in found], pa.list_(pa.int64())), ("keys", [f[3] for f in found], pa.list_(pa.int64())),
                 ]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), F.col("text").cast("string").alias("text"))
-    marked = cut_lineage(
-        rows.mapInArrow(run, "doc_id long, digest long, bits array<long>, keys array<long>").withColumn("node", F.xxhash64("bits", "keys"))
+    marked = cut_lineage(rows.mapInArrow(run, "doc_id long, digest long, node long, size long, bits array<long>, keys array<long>"))
+    distinct = marked.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min("digest").alias("text"), F.min("size").alias("size"), F.min(F.struct("bits", "keys")).alias("p")
     )
-    distinct = marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("bits", "keys")).alias("p"))
-    least = cut_lineage(distinct.select("node", "first", "p.*"))
-    parts = roots(wide_links(least.select("node", "bits", "keys"), settings))
+    return marked.select("doc_id", "digest", "node"), cut_lineage(distinct.select("node", "first", "text", "size", "p.*"))
+
+
+def _signed_digest(hashes: np.ndarray) -> int:
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+
+
+def _named(marked: DataFrame, least: DataFrame, parts: DataFrame) -> DataFrame:
     rooted = cut_lineage(least.select("node", "first").join(parts, "node"))
     named = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("first").alias("linked")), "root")
     firsts = least.select("node", "first").join(named, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), F.coalesce("linked", "first").alias("component_id")
     )
-    return marked.select("doc_id", "digest", "node").join(firsts, "node").drop("node")
+    return marked.join(firsts, "node").drop("node")
+
+
+def copies(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
+    """(doc_id, digest, root, component_id) of every row: texts whose wide fingerprints are linked share a root.
+
+    ``component_id`` is the smallest doc_id of the texts that do. Such texts are candidates only; see ``exact_copies``.
+    """
+    marked, least = _marked(docs, settings)
+    return _named(marked, least, roots(wide_links(least.select("node", "bits", "keys"), settings)))
+
+
+def exact_copies(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
+    """(doc_id, digest, root, component_id) of every row, texts linked by the exact similarity of their shingles."""
+    marked, least = _marked(docs, settings)
+    candidates = cut_lineage(roots(wide_links(least.select("node", "bits", "keys"), settings)))
+    return _named(marked, least, roots(exact_links(docs, least, candidates, settings)))
+
+
+def exact_links(docs: DataFrame, least: DataFrame, candidates: DataFrame, settings: Copies, group_most: int = EXACT_MOST) -> DataFrame:
+    """Links (a, b) between nodes of one candidate component ``candidates(node, root)`` that have the similarity.
+
+    Two nodes that meet as candidates are in one component, so comparing its members leaves no such pair out. Only
+    members' sets of shingles are made, once each, from one text of the set. A component of more than ``group_most``
+    members or of many shingles is cut into tiles of which every two meet.
+    """
+    members = cut_lineage(least.select("node", "text", "size").join(candidates, "node"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all"))
+    tiles = F.greatest(F.ceil(F.col("n") / group_most), F.ceil(F.col("all") / SET_MOST)).cast("int")
+    placed = members.join(sizes.select("root", tiles.alias("tiles")), "root")
+    # texts alike combine before the shuffle
+    texts = docs.select(text_digest().alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).groupBy("digest").agg(
+        F.min("t").alias("t")
+    )
+    told = placed.join(texts, F.col("text") == F.col("digest")).select("node", "root", "tiles", "t")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, held in slices(batch, 3):
+                found = [shingle_hashes(t, settings.shingle) for t in held]
+                yield batch_of(
+                    [
+                        ("node", part.column(0), None), ("root", part.column(1), None), ("tiles", part.column(2), None),
+                        ("bits", [_wide(h, settings)[0] for h in found], pa.list_(pa.int64())),
+                        ("hashes", [h.view(np.int64) for h in found], pa.list_(pa.int64())),
+                    ]
+                )
+
+    made = told.mapInArrow(sets, "node long, root long, tiles int, bits array<long>, hashes array<long>")
+    tile = F.pmod(F.col("node"), F.col("tiles")).cast("int")
+    met = made.select("*", tile.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")).select(
+        "root", F.least("t", "o").alias("low"), F.greatest("t", "o").alias("high"), "node", "bits", "hashes"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _together(batches, 3):
+            lists = group.column(5).combine_chunks()
+            names, at = group.column(3).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            bits = group.column(4).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(names), -1)
+            left, right = similar_links(names, bits, lists.flatten().to_numpy(), at, settings)
+            yield batch_of([("a", left, pa.int64()), ("b", right, pa.int64())])
+
+    keys = ["root", "low", "high"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in the first columns; a run may span batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(keys)])
+        at = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at, at[1:]):
+            key = tuple(values[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_links(names: np.ndarray, bits: np.ndarray, flat: np.ndarray, sizes: np.ndarray, settings: Copies) -> tuple[list[int], list[int]]:
+    """Links (member, smallest member of its part) for the parts connected by similarity; ``flat`` holds the sets in turn.
+
+    Each member is compared with those not yet in a part, all at once; bit planes first leave out distant ones of many.
+    """
+    count = len(names)
+    near = close_lanes(bits[None], settings.radius)[0] if count > 64 else None
+    ids = np.unique(flat, return_inverse=True)[1]
+    begins = np.cumsum(sizes) - sizes
+    marks = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    unseen = np.full(count, True)
+    left, right = [], []
+    for first in range(count):
+        if not unseen[first]:
+            continue
+        part, queue = [first], [first]
+        unseen[first] = False
+        while queue:
+            i = queue.pop()
+            may = unseen & (np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= settings.similarity)
+            if near is not None:
+                may &= np.unpackbits(near[i].view(np.uint8), bitorder="little")[:count].astype(bool)
+            at = np.flatnonzero(may)
+            if not len(at):
+                continue
+            own = ids[begins[i] : begins[i] + sizes[i]]
+            marks[own] = True
+            starts = np.cumsum(sizes[at]) - sizes[at]
+            rows = np.arange(int(sizes[at].sum())) + np.repeat(begins[at] - starts, sizes[at])
+            shared = np.add.reduceat(marks[ids[rows]].astype(np.int64), starts)
+            marks[own] = False
+            new = at[shared / (sizes[at] + sizes[i] - shared) >= settings.similarity]
+            unseen[new] = False
+            part.extend(new.tolist())
+            queue.extend(new.tolist())
+        if len(part) > 1:
+            low = int(names[part].min())
+            left += [int(names[k]) for k in part if names[k] != low]
+            right += [low] * (len(part) - 1)
+    return left, right
 
 
 def keep_one(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
     """The rows of ``docs`` that represent their group of near copies, with all their columns.
 
+    Groups are the components of pairs whose sets of shingles have the exact similarity of the settings.
+
     The document with the smallest doc_id stays; of several texts under that id in the group the one with the
     smallest digest, of repeated rows one. Documents without an id cannot be named as copies and stay. Texts
     without words are equal to each other; a null text counts as empty.
     """
     name, digest = free_name(docs, "kept_id"), free_name(docs, "kept_digest")
     # an id with texts in several groups represents each of them
-    keep = copies(docs, settings).filter("doc_id = component_id").groupBy("root").agg(
+    keep = exact_copies(docs, settings).filter("doc_id = component_id").groupBy("root").agg(
         F.min("component_id").alias(name), F.min("digest").alias(digest)
     ).select(name, digest).distinct()
     told = docs.withColumn(digest + "_", text_digest())

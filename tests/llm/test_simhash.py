@@ -120,6 +120,44 @@ def test_near_copies_in_tiles(spark):
         assert parts == {i: first[g] for i, (g, _) in enumerate(texts) if g < 3}
 
 
+def test_templates_stay_and_copies_go(spark):
+    """Similarities of 0.60 to 0.79 are no copies, 0.80 and more are; also in tiles and for small sets."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for words in (8, 30, 120):
+        for group in range(12):
+            base = [f"b{words}_{group}_{k}" for k in range(words)]
+            texts.append(" ".join(base))
+            for cut in (1, 2, 3, 5, 9, 14, 20):
+                texts.append(" ".join(base[: words - min(cut, words - 5)] + [f"t{k}" for k in rng.integers(0, 10**6, cut // 2)]))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    middle = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            middle += 0.6 <= s < 0.8
+            if s >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    want = [find(i) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert middle > 50 and {r.doc_id for r in S.keep_one(docs).collect()} == set(want)
+    marked, least = S._marked(docs, S.Copies())
+    names = {r.doc_id: r.node for r in marked.collect()}
+    whole = spark.createDataFrame([(n, 0) for n in set(names.values())], "node long, root long")
+    for most in (50, 1024):
+        parts = dict(map(tuple, roots(S.exact_links(docs, least, whole, S.Copies(), group_most=most)).collect()))
+        got = [parts.get(names[i], names[i]) for i in range(len(texts))]
+        assert [got.index(g) for g in got] == want
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
