@@ -26,19 +26,20 @@ BASE_KINDS = ("assign", "access", "hex")
 
 # ---- weak parts -----------------------------------------------------------------------------------
 
-#: What an identifier, a secret and an endpoint may look like when nothing else says so.
+#: What an identifier, a secret and an endpoint may look like when nothing else says so; of any length, so a span ends where its value does.
 IDENTIFIER = re.compile(
-    r"(?<![A-Za-z0-9_])(?:(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,64}"
-    r"|(?:AKIA|ASIA|AROA)[A-Z0-9]{4,60})",
+    r"(?<![A-Za-z0-9_])(?:(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9._@-]{3,}"
+    r"|(?:AKIA|ASIA|AROA)[A-Z0-9]{4,})",
     re.ASCII,
 )
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
-PASSED = re.compile(r"""(?<![A-Za-z0-9_])(?:pass(?:word|wd|phrase)?|pwd|secret(?:_?key)?)["']?\x20?[:=]\x20?["']?[^\s"']{4,64}""", re.IGNORECASE | re.ASCII)
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+PASSED = re.compile(r"""(?<![A-Za-z0-9_])(?:pass(?:word|wd|phrase)?|pwd|secret(?:_?key)?)["']?\x20?[:=]\x20?["']?[^\s"']{4,}""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp|ssh)://[A-Za-z0-9._~:/@%?&=+-]{4,200}"
-    r"|(?:host(?:name)?|server|endpoint)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9.-]{4,100})",
+    r"(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3|ftp|ssh)://[A-Za-z0-9._~:/@%?&=+-]{4,}"
+    r"|(?:host(?:name)?|server|endpoint)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9.-]{4,})",
     re.ASCII,
 )
+NAMED = {"identifier": IDENTIFIER, "passphrase": PASSED, "endpoint": ENDPOINT}
 WEAK_KINDS = ("identifier", "passphrase", "endpoint")
 KINDS = BASE_KINDS + WEAK_KINDS
 
@@ -72,7 +73,10 @@ def _random_looking(text: str, least: float) -> bool:
 
 
 def weak_parts(text: str, base: list[tuple[int, int, str]], settings: Settings) -> list[tuple[int, int, str]]:
-    """Candidates that alone mean nothing, but for what lies in a base span."""
+    """Candidates that alone mean nothing, but for what lies in a base span.
+
+    A named part that a base span begins within, such as a long URL with a token, is cut off there.
+    """
     found = [(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)]
     found += [(m.start(), m.end(), "passphrase") for m in PASSED.finditer(text)]
     found += [(m.start(), m.end(), "passphrase") for m in SECRET.finditer(text) if _random_looking(m.group(), settings.entropy)]
@@ -85,6 +89,10 @@ def weak_parts(text: str, base: list[tuple[int, int, str]], settings: Settings)
         before = bisect_left(starts, end)  # base spans that begin before this one ends
         if not before or reached[before - 1] <= start:
             free.append((start, end, kind))
+            continue
+        after = bisect_right(starts, start)
+        if after < before and (not after or reached[after - 1] <= start) and NAMED[kind].fullmatch(text, start, starts[after]):
+            free.append((start, starts[after], kind))
     return free
 
 

@@ -113,6 +113,33 @@ def test_join_equals_all_pairs():
         assert kept == want
 
 
+def test_long_parts_are_whole():
+    rng = random.Random(5)
+    for size in (64, 65, 128, 129, 300, 5000):
+        value = "aB3" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789", k=size - 3))
+        for text, want in (
+            (f"user=bob {value}", [(0, 8, "identifier"), (9, 9 + size, "passphrase")]),
+            (f"user=bob pwd={value[:-1]}!", [(0, 8, "identifier"), (9, 13 + size, "passphrase")]),
+            (f"user={value} pwd=x7!qz", [(0, 5 + size, "identifier"), (6 + size, 15 + size, "passphrase")]),
+            (f"user=bob pwd=x7!qz https://{value}", [(0, 8, "identifier"), (9, 18, "passphrase"), (19, 27 + size, "endpoint")]),
+            (f"host={value} user=bob pwd=x7!qz", [(0, 5 + size, "endpoint"), (6 + size, 14 + size, "identifier"), (15 + size, 24 + size, "passphrase")]),
+            (f"ASIA{value.upper()} pwd=x7!qz", [(0, 4 + size, "identifier"), (5 + size, 14 + size, "passphrase")]),
+        ):
+            got = S.linked_spans(text)[1]
+            assert [x for x in want if x not in got] == [], (size, text[:30])
+
+
+def test_base_span_cuts_a_long_url():
+    head = "https://db.example.com/" + "p/" * 150 + "?"
+    base, kept = S.linked_spans(f"user=bob {head}token=abcdefghijklmno")
+    assert [k for _, _, k in base] == ["assign"] and kept == [(9, 9 + len(head), "endpoint")]
+
+
+def test_long_runs_take_linear_time():
+    for text in ("aB3" * 100_000, "user=" * 50_000, "https://" * 40_000, "pwd=" * 60_000, "host=" * 50_000, "AKIA" * 60_000, "login: " * 40_000):
+        S.linked_spans(text)
+
+
 def test_many_parts():
     base, kept = S.linked_spans("user=bob pwd=x7!qz host=db.example.com " * 5000)
     assert base == [] and len(kept) == 15_000
