@@ -89,21 +89,24 @@ def fit(entries: DataFrame, settings: Settings) -> Index | None:
     )
 
 
-def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[tuple[int, int]]:
+def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int, filled: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Cells in the order of their summed distance, with a heap, until they hold ``wanted`` entries together.
 
+    ``filled`` tells which cells have entries where ``sizes`` counts fewer.
+
     A pair is looked at once a neighbour before it in both sorted lists has been taken, so the heap never
     holds more pairs than there are centroids.
     """
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
+    filled = sizes if filled is None else filled
     heap, taken, held = [(x[0] + y[0], 0, 0)], [0] * len(x), 0
     out = []
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
         taken[i] = j + 1
         cell = (int(a[i]), int(b[j]))
-        if sizes[cell]:
+        if filled[cell]:
             out.append(cell)
             held += int(sizes[cell])
         if i + 1 < len(x) and taken[i + 1] == j:
@@ -126,7 +129,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, settings: Se
     once, with the nearest of their vectors as entries and the smallest vector as a query. An empty table
     gives an empty result; other columns are not read.
 
-    Every entry is indexed. Entries are dealt out by their first centroid and, within a large one, over tiles
+    Every entry is indexed. A query visits cells until they hold the settings' share of all ids, and more than ``most``
+    where there are as many. Entries are dealt out by their first centroid and, within a large one, over tiles
     of bounded size; each query goes to the tiles of the cells it visits, and at most ``most`` candidates of
     each tile go on to the final ranking.
     """
@@ -150,7 +154,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, settings: Se
     sizes = np.zeros([len(h) for h in index.value.halves], np.int64)
     for cell in cells:
         sizes[cell.a, cell.b] = cell["count"]
-    wanted = int(np.ceil(settings.share * sizes.sum()))
+    # each id counts in one of its cells, so visited cells hold at least as many ids as counted
+    ids = np.zeros_like(sizes)
+    for cell in coded.groupBy("vec_id").agg(F.min(F.struct("a", "b")).alias("c")).groupBy("c.a", "c.b").count().collect():
+        ids[cell.a, cell.b] = cell["count"]
+    wanted = max(int(np.ceil(settings.share * ids.sum())), most + 1)
     tiles = np.maximum(1, -(-sizes.sum(1) // settings.entry_tile))
     asked = usable(queries).filter(F.size("vector") == widths[0].width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = cut_lineage(asked)
@@ -161,7 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, settings: Se
             rows, firsts, lists = [], [], []
             for k, (x, y) in enumerate(zip(*index.value.distances(_matrix(batch.column(1))))):
                 by: dict[int, list[int]] = {}
-                for a, b in traverse(x, y, sizes, wanted):
+                for a, b in traverse(x, y, ids, wanted, sizes):
                     by.setdefault(a, []).append(b)
                 rows += [k] * len(by)
                 firsts += by.keys()

@@ -58,6 +58,22 @@ def test_few_or_no_rows(spark):
     assert M.nearest(one, one).count() == 0
 
 
+@pytest.mark.parametrize("count,copies", [(3, 0), (11, 0), (12, 0), (19, 0), (11, 60)])
+def test_few_vectors_have_complete_ranks(spark, count, copies):
+    """With default settings; ``copies``: further rows of one id."""
+    rng = np.random.default_rng(count)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0.0) for i in range(count)]
+    df = spark.createDataFrame(rows + rows[:1] * copies, SCHEMA)
+    got = sorted(map(tuple, M.nearest(df, df).collect()))
+    assert [g[:2] for g in got] == [(i, k + 1) for i in range(count) for k in range(min(10, count - 1))]
+    for q, _, i, score in got:
+        assert math.isclose(score, math.dist(rows[q][1], rows[i][1]), rel_tol=1e-9)
+    if count <= 11:
+        for q in range(count):
+            want = sorted((i for i in range(count) if i != q), key=lambda i: math.dist(rows[q][1], rows[i][1]))
+            assert [g[2] for g in got if g[0] == q] == want
+
+
 @pytest.mark.parametrize("sf,least", [("sf0.01", 0.9), ("sf0.1", 0.9)])
 def test_recall_of_the_query(spark, sf, least):
     path = f"/root/testdata/{sf}"
