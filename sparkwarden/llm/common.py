@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -44,6 +45,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         yield batch.slice(start), texts[start:]
 
 
+def pieces(text: bytes, between: re.Pattern[bytes], size: int) -> Iterator[bytes]:
+    """Cut a text into pieces of ``size`` bytes or more, each but the last ending before a match of ``between``.
+
+    A word longer than that is not cut, so no piece ends inside a word.
+    """
+    start = 0
+    while start < len(text):
+        found = between.search(text, start + size) if start + size < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
 def batch_of(columns: Iterable[tuple[str, object, pa.DataType]]) -> pa.RecordBatch:
     """A record batch from (name, values, type)."""
     names, arrays = [], []

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import chunks, licenses, merkle, multi_index, nbest, packing, pii, quality, secrets, simhash
+from sparkwarden.llm import (
+    chunks, licenses, merkle, multi_index, nbest, packing, pii, quality, relations, resample, secrets, simhash, vantage,
+)
 from sparkwarden.llm.common import table
+from sparkwarden.llm.sql import SQL as SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -107,3 +109,18 @@ def op8_licenses(spark, sf_dir):
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+@query
+def op11_resample(spark, sf_dir):
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_set_relations(spark, sf_dir):
+    return relations.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vantage_clusters(spark, sf_dir):
+    return vantage.clusters(table(spark, sf_dir, "embeddings"))
