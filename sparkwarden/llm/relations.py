@@ -143,10 +143,12 @@ def marked(docs: DataFrame, classes: np.ndarray, settings: Settings) -> DataFram
     """(doc_id, digest, rec, n, p0..p3, prefix) of every row: ``rec`` names its set, ``prefix`` holds its rarest shingles in order.
 
     The order is by frequency class, then by hash: one order for all sets, so linked sets share a shingle of their prefixes.
+    A task gives a set's prefix once, so copies do not come back in the lists.
     """
     shingle, seed, percent, size = settings.shingle, settings.seed, settings.percent, settings.sketch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             recs, counts, bits, prefixes = [], [], [], []
             for text in byte_list(batch.column(2)):
@@ -154,8 +156,10 @@ def marked(docs: DataFrame, classes: np.ndarray, settings: Settings) -> DataFram
                 recs.append(set_name(tokens, seed))
                 counts.append(len(tokens))
                 bits.append(parity(tokens))
-                order = np.lexsort((tokens, classes[_place(tokens, size)]))
-                prefixes.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64))
+                length = prefix_length(len(tokens), percent) if recs[-1] not in seen else 0
+                order = np.lexsort((tokens, classes[_place(tokens, size)]))[:length] if length else []
+                prefixes.append(tokens[order].view(np.int64))
+                seen.add(recs[-1])
             flat = np.array(bits, np.int64).reshape(-1, 4)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             yield batch_of(
@@ -175,21 +179,26 @@ def _digest() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def index_lists(sets: DataFrame) -> DataFrame:
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """(rec, n, p0..p3, digest) of every distinct set that is not empty; ``digest`` is that of one of its texts."""
+    return rows.filter("n > 0").select("rec", "n", *PARITY, "digest").dropDuplicates(["rec"])
+
+
+def index_lists(rows: DataFrame) -> DataFrame:
     """(token, leader, rec, n, pos): the lists of the shingles that prefixes of several sets share.
 
     A list's leader is the set where the shingle stands earliest. A copy's own shingles are rare and come first,
-    so the text that copies derive from is the likeliest to lead.
+    so the text that copies derive from is the likeliest to lead. Most shingles of a prefix are no other set's: rows are kept narrow
+    until these are gone.
     """
-    entries = sets.select("rec", "n", F.posexplode("prefix").alias("pos", "token"))
-    first = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
-    leaders = (
-        entries.groupBy("token")
-        .agg(F.min("rec").alias("low"), F.max("rec").alias("high"), F.min_by("rec", first).alias("leader"))
-        .filter("low < high")
-        .select("token", "leader")
+    entries = rows.select("rec", "n", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", "rec", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("at")
     )
-    return entries.join(leaders, "token").select("token", "leader", "rec", "n", "pos")
+    shared = entries.groupBy("token").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).filter("low < high").select("token")
+    lists = cut_lineage(entries.join(shared, "token").dropDuplicates(["token", "rec"]))
+    leaders = lists.groupBy("token").agg(F.min_by("rec", "at").alias("leader"))
+    n = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return lists.join(leaders, "token").select("token", "leader", "rec", n.alias("n"), F.shiftright("at", 32).cast("int").alias("pos"))
 
 
 # ---- exact answers --------------------------------------------------------------------------------
@@ -209,7 +218,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, recs: DataFrame, settings: Settings) -> DataFrame:
-    """(rec, tokens): the sets named by ``recs``, made from their texts once more.
+    """(rec, tokens): the sets named by ``recs``, and perhaps some others, made from their texts once more; each once.
 
     A text is read again only if its digest is among the marks of the wanted ones; nothing is joined with the whole corpus.
     """
@@ -225,20 +234,22 @@ def whole_sets(docs: DataFrame, sets: DataFrame, recs: DataFrame, settings: Sett
     packed = _merged(wanted.mapInArrow(mark, "slice int, part binary"), np.uint8, np.bitwise_or, lambda v: v, size // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            at = _place(batch.column(0).to_numpy().view(np.uint64), size)
-            hit = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)) & 1)
-            texts = byte_list(batch.column(1).take(pa.array(hit)))
-            found = [shingles(t, shingle, seed) for t in texts]
+            digests = batch.column(0).to_numpy()
+            at = _place(digests.view(np.uint64), size)
+            hit = [i for i in np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)) & 1).tolist() if digests[i] not in seen]
+            seen.update(digests[hit].tolist())
+            found = [shingles(t, shingle, seed) for t in byte_list(batch.column(1).take(pa.array(hit, pa.int64())))]
             recs = [set_name(t, seed) for t in found]
             yield batch_of([("rec", recs, pa.int64()), ("tokens", [t.view(np.int64) for t in found], pa.list_(pa.int64()))])
 
     read = docs.select(_digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(run, "rec long, tokens array<long>")
-    return cut_lineage(read.dropDuplicates(["rec"]).join(recs, "rec", "left_semi"))
+    return read.dropDuplicates(["rec"])
 
 
 def overlaps(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(a, b, a_n, b_n, shared): the exact intersection of each pair."""
+    """(a, b, a_n, b_n, shared): the exact intersection of each pair. Both joins use one exchange of the sets."""
     a, b = (whole.select(F.col("rec").alias(s), F.col("tokens").alias(f"{s}_tokens")) for s in "ab")
     return pairs.join(a, "a").join(b, "b").select(
         "a", "b", F.size("a_tokens").alias("a_n"), F.size("b_tokens").alias("b_n"), F.size(F.array_intersect("a_tokens", "b_tokens")).alias("shared")
@@ -372,13 +383,13 @@ def open_pairs(lists: DataFrame, answers: DataFrame, comps: DataFrame, sets: Dat
     return groups.select("leader_n", "entries").mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def set_links(docs: DataFrame, sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def set_links(docs: DataFrame, rows: DataFrame, sets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Links (a, b) between distinct sets that connect all linked ones, and no others.
 
     First every list's entries are compared with its leader; then only what these answers leave open between different components.
     """
     percent = settings.percent
-    lists = cut_lineage(index_lists(sets))
+    lists = cut_lineage(index_lists(rows))
     to_leader = lists.filter("rec <> leader").select(F.col("rec").alias("a"), F.col("leader").alias("b")).distinct()
     asked = cut_lineage(possible(to_leader, sets, percent))
     whole = whole_sets(docs, sets, asked.select(F.col("a").alias("rec")).union(asked.select("b")).distinct(), settings)
@@ -403,8 +414,8 @@ def similar_documents(docs: DataFrame, settings: Settings = Settings()) -> DataF
     an empty result; other columns are not read. Texts are read in pieces, so a very long one costs eight bytes a word.
     """
     rows = cut_lineage(marked(docs, frequency_classes(docs, settings), settings))
-    sets = cut_lineage(rows.filter("n > 0").dropDuplicates(["rec"]).drop("doc_id"))
-    parts = roots(set_links(docs, sets, settings)).withColumnRenamed("node", "rec")
+    sets = cut_lineage(distinct_sets(rows))
+    parts = roots(set_links(docs, rows, sets, settings)).withColumnRenamed("node", "rec")
     least = rows.filter("n > 0").groupBy("rec").agg(F.min("doc_id").alias("first")).join(parts, "rec", "left")
     least = cut_lineage(least.withColumn("root", F.coalesce("root", "rec")))
     named = least.select("rec", "root").join(least.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("rec", "component_id")

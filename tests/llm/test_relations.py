@@ -153,10 +153,10 @@ def test_copies_are_not_paired(spark):
     texts = [" ".join(edited(draw, base, 0.003)) for _ in range(400)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     settings = S.Settings()
-    sets = S.marked(df, S.frequency_classes(df, settings), settings).filter("n > 0").dropDuplicates(["rec"])
-    lists = S.index_lists(sets)
+    rows = S.marked(df, S.frequency_classes(df, settings), settings)
+    lists = S.index_lists(rows)
     assert lists.filter("rec <> leader").select("rec", "leader").distinct().count() < 400 * 20
-    links = S.set_links(df, sets, settings)
+    links = S.set_links(df, rows, S.distinct_sets(rows), settings)
     assert links.count() < 400 * 20
     assert S.roots(links).select("root").distinct().count() == 1
 
