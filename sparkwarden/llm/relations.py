@@ -34,7 +34,7 @@ class Settings:
     shingle: int = 4
     percent: int = 85
     seed: int = 42
-    sketch: int = 1 << 21
+    sketch: int = 1 << 20
     block: int = 2048
     marks: int = 1 << 24
 
@@ -65,12 +65,17 @@ def set_name(tokens: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), seed)).astype(np.int64))
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, bits: int = 256) -> np.ndarray:
     """Two sets differ in at least as many shingles as in parity bits."""
-    odd = (np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    odd = (np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def wide_parity(tokens: np.ndarray) -> np.ndarray:
+    """As many parity bits as a large set has shingles, or up to twice as many; 256 would all be taken. None for a small one."""
+    return parity(tokens, 1 << (len(tokens) - 1).bit_length()) if len(tokens) > 512 else np.array([], np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Linked sets share one of so many rarest shingles, since they share ``percent`` of each."""
     return n + -percent * n // 100 + 1 if n else 0
@@ -140,7 +145,7 @@ def frequency_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
 
 
 def marked(docs: DataFrame, classes: np.ndarray, settings: Settings) -> DataFrame:
-    """(doc_id, digest, rec, n, p0..p3, prefix) of every row: ``rec`` names its set, ``prefix`` holds its rarest shingles in order.
+    """(doc_id, digest, rec, n, p0..p3, wide, prefix) of every row: ``rec`` names its set, ``prefix`` holds its rarest shingles in order.
 
     The order is by frequency class, then by hash: one order for all sets, so linked sets share a shingle of their prefixes.
     A task gives a set's prefix once, so copies do not come back in the lists.
@@ -150,12 +155,13 @@ def marked(docs: DataFrame, classes: np.ndarray, settings: Settings) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            recs, counts, bits, prefixes = [], [], [], []
+            recs, counts, bits, wide, prefixes = [], [], [], [], []
             for text in byte_list(batch.column(2)):
                 tokens = shingles(text, shingle, seed)
                 recs.append(set_name(tokens, seed))
                 counts.append(len(tokens))
                 bits.append(parity(tokens))
+                wide.append(wide_parity(tokens))
                 length = prefix_length(len(tokens), percent) if recs[-1] not in seen else 0
                 order = np.lexsort((tokens, classes[_place(tokens, size)]))[:length] if length else []
                 prefixes.append(tokens[order].view(np.int64))
@@ -165,13 +171,13 @@ def marked(docs: DataFrame, classes: np.ndarray, settings: Settings) -> DataFram
             yield batch_of(
                 [
                     ("doc_id", batch.column(0), None), ("digest", batch.column(1), None), ("rec", recs, pa.int64()), ("n", counts, pa.int32()),
-                    *[(p, flat[:, i], pa.int64()) for i, p in enumerate(PARITY)],
+                    *[(p, flat[:, i], pa.int64()) for i, p in enumerate(PARITY)], ("wide", wide, pa.list_(pa.int64())),
                     ("prefix", pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())), None),
                 ]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, digest long, rec long, n int, " + ", ".join(f"{p} long" for p in PARITY) + ", prefix array<long>"
+        run, "doc_id long, digest long, rec long, n int, " + ", ".join(f"{p} long" for p in PARITY) + ", wide array<long>, prefix array<long>"
     )
 
 
@@ -180,8 +186,8 @@ def _digest() -> Column:
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """(rec, n, p0..p3, digest) of every distinct set that is not empty; ``digest`` is that of one of its texts."""
-    return rows.filter("n > 0").select("rec", "n", *PARITY, "digest").dropDuplicates(["rec"])
+    """(rec, n, p0..p3, wide, digest) of every distinct set that is not empty; ``digest`` is that of one of its texts."""
+    return rows.filter("n > 0").select("rec", "n", *PARITY, "wide", "digest").dropDuplicates(["rec"])
 
 
 def index_lists(rows: DataFrame) -> DataFrame:
@@ -208,13 +214,26 @@ def _facts(sets: DataFrame, side: str) -> DataFrame:
     return sets.select(F.col("rec").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PARITY)])
 
 
+def _differing(a: str, b: str) -> str:
+    """In how many wide parity bits a and b differ; of the one with twice as many, bits that fall together are added first."""
+    half = "CASE WHEN size({0}) > size({1}) THEN zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q) ELSE {0} END"
+    return f"aggregate(zip_with({half.format(a, b)}, {half.format(b, a)}, (p, q) -> p ^ q), 0, (sum, v) -> sum + bit_count(v))"
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and parity bits allow a link."""
     both = pairs.join(_facts(sets, "a"), "a").join(_facts(sets, "b"), "b")
     differing = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITY), F.lit(0))
     needed = F.expr(f"({percent}L * (a_n + b_n) + {99 + percent}) div {100 + percent}")
     sizes = F.least("a_n", "b_n").cast("long") * 100 >= F.greatest("a_n", "b_n").cast("long") * percent
-    return both.filter(sizes & (differing <= F.col("a_n") + F.col("b_n") - 2 * needed)).select("a", "b")
+    most = F.col("a_n") + F.col("b_n") - 2 * needed
+    near = both.filter(sizes & (differing <= most)).select("a", "b", most.alias("most"))
+    large = sets.filter(F.size("wide") > 0)
+    for side in "ab":
+        near = near.join(large.select(F.col("rec").alias(side), F.col("wide").alias(f"{side}_wide")), side, "left")
+    # by halving once the two become equally long, else there is nothing to compare
+    halved = F.expr("size(a_wide) IN (size(b_wide), 2 * size(b_wide)) OR size(b_wide) = 2 * size(a_wide)")
+    return near.filter(~F.coalesce(halved & (F.expr(_differing("a_wide", "b_wide")) > F.col("most")), F.lit(False))).select("a", "b")
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, recs: DataFrame, settings: Settings) -> DataFrame:

@@ -146,6 +146,24 @@ def test_list_pairs_lose_no_link():
                     assert links
 
 
+def test_wide_parity_keeps_linked_pairs(spark):
+    """Large sets on both sides of a power of two: no linked pair is filtered, unlike ones are."""
+    draw = random.Random(12)
+    texts = []
+    for size in (500, 520, 1030, 2040):
+        base = [f"v{draw.randrange(10**6)}" for _ in range(size)]
+        texts += [" ".join(edited(draw, base, share)) for share in (0.002, 0.01, 0.02, 0.03)]
+        texts += [" ".join(base[: size * 92 // 100]), " ".join(base[: size // 2] + [f"u{i}" for i in range(size // 2)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = S.marked(df, S.frequency_classes(df, S.Settings()), S.Settings()).cache()
+    names = {r.doc_id: r.rec for r in rows.collect()}
+    pairs = spark.createDataFrame([(names[i], names[j]) for i in names for j in names if i > j], "a long, b long")
+    kept = {frozenset(r) for r in S.possible(pairs, S.distinct_sets(rows), 85).collect()}
+    sets = {names[i]: shingle_set(t) for i, t in enumerate(texts)}
+    links = {frozenset((a, b)) for a, b in pairs.collect() if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= kept and len(kept) < len(texts) * 4
+
+
 def test_copies_are_not_paired(spark):
     """A group of near copies costs pairs in proportion to its size, not to its square."""
     draw = random.Random(4)
