@@ -181,3 +181,30 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a file stream. As a glob the path may be one file as well as a folder."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+# ---- streams: which rows arrive in which of three rounds ------------------------------------------
+
+ROUNDS = 3
+ROUND = "CAST(doc_id % 3 AS INT)"
+# the code line of the next document: what an edit puts there
+EDITED = CORPUS | {"content": f"text || chr(10) || {CODE_LINE.replace('doc_id', '(doc_id + 1)')}"}
+STALE = CORPUS | {"content": """'m = "gpt-4-old"'"""}
+
+# file versions as (adapter, condition, round, time of change): edits beside or after the first version, and one that comes late
+VERSIONS = (
+    (CORPUS, "TRUE", ROUND, 10),
+    (EDITED, "doc_id % 5 = 0", "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE CAST(doc_id % 3 AS INT) END", 20),
+    (STALE, "doc_id % 7 = 0", "2", 5),
+)
+
+# files of a tree on disk, hidden names among them
+TREE_NAME = """source || '/' || CASE doc_id % 4 WHEN 0 THEN '_f' WHEN 1 THEN '.f' WHEN 2 THEN '__init__' ELSE 'f' END
+ || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.php' WHEN 2 THEN '.js' WHEN 3 THEN '.ts' ELSE '.md' END"""
+TREE_EDIT = """text || chr(10) || 'org_id = "edited"'"""
+# (condition, content or null where the file is deleted) of each round
+TREE_ROUNDS = (
+    (("doc_id % 3 <> 2", "text"),),
+    (("doc_id % 3 = 2", "text"), ("doc_id % 3 <> 2 AND doc_id % 5 = 0", TREE_EDIT)),
+    (("doc_id % 7 = 0", "CAST(NULL AS STRING)"),),
+)

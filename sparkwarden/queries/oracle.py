@@ -329,6 +329,17 @@ SELECT event_id, {USABLE_DIRECT.replace('parsed', 'd')} AS direct_ok, {USABLE_NO
  CASE WHEN json_type(d) = 'OBJECT' THEN {direct_score('d')} END AS direct_score,
  {noisy_score('n')} AS noisy_score FROM r"""
 
+# ---- trees ----------------------------------------------------------------------------------------
+
+
+def _tree_rows(batch: int, where: str, content: str) -> str:
+    text = f"replace(replace({content}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return f"""SELECT CAST({batch} AS INT) AS batch, {A.TREE_NAME} AS name, md5({text}) AS digest, {content} IS NULL AS deleted,
+ CAST(NULL AS VARCHAR) AS error FROM documents WHERE {where} AND regexp_matches({A.TREE_NAME}, '[.](py|php|js|ts)$')"""
+
+
+TREE = "\nUNION ALL\n".join(_tree_rows(k, *change) for k, changes in enumerate(A.TREE_ROUNDS) for change in changes)
+
 # ---- responses to results -----------------------------------------------------------------------
 
 _KEY = "run_id, file_path, analysis_type"
@@ -535,6 +546,11 @@ def oracle_sql() -> dict[str, str]:
     requests = task_rows(("deep_scan", "code_quality"))
     size = f"length({USER_PROMPT})"
     eligible_scan = scan(ELIGIBLE)
+    last = f"CASE WHEN doc_id % 5 = 0 THEN {A.EDITED['content']} ELSE {A.CORPUS['content']} END"
+    hypotheses_last = with_ctes(
+        scan(A.as_sql(A.CORPUS | {"content": last}, "documents")) | {"sig": "SELECT *, type AS rule_id FROM found"},
+        hypotheses_of("sig", "line_number, pattern_ord, match_no", "'static'"),
+    )
     hypotheses_all = with_ctes(
         scan() | {"sig": "SELECT *, type AS rule_id FROM found"},
         hypotheses_of("sig", "line_number, pattern_ord, match_no", "'static'"),
@@ -678,9 +694,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_scan": with_ctes(eligible_scan, f"SELECT {FLAT} FROM found"),
         "stream_upsert": UPSERT,
-        "stream_hypotheses": hypotheses_all,
+        "stream_hypotheses": hypotheses_last,
         "stream_transitions": OUTCOMES,
-        "stream_filter_reload": f"SELECT root, file_path FROM ({ELIGIBLE})",
+        "stream_filter_reload": f"""SELECT root, file_path FROM (SELECT doc_id, {A.CORPUS['root']} AS root, {A.FILE_PATH} AS file_path FROM documents)
+ WHERE {SOURCE_FILE} AND CASE doc_id % 3 WHEN 0 THEN NOT {EXCLUDED} WHEN 1 THEN NOT {_OUT} ELSE TRUE END""",
+        "stream_tree": TREE,
         "stream_checkpoint": logged,
         "stream_trace": with_ctes(scan(), HIT_EVENTS),
     }

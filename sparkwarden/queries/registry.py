@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,10 @@ from sparkwarden.operators.transitions import judge_requests, move_states
 from sparkwarden.plans import audit
 from sparkwarden.queries import adapters as A
 from sparkwarden.session import cut_lineage, prepare, scratch_path
+from sparkwarden.sources import changes as changes_of
 from sparkwarden.sources import stores
 from sparkwarden.sources.config import AuditConfig, default_config
-from sparkwarden.streaming import jobs
+from sparkwarden.streaming import jobs, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -656,35 +661,107 @@ def stream_scan(spark, sf_dir):
     return _flat(spark.read.parquet(out))
 
 
+def _in_rounds(spark, rows, start) -> str:
+    """Let ``rows`` arrive in rounds, a micro-batch each; the job's output folder. ``start(stream, out, checkpoint, round)``."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("arriving", "stream", "checkpoint"))
+    schema = rows.drop("round").schema
+    for k in range(A.ROUNDS):
+        rows.filter(F.col("round") == k).drop("round").write.parquet(f"{source}/r{k}")
+        start(spark.readStream.schema(schema).parquet(f"{source}/r*"), out, checkpoint, k).awaitTermination()
+    return out
+
+
 @query
 def stream_upsert(spark, sf_dir):
-    files = tasks.eligible(_corpus_stream(spark, sf_dir), P.SCAN_EXTENSIONS, default_config().path_filter())
-    found = build_proposals(files, A.LATER, A.SCAN_ID)
-    out = _run(spark, lambda o, c: jobs.sighting_stream(found, o, c))
-    return _flat(B.upsert_backlog(_prior(spark, sf_dir), jobs.sightings(spark, out)))
+    """Three batches, two of them folded into the snapshot of the earlier backlog, one of these folded twice."""
+    documents = A.table(spark, sf_dir, "documents")
+    arriving = documents.selectExpr(*[f"{e} AS {n}" for n, e in A.CORPUS.items()], f"{A.ROUND} AS round")
+    snapshot = scratch_path(spark, "snapshot")
+    snapshots.create_snapshot(_prior(spark, sf_dir), snapshot, buckets=8)
+
+    def start(stream, out, checkpoint, k):
+        files = tasks.eligible(stream, P.SCAN_EXTENSIONS, default_config().path_filter())
+        if k == 1:
+            snapshots.fold(spark, snapshot, out)
+        return jobs.sighting_stream(build_proposals(files, A.LATER, A.SCAN_ID), out, checkpoint)
+
+    out = _in_rounds(spark, arriving, start)
+    for _ in range(2):
+        snapshots.fold(spark, snapshot, out, up_to=2)
+    return _flat(snapshots.current_backlog(spark, snapshot, out))
 
 
 @query
 def stream_hypotheses(spark, sf_dir):
-    corpus = _corpus_stream(spark, sf_dir)
-    out = _run(spark, lambda o, c: jobs.hypothesis_stream(corpus, o, c, A.AS_OF))
-    return _flat_hypotheses(jobs.latest_hypotheses(spark, out))
+    """Three batches of file versions: edits beside and after the first version, late old ones; a compaction between."""
+    documents = A.table(spark, sf_dir, "documents")
+    parts = [
+        documents.filter(where).selectExpr(*[f"{e} AS {n}" for n, e in adapter.items()], f"CAST({time} AS BIGINT) AS modified", f"{arrives} AS round")
+        for adapter, where, arrives, time in A.VERSIONS
+    ]
+    start = lambda stream, out, checkpoint, _: jobs.hypothesis_stream(stream, out, checkpoint, A.AS_OF, compact_every=2)
+    return _flat_hypotheses(jobs.latest_hypotheses(spark, _in_rounds(spark, reduce(DataFrame.unionByName, parts), start)))
 
 
 @query
 def stream_transitions(spark, sf_dir):
-    states = _table(spark, sf_dir, "labels", A.START_STATES)
-    requests = A.select(A.stream(spark, sf_dir, "events"), A.TRANSITIONS)
-    out = _run(spark, lambda o, c: jobs.transition_stream(requests, states, o, c))
-    return _flat_outcomes(jobs.read_batches(spark, out))
+    """Requests in the order of their time, a third of the time to a batch; all states are stored once between."""
+    states, log = _transition_inputs(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = log.agg(F.coalesce(F.min(micros), F.lit(0)), F.coalesce(F.max(micros), F.lit(0))).first()
+    at = F.floor(A.ROUNDS * (micros - first) / (last - first + 1)).cast("int")
+    start = lambda stream, out, checkpoint, _: jobs.transition_stream(stream, states, out, checkpoint, compact_every=2)
+    return _flat_outcomes(jobs.read_batches(spark, _in_rounds(spark, log.withColumn("round", at), start)))
 
 
 @query
 def stream_filter_reload(spark, sf_dir):
-    corpus = _corpus_stream(spark, sf_dir).select("root", "file_path")
-    load = lambda: default_config().path_filter()
-    out = _run(spark, lambda o, c: jobs.filtered_stream(corpus, load, o, c))
-    return jobs.read_batches(spark, out).select("root", "file_path")
+    """Three batches; the filter is another one for each."""
+    paths = A.table(spark, sf_dir, "documents").selectExpr(f"{A.CORPUS['root']} AS root", f"{A.FILE_PATH} AS file_path", f"{A.ROUND} AS round")
+    filters = [default_config().path_filter(), P.PathFilter(exclude=A.EXCLUDE), P.PathFilter()]
+    now = {}
+
+    def start(stream, out, checkpoint, k):
+        now["filter"] = filters[k]
+        return jobs.filtered_stream(stream, lambda: now["filter"], out, checkpoint)
+
+    return jobs.read_batches(spark, _in_rounds(spark, paths, start)).select("root", "file_path")
+
+
+def _write_files(root: str, rows: DataFrame) -> None:
+    """Put ``rows(name, content)`` below a folder, a null content deletes; the files are written by tasks."""
+
+    def put(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{root}/{row['name']}"
+                if row["content"] is None:
+                    os.remove(path)
+                    continue
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8", newline="") as handle:
+                    handle.write(row["content"])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows.mapInArrow(put, "n BIGINT").agg(F.sum("n")).collect()
+
+
+@query
+def stream_tree(spark, sf_dir):
+    """A tree on disk over three listings: new, edited and deleted files, names that Spark's file source hides."""
+    base = re.sub("^file:/+", "/", scratch_path(spark, "files"))
+    root, state = f"{base}/tree", f"{base}/state"
+    out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
+    documents = A.table(spark, sf_dir, "documents")
+    start = lambda stream: jobs._start(jobs._per_batch(stream, lambda batch, _: batch, out), checkpoint, None)
+    for changes in A.TREE_ROUNDS:
+        for where, content in changes:
+            _write_files(root, documents.filter(where).selectExpr(f"{A.TREE_NAME} AS name", f"{content} AS content").repartition(8))
+        changes_of.follow_tree(spark, root, state, start)
+    return jobs.read_batches(spark, out).select(
+        F.col("batch_id").cast("int").alias("batch"), F.substring("file_path", len(os.path.realpath(root)) + 2, 1 << 20).alias("name"),
+        F.md5("content").alias("digest"), "deleted", "error",
+    )
 
 
 @query

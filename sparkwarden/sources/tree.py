@@ -19,8 +19,8 @@ from sparkwarden.functions.text import read_text
 from sparkwarden.operators.plugins import batches_of
 from sparkwarden.session import scratch_path
 
-ENTRY_SCHEMA = "kind STRING, path STRING"
-ENTRY_ARROW = pa.schema([("kind", pa.string()), ("path", pa.string())])
+ENTRY_SCHEMA = "kind STRING, path STRING, modified BIGINT, length BIGINT"
+ENTRY_ARROW = pa.schema([("kind", pa.string()), ("path", pa.string()), ("modified", pa.int64()), ("length", pa.int64())])
 FILE_ARROW = pa.schema(
     [("root", pa.string()), ("file_path", pa.string()), ("data", pa.binary()), ("error", pa.string())]
 )
@@ -39,11 +39,22 @@ def _entries(extensions: tuple[str, ...], batches: Iterator[pa.RecordBatch]) ->
                     if entry.is_dir(follow_symlinks=False):
                         yield {"kind": "dir", "path": entry.path}
                     elif entry.name.endswith(extensions) and entry.is_file():
-                        yield {"kind": "file", "path": os.path.realpath(entry.path)}
+                        try:
+                            facts = entry.stat()
+                        except OSError:
+                            # gone since it was listed
+                            continue
+                        path = os.path.realpath(entry.path)
+                        yield {"kind": "file", "path": path, "modified": facts.st_mtime_ns, "length": facts.st_size}
 
 
 def list_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS) -> DataFrame:
     """``(root, file_path)`` of all matching files, symbolic links resolved, each path once."""
+    return list_versions(spark, root, extensions).select("root", "file_path")
+
+
+def list_versions(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_EXTENSIONS) -> DataFrame:
+    """``(root, file_path, modified, length)``: the files with the time of their last change, in nanoseconds, and their size."""
     root, wanted = os.path.realpath(root), tuple(extensions)
     out = scratch_path(spark, "tree")
     level, depth = spark.createDataFrame([(root,)], "path STRING"), 0
@@ -59,7 +70,7 @@ def list_tree(spark: SparkSession, root: str, extensions: Iterable[str] = SCAN_E
         level = level.repartition(spark.sparkContext.defaultParallelism)
         depth += 1
     files = spark.read.schema(f"{ENTRY_SCHEMA}, depth INT").parquet(out).filter("kind = 'file'")
-    return files.select(F.lit(root).alias("root"), F.col("path").alias("file_path")).dropDuplicates(["file_path"])
+    return files.select(F.lit(root).alias("root"), F.col("path").alias("file_path"), "modified", "length").dropDuplicates(["file_path"])
 
 
 def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

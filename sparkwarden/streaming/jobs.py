@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,12 +23,16 @@ from sparkwarden.operators.rules import BUILTIN_RULES, Rule
 from sparkwarden.operators.tasks import eligible
 from sparkwarden.operators.trace import hit_events
 from sparkwarden.operators.transitions import judge_requests
+from sparkwarden.session import cut_lineage
 
 BINARY_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def file_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """New and changed files below a folder as a corpus stream (hidden names are left out)."""
+    """New files below a folder as a corpus stream, each once, as Spark's own file source finds them.
+
+    Hidden names are left out and edited files do not come again; ``sources.changes.tree_stream`` has both.
+    """
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -91,8 +96,8 @@ def sighting_stream(proposals: DataFrame, out: str, checkpoint: str,
                     interval: str | None = None) -> StreamingQuery:
     """Continuous upsert, write side: each micro-batch stores only its own proposals.
 
-    ``upsert_backlog(prior, sightings(...))`` gives the current backlog; folding it into a new snapshot
-    from time to time keeps the pending part short. A batch thus costs its own size, not the backlog's.
+    ``upsert_backlog(prior, sightings(...))`` gives the current backlog; ``snapshots.fold`` takes batches into
+    a snapshot and keeps the pending part short. A batch thus costs its own size, not the backlog's.
     """
     return _start(_per_batch(proposals, lambda batch, _: batch, out), checkpoint, interval)
 
@@ -103,27 +108,73 @@ def sightings(spark: SparkSession, out: str) -> DataFrame:
     return rows.withColumn("ord", F.struct("batch_id", "ord"))
 
 
+def _arrival(columns: Iterable[str]) -> list[Column]:
+    """What tells versions of a file apart: time of change and listing, where the stream has them."""
+    return [(F.col(c) if c in columns else F.lit(0)).cast("bigint").alias(c) for c in ("modified", "listing")]
+
+
 def hypothesis_stream(corpus: DataFrame, out: str, checkpoint: str, as_of,
-                      rules: Iterable[Rule] = BUILTIN_RULES, interval: str | None = None) -> StreamingQuery:
+                      rules: Iterable[Rule] = BUILTIN_RULES, interval: str | None = None, compact_every: int = 20) -> StreamingQuery:
     """Keep hypotheses up to date: a file's hypotheses come from that file, so a batch needs no earlier ones.
 
-    Each batch stores the hypotheses of its files and which files it saw. A file that arrives again replaces
-    what it gave before; of one that comes twice in a batch one version counts.
+    ``corpus`` may carry ``modified`` and ``listing``, which order the versions of a file, and ``deleted``. Each batch stores
+    the hypotheses of its files and which versions it saw. The newest version replaces what earlier ones gave, in whatever
+    order they come; of equally new ones that of the later batch counts, and within a batch the content decides, so a
+    replay chooses the same. Every ``compact_every`` batches what still counts is stored as one table.
     """
+    spark = corpus.sparkSession
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        files = batch.dropDuplicates(["file_path"])
-        found = build_hypotheses(signals_of(build_proposals(files, _now(as_of, batch_id), None, rules)))
-        found.write.mode("overwrite").parquet(f"{out}/hypotheses/batch_id={batch_id}")
-        batch.select("file_path").distinct().write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            _compact(spark, out, batch_id)
+        gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in batch.columns else F.lit(False)
+        version = F.struct(*_arrival(batch.columns), F.xxhash64("content").alias("digest"))
+        # read once: contents may cost a read of the tree
+        files = cut_lineage(batch.select("root", "file_path", F.when(~gone, F.col("content")).alias("content"), version.alias("version")))
+        newest = files.groupBy("file_path").agg(F.max("version").alias("newest"))
+        older = files.select("file_path", "version").join(newest, "file_path").filter("version < newest").select("file_path", "version").distinct()
+        kept = files.join(older, ["file_path", "version"], "left_anti")
+        found = signals_of(build_proposals(kept, _now(as_of, batch_id), None, rules))
+        # one version that came twice gives its signals twice
+        single = found.dropDuplicates(["rule_id", "file_path", "ord"])
+        build_hypotheses(single).write.mode("overwrite").parquet(f"{out}/hypotheses/batch_id={batch_id}")
+        newest.select("file_path", "newest.modified", "newest.listing").write.mode("overwrite").parquet(f"{out}/files/batch_id={batch_id}")
 
     return _start(corpus.writeStream.foreachBatch(store), checkpoint, interval)
 
 
+def _stored(spark: SparkSession, out: str, end: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files and hypotheses of the last compaction and of the batches since, those before ``end`` if given."""
+    try:
+        tables = spark.read.parquet(f"{out}/base/files")
+        base = tables.filter(F.col("at") < end) if end is not None else tables
+        at = base.agg(F.max("at")).first()[0]
+    except AnalysisException:
+        at = None
+    parts = []
+    for name in ("files", "hypotheses"):
+        rows = read_batches(spark, f"{out}/{name}").filter(F.col("batch_id") >= (at or 0))
+        rows = rows.filter(F.col("batch_id") < end) if end is not None else rows
+        parts.append(rows if at is None else rows.unionByName(spark.read.parquet(f"{out}/base/{name}/at={at}")))
+    return parts[0], parts[1]
+
+
+def _newest_hypotheses(files: DataFrame, hypotheses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    place = F.struct("modified", "listing", "batch_id")
+    newest = files.groupBy("file_path").agg(F.max(place).alias("v")).select("file_path", "v.*")
+    return newest, hypotheses.join(newest.select("file_path", "batch_id"), ["file_path", "batch_id"])
+
+
+def _compact(spark: SparkSession, out: str, end: int) -> None:
+    """Store what counts of the batches before ``end``; files last, as they make the table count."""
+    files, found = _newest_hypotheses(*_stored(spark, out, end))
+    for rows, name in ((found, "hypotheses"), (files, "files")):
+        rows.write.mode("overwrite").parquet(f"{out}/base/{name}/at={end}")
+
+
 def latest_hypotheses(spark: SparkSession, out: str) -> DataFrame:
-    """The hypotheses of every file as of the last batch that saw it."""
-    newest = read_batches(spark, f"{out}/files").groupBy("file_path").agg(F.max("batch_id").alias("batch_id"))
-    return read_batches(spark, f"{out}/hypotheses").join(newest, ["file_path", "batch_id"]).drop("batch_id")
+    """The hypotheses of the newest version of every file; reads the last compaction and the batches since."""
+    return _newest_hypotheses(*_stored(spark, out))[1].drop("batch_id")
 
 
 def transition_stream(requests: DataFrame, backlog: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str,
