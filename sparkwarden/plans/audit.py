@@ -25,8 +25,11 @@ class AuditRun:
     report: DataFrame
 
 
-def static_responses(files: DataFrame, tasks: DataFrame, config: AuditConfig, analyzer_ord: int) -> DataFrame:
-    """The static analyzer's answers: the findings of each file as a JSON list, for all its tasks."""
+def static_responses(files: DataFrame, tasks: DataFrame, config: AuditConfig, analyzer_ord: int, as_of: str | None = None) -> DataFrame:
+    """The static analyzer's answers: the findings of each file as a JSON list, for all its tasks.
+
+    They need no call, so they are complete as of the time of the run.
+    """
     findings = static_findings(build_proposals(files, "1970-01-01 00:00:00", None, config.rules()))
     item = F.struct(
         "ord",
@@ -47,17 +50,17 @@ def static_responses(files: DataFrame, tasks: DataFrame, config: AuditConfig, an
         *TASK_KEY, F.lit("static").alias("analyzer_id"), F.lit(analyzer_ord).alias("analyzer_ord"),
         F.lit("structured").alias("mode"), F.lit(1).alias("attempt"), F.lit(True).alias("call_ok"),
         F.lit(False).alias("timed_out"), F.coalesce("raw", F.lit("[]")).alias("raw"),
-        F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("completed_at"),
+        F.lit(None).cast("string").alias("error"), F.to_timestamp(F.lit(as_of)).alias("completed_at"),
         F.lit(0.0).alias("execution_time"),
     )
 
 
-def failed_tasks(tasks: DataFrame) -> DataFrame:
-    """Result rows of tasks that could not start: unknown analysis type, unreadable file."""
+def failed_tasks(tasks: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Result rows of tasks that could not start: unknown analysis type, unreadable file. They end as of the time of the run."""
     return tasks.filter(F.col("error").isNotNull()).select(
         *TASK_KEY, F.lit(False).alias("success"), F.array().cast("array<variant>").alias("findings"),
         F.lit(None).cast("string").alias("score"), F.lit(None).cast("string").alias("raw_output"), "error",
-        F.lit(None).cast("timestamp").alias("completed_at"), F.lit(0.0).alias("execution_time"),
+        F.to_timestamp(F.lit(as_of)).alias("completed_at"), F.lit(0.0).alias("execution_time"),
     )
 
 
@@ -98,12 +101,12 @@ def audit_run(
     tasks = with_prompts(audit_tasks(files, requested, types), practices).withColumn("run_id", F.lit(run_id))
     retries = {name: config.max_retries(name) for name, _ in chosen}
     answers = [
-        static_responses(files, tasks, config, i)
+        static_responses(files, tasks, config, i, as_of)
         if name == "static"
         else analyze_batch(tasks, name, i, mode, calls[name], parallel_calls, retries[name] + 1, pause)
         for i, (name, mode) in enumerate(chosen)
     ]
-    results = failed_tasks(tasks)
+    results = failed_tasks(tasks, as_of)
     if answers:
         # a call is made once: its answer is stored before anything reads it twice
         responses = cut_lineage(reduce(DataFrame.unionByName, answers))

@@ -667,7 +667,7 @@ def oracle_sql() -> dict[str, str]:
    + CASE t.n % 3 WHEN 0 THEN COALESCE(p.n, 0) WHEN 1 THEN 1 + COALESCE(p.n, 0) ELSE 0 END END AS INT) AS findings,
  CASE WHEN failure IS NULL AND NOT ended AND listed THEN CAST(s % 100 AS VARCHAR) END AS score,
  COALESCE(failure, CASE WHEN ended THEN 'list indices must be integers or slices, not str' END) AS error,
- failure IS NULL AS completed FROM told t LEFT JOIN per_file p USING (file_path)""",
+ TRUE AS completed FROM told t LEFT JOIN per_file p USING (file_path)""",
         ),
         "linter_status": LINT_ROWS,
         "linter_files": LINT_FILES,

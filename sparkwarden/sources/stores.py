@@ -24,6 +24,8 @@ RESULT_SCHEMA = (
     "file_path STRING, analysis_type STRING, success BOOLEAN, execution_time DOUBLE, findings ARRAY<VARIANT>, "
     "score VARIANT, linter_results VARIANT, error STRING, run_id STRING"
 )
+# bytes of a row group of a stored backlog
+ROW_GROUP = 16 * 1024 * 1024
 SCAN_SCHEMA = "scan_id STRING, timestamp STRING, proposal_count BIGINT, _corrupt_record STRING"
 
 
@@ -46,8 +48,14 @@ def read_backlog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def write_backlog(backlog: DataFrame, path: str) -> DataFrame:
-    """Write a new snapshot folder, never the one being read, and return the stored table."""
-    backlog.select(*PROPOSAL_FIELDS).write.mode("errorifexists").parquet(path)
+    """Write a new snapshot folder, never the one being read, and return the stored table.
+
+    Rows are in the order of their ids over all files and each row group has a Bloom filter of its ids, so a look
+    at one id reads the one group that may hold it, and mostly none for an unknown id. Row groups are kept small for that.
+    """
+    rows = backlog.select(*PROPOSAL_FIELDS).repartitionByRange("id").sortWithinPartitions("id")
+    options = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": ROW_GROUP}
+    rows.write.mode("errorifexists").options(**options).parquet(path)
     return backlog.sparkSession.read.schema(PROPOSAL_SCHEMA).parquet(path)
 
 

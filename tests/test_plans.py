@@ -97,7 +97,7 @@ def test_audit_run_with_failures(spark, corpus):
     got = {r.file_path[11:]: r for r in run.results.drop("findings").collect()}
     assert (got["a.py"].success, got["a.py"].score, got["a.py"].error) == (True, "7", None)
     assert (got["b.py"].success, got["b.py"].error) == (False, "llm: Chiamata LLM fallita dopo 4 tentativi")
-    assert (got["gone.py"].success, got["gone.py"].error, got["gone.py"].completed_at) == (False, "no such file", None)
+    assert (got["gone.py"].success, got["gone.py"].error, str(got["gone.py"].completed_at)) == (False, "no such file", FIRST)
     assert got["a.py"].completed_at is not None and got["b.py"].completed_at is not None
     meta = run.meta.first()
     assert meta.model.asDict() == {"id": "m", "name": "M", "type": "chat"} and meta.failed_analyses == 2
@@ -199,3 +199,46 @@ def test_stored_scans_and_reports(spark, corpus, tmp_path):
     (tmp_path / "p.md").write_text("be good\n")
     assert best_practices(spark, f"{tmp_path}/none.md", f"{tmp_path}/p.md") == "be good\n"
     assert best_practices(spark, f"{tmp_path}/none.md") == ""
+
+
+def test_scan_events_are_stored_also_of_a_scan_that_fails(spark, corpus, tmp_path):
+    nothing = spark.createDataFrame([], B.PROPOSAL_SCHEMA)
+    path = f"{tmp_path}/trace"
+
+    def told():
+        rows = spark.read.schema("type STRING, payload STRING").json(path).collect()
+        return sorted((r.type, json.loads(r.payload).get("status"), json.loads(r.payload).get("proposal_count")) for r in rows if ".scan." in r.type)
+
+    scan = proposal_scan(corpus(FILES), nothing, config(), "s1", FIRST, "/srv/p", trace_path=path)
+    assert told() == [("proposal.scan.end", "ok", 3), ("proposal.scan.start", None, None)]
+    assert sorted(map(str, spark.read.schema(scan.trace.schema).json(path).collect())) == sorted(map(str, scan.trace.collect()))
+    broken = corpus(FILES).withColumn("content", F.raise_error(F.lit("cannot read")).cast("string"))
+    with pytest.raises(Exception, match="cannot read"):
+        proposal_scan(broken, nothing, config(), "s2", FIRST, "/srv/p", trace_path=path)
+    assert told()[:2] == [("proposal.scan.end", "error", 0), ("proposal.scan.end", "ok", 3)] and len(told()) == 4
+
+
+def test_tasks_without_a_call_have_a_time(spark, corpus):
+    only = config(analyzers={"static": {}})
+    run = audit_run(corpus(FILES), only, "python", ["deep_scan", "nope"], "r1", FIRST, "/srv/p")
+    assert {str(r.completed_at) for r in run.results.collect()} == {FIRST}
+
+
+def test_backlog_is_stored_for_point_lookups(spark, tmp_path):
+    from pyarrow import parquet
+
+    from sparkwarden.sources import stores
+
+    rows = spark.range(20_000).selectExpr("md5(string(id)) AS id", "'t' AS type")
+    backlog = B.with_defaults(spark.createDataFrame([], B.PROPOSAL_SCHEMA).unionByName(rows, allowMissingColumns=True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = stores.write_backlog(backlog.repartition(5), f"{tmp_path}/b")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    groups = [parquet.ParquetFile(f).metadata.row_group(0).column(0) for f in sorted((tmp_path / "b").glob("*.parquet"))]
+    ranges = sorted((g.statistics.min, g.statistics.max) for g in groups)
+    assert len(ranges) > 1 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    wanted = stored.first().id
+    assert B.get_proposals(stored, wanted).count() == 1 and B.get_proposals(stored, "0" * 31 + "x").count() == 0
+    assert sum(a <= wanted <= b for a, b in ranges) == 1
