@@ -141,17 +141,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, settings: Se
     if not widths:
         return spark.createDataFrame([], schema)
     entries = kept.filter(F.size("vector") == widths[0].width)
-    index = spark.sparkContext.broadcast(fit(entries, settings))
+    # travels with the functions that use it, by value
+    index = fit(entries, settings)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [d.argmin(1).astype(np.int32) for d in index.value.distances(_matrix(batch.column(1)))]
+            near = [d.argmin(1).astype(np.int32) for d in index.distances(_matrix(batch.column(1)))]
             yield batch_of([("vec_id", batch.column(0), None), ("vector", batch.column(1), None), ("a", near[0], None), ("b", near[1], None)])
 
     coded = cut_lineage(entries.mapInArrow(encode, "vec_id long, vector array<double>, a int, b int"))
     # bounded by the number of cells
     cells = coded.groupBy("a", "b").count().collect()
-    sizes = np.zeros([len(h) for h in index.value.halves], np.int64)
+    sizes = np.zeros([len(h) for h in index.halves], np.int64)
     for cell in cells:
         sizes[cell.a, cell.b] = cell["count"]
     # each id counts in one of its cells, so visited cells hold at least as many ids as counted
@@ -167,7 +168,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, settings: Se
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, firsts, lists = [], [], []
-            for k, (x, y) in enumerate(zip(*index.value.distances(_matrix(batch.column(1))))):
+            for k, (x, y) in enumerate(zip(*index.distances(_matrix(batch.column(1))))):
                 by: dict[int, list[int]] = {}
                 for a, b in traverse(x, y, ids, wanted, sizes):
                     by.setdefault(a, []).append(b)

@@ -188,12 +188,11 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     bias's score. Repeated rows give repeated rows with equal scores, an empty table an empty result, a null
     doc_id stays null (and counts as the empty text in ``held_out``); other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 2):
-                found = scores(texts, shared.value)
+                found = scores(texts, model)
                 yield batch_of([("doc_id", part.column(0), None), ("held_out", part.column(1), None), ("score", found, pa.float64())])
 
     scored = docs.select(
@@ -204,12 +203,11 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` predicted as label 1, with all their columns and in place."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     name = free_name(docs, "scored_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, batch.num_columns - 1):
-                yield part.filter(pa.array(scores(texts, shared.value) >= 0.5)).select(list(range(batch.num_columns - 1)))
+                yield part.filter(pa.array(scores(texts, model) >= 0.5)).select(list(range(batch.num_columns - 1)))
 
     return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(run, docs.schema)
