@@ -31,12 +31,12 @@ PATTERNS = {
     "local_phone": r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
 KINDS = tuple(PATTERNS)
 #: Plain strings of which a text must hold one for a pattern to be tried.
 NEEDS = {
-    "email": ["@"], "phone": ["+"], "written_email": ["(at)", "[at]"], "ssn": ["-"],
+    "email": ["@"], "phone": ["+"], "written_email": ["(at", "[at"], "ssn": ["-"],
     "person": ["Mr", "Ms", "Dr", "Herr", "Frau", "Madame", "Monsieur", "Señor"],
 }
 #: Words next to a span that speak for it, and words that speak against it.

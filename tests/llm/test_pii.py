@@ -119,3 +119,12 @@ def test_query(spark):
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_open_names_and_mixed_brackets(spark):
+    """A name of any length is one candidate, and a written sign is seen whichever brackets stand around it."""
+    name = "Dr. W" + "olfeschlegelsteinhausenbergerdorff" * 2
+    texts = [f"{name} was here", "contact jo (at] example [dot] org", "contact jo [at) example (dot) org"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.kind, r.match) for r in rows if r.kind in ("person", "written_email")}
+    assert found == {(0, "person", name), (1, "written_email", "jo (at] example [dot] org"), (2, "written_email", "jo [at) example (dot) org")}
