@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ class Settings:
     """Share of a template's words that a block must hold, and the blocks: so many words, begun every ``stride``.
 
     Every run of ``block_words - stride + 1`` words lies in a block of its own, so a notice of up to that
-    length is never cut apart.
+    length is never cut apart; ``fitting`` gives blocks for given templates.
     """
 
     containment: float = 0.9
@@ -66,6 +67,15 @@ def template_words(text: str) -> list[str]:
     return sorted({w for w in re.split(SEPARATORS, lowered) if w})
 
 
+def fitting(templates: Sequence[tuple[str, str]] = TEMPLATES) -> Settings:
+    """Blocks in which a copy of the longest template fits as a whole, wherever it begins."""
+    lowered = (text.translate(str.maketrans(UPPER, LOWER)) for _, text in templates)
+    longest = max((sum(bool(w) for w in re.split(SEPARATORS, t)) for t in lowered), default=0)
+    usual = Settings()
+    fits = usual.block_words - usual.stride + 1 >= longest
+    return usual if fits else replace(usual, block_words=2 * longest, stride=longest)
+
+
 def normal_form(text: Column) -> Column:
     """The words in lower case, with one space before, between and after; a single space for no words."""
     lowered = F.translate(text, UPPER, LOWER)
@@ -97,18 +107,18 @@ def _phrase(normal: Column, phrase: str) -> Column:
 # ---- the join -------------------------------------------------------------------------------------
 
 
-def ordered_templates(docs: DataFrame, settings: Settings) -> list[Template]:
+def ordered_templates(docs: DataFrame, settings: Settings, templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[Template]:
     """The templates with their words ordered by the number of documents that hold them, over the whole corpus.
 
     Only template words are counted, once in a document and combined before the shuffle, so the result has
     at most as many rows as the templates have words.
     """
-    vocabulary = sorted({w for _, text in TEMPLATES for w in template_words(text)})
+    vocabulary = sorted({w for _, text in templates for w in template_words(text)})
     words = F.split(normal_form(whole_text().cast("string")), " ")
     held = F.array_distinct(F.filter(words, lambda w: w.isin(*vocabulary)))
     counts = {r["word"]: r["count"] for r in docs.select(F.explode(held).alias("word")).groupBy("word").count().collect()}
     out = []
-    for label, text in TEMPLATES:
+    for label, text in templates:
         mine = sorted(template_words(text), key=lambda w: (counts.get(w, 0), w))
         out.append(Template(label, tuple(mine), math.ceil(settings.containment * len(mine) - 1e-9)))
     return out
@@ -203,16 +213,18 @@ def _rank(templates: list[Template]):
     return placed.__getitem__
 
 
-def licences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def licences(docs: DataFrame, settings: Settings | None = None, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks), one row for each row of ``docs``.
 
     ``n_base``, ``first_word`` and ``last_word``: all places of the base phrases, the smallest and largest word
     at which one begins (null without any). ``labels``: those of the phrases and of the templates found,
     distinct and sorted; ``blocks``: (start, label, containment) of the blocks found; ``score``: 1 with a
-    base phrase, else the largest containment, 0 without any. A null text counts as empty. Repeated rows give repeated rows,
+    base phrase, else the largest containment, 0 without any. ``templates`` are (label, text); unless settings are given, blocks are
+    as large as the longest needs. A null text counts as empty. Repeated rows give repeated rows,
     a null doc_id stays null, an empty table gives an empty result; other columns are not read.
     """
-    templates = ordered_templates(docs, settings)
+    settings = settings or fitting(templates)
+    templates = ordered_templates(docs, settings, [t for t in templates if template_words(t[1])])
     rows = scanned(docs, templates, settings)
     found = similar_blocks(rows, templates).groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "label", "containment"))).alias("hits")

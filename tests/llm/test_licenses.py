@@ -20,14 +20,14 @@ def words_of(text):
     return out
 
 
-def plain(text, settings=SIZE):
+def plain(text, settings=SIZE, templates=L.TEMPLATES):
     """Every block against every template, and every place against every phrase."""
     words = words_of(text)
     places = [(i, label) for phrase, label in L.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     hits = set()
     for start in range(0, len(words), settings.stride):
         block = set(words[start : start + settings.block_words])
-        for label, template in L.TEMPLATES:
+        for label, template in templates:
             own = set(words_of(template))
             if len(own & block) >= settings.containment * len(own) - 1e-9:
                 hits.add((start, label, len(own & block) / len(own)))
@@ -66,6 +66,21 @@ def test_equals_brute_force(spark):
             assert told(r) == plain(texts[r.doc_id], settings), texts[r.doc_id]
 
 
+def test_long_templates(spark):
+    """Blocks grow with the templates: exact copies are found whole, wherever they begin, and nothing else is."""
+    rng = random.Random(2)
+    long = [(f"t{n}", " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(n)}" for _ in range(n))) for n in (100, 1000)]
+    templates = (*L.TEMPLATES[:2], *long)
+    settings = L.fitting(templates)
+    assert settings.block_words - settings.stride + 1 >= 1000 and L.fitting() == L.Settings()
+    filler = lambda n: " ".join(f"z{rng.randrange(500)}" for _ in range(n))
+    texts = [f"{filler(n)} {t}. {filler(70)}" for _, t in long for n in (0, 1, 63, 999, 1500)]
+    texts += [" ".join(t.split()[: len(t.split()) * 8 // 10]) for _, t in long] + [filler(3000), L.TEMPLATES[0][1]]
+    for r in L.licences(make(spark, texts), templates=templates).collect():
+        assert told(r) == plain(texts[r.doc_id], settings, templates)
+        assert r.doc_id >= 10 or f"t{100 if r.doc_id < 5 else 1000}" in r.labels
+
+
 @pytest.mark.parametrize("containment", [0.5, 0.8, 0.9, 1.0])
 def test_orders_and_prefixes(spark, containment):
     docs = make(spark, ["the the license", "the license under", "the"])
