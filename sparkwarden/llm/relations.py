@@ -34,7 +34,7 @@ class Settings:
     shingle: int = 4
     percent: int = 85
     seed: int = 42
-    sketch: int = 1 << 20
+    sketch: int = 1 << 21
     block: int = 2048
     marks: int = 1 << 24
 
@@ -415,7 +415,7 @@ def set_links(docs: DataFrame, rows: DataFrame, sets: DataFrame, settings: Setti
     answers = cut_lineage(overlaps(asked, whole))
     links = answers.filter(linked(percent)).select("a", "b")
     more = cut_lineage(open_pairs(lists, answers, roots(links), sets, settings))
-    unsure = more.filter("not sure").select("a", "b")
+    unsure = cut_lineage(possible(more.filter("not sure").select("a", "b"), sets, percent))
     whole = whole_sets(docs, sets, unsure.select(F.col("a").alias("rec")).union(unsure.select("b")).distinct(), settings)
     checked = overlaps(unsure, whole).filter(linked(percent)).select("a", "b")
     return links.union(more.filter("sure").select("a", "b")).union(checked)
