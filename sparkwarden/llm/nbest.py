@@ -7,29 +7,34 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain
+from itertools import chain, repeat
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import batch_of, text_list
+from sparkwarden.llm.common import batch_of, slices, text_list
 
 MARK = "▁"
 #: Scores are whole numbers of this part of a natural logarithm: sums are exact and equal paths compare equal.
 UNITS = 1 << 20
 LOW = -(1 << 62)  # below every score
+RUN = re.compile("[^ ] ")
+SHORT = 3  # code points that fit into 64 bits together
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The vocabulary file, the number of segmentations wanted, and how many words a task remembers."""
+    """The vocabulary file, the number of segmentations wanted, how many units a task remembers, up to which length
+    units are solved together, and how many characters a task works on at a time."""
 
     model: str
     best: int = 4
     remembered: int = 400_000
-    remembered_length: int = 48
+    together: int = 48
+    part: int = 1 << 20
 
 
 def default_settings() -> Settings:
@@ -38,6 +43,15 @@ def default_settings() -> Settings:
     return Settings(model=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def packed(points: np.ndarray, n: int) -> np.ndarray:
+    """Each run of ``n`` code points as one number."""
+    count = max(0, len(points) - n + 1)
+    out = points[:count].astype(np.uint64)
+    for k in range(1, n):
+        out = (out << np.uint64(21)) | points[k : count + k].astype(np.uint64)
+    return out
+
+
 class Vocabulary:
     """Pieces with log-probabilities by Zipf's law over their merge ranks, and bytes for all other characters.
 
@@ -70,6 +84,18 @@ class Vocabulary:
         # pieces, and None for what a longer piece begins with
         self.begun: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))}
         self.begun.update(self.pieces)
+        # short pieces are looked up by their packed code points, longer ones by one automaton
+        self.finder, self.short = ahocorasick.Automaton(), []
+        for k, p in enumerate(self.pieces):
+            if len(p) > SHORT:
+                self.finder.add_word(p, k)
+        self.finder.make_automaton()
+        for n in range(1, SHORT + 1):
+            listed = sorted((packed(np.array(list(map(ord, p)), np.uint64), n)[0], k) for k, p in enumerate(self.pieces) if len(p) == n)
+            if listed:
+                self.short.append((n, np.array([x for x, _ in listed], np.uint64), np.array([k for _, k in listed], np.int64)))
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.ids, self.scores = np.array(list(self.pieces.values()), np.int64).reshape(-1, 2).T
         signs = {c for p in self.pieces for c in p if not c.isalnum() and c != MARK}
         glue = {x for p in self.pieces for x, c in zip(p, p[1:]) if c in signs and x not in signs and x != MARK}
         listed = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]" if chars else "(?!)"
@@ -144,6 +170,83 @@ class Vocabulary:
         path.reverse()
         return tuple(path), best[size], best[size] - second[size] if second[size] > LOW // 2 else math.inf
 
+    def solve_all(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``solve`` for many units without line ends or marks: scores, losses, numbers of ids, and the ids in turn.
+
+        One search finds all pieces in all units. The forward pass goes over the place where pieces end, longest
+        pieces first, and takes all units at a time, each of which has at most one piece of that end and length.
+        """
+        if not units:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        text = "\n".join(units).replace(" ", MARK) + "\n"
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), size + 1)
+        begins = np.cumsum(size + 1) - size - 1
+        found = np.fromiter(chain.from_iterable(self.finder.iter(text) if len(self.finder) else ()), np.int64).reshape(-1, 2)
+        lasts, which = [found[:, 0]], [found[:, 1]]
+        for n, keys, numbers in self.short:
+            run = packed(points, n)
+            slot = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+            at = np.flatnonzero(keys[slot] == run)
+            lasts.append(at + n - 1)
+            which.append(numbers[slot[at]])
+        last, piece = np.concatenate(lasts), np.concatenate(which)
+        lone = points != 10
+        lone[last[self.lengths[piece] == 1]] = False
+        spelt = np.flatnonzero(lone)  # characters that are no piece, as negative numbers
+        coded = 1 + (points[spelt] >= 0x80) + (points[spelt] >= 0x800) + (points[spelt] >= 0x10000)
+        last = np.concatenate([last, spelt])
+        length = np.concatenate([self.lengths[piece], np.ones(len(spelt), np.int64)])
+        gain = np.concatenate([self.scores[piece], coded * self.byte_score])
+        piece = np.concatenate([piece, -1 - points[spelt].astype(np.int64)])
+        unit = owner[last]
+        to = last - begins[unit] + 1
+        wide = int(size.max()) + 1
+        turn = to * wide - length
+        order = np.argsort(turn, kind="stable")
+        turn, length, gain, piece, unit, to = (x[order] for x in (turn, length, gain, piece, unit, to))
+        target = unit * wide + to
+        best, second = np.full(len(units) * wide, LOW), np.full(len(units) * wide, LOW)
+        back = np.zeros(len(units) * wide, np.int64)
+        best[np.arange(len(units)) * wide] = 0
+        edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+        for a, b in zip(edges, edges[1:]):
+            at = target[a:b]
+            start = at - length[a:b]
+            value, other = best[start] + gain[a:b], second[start] + gain[a:b]
+            old = best[at]
+            better = value > old
+            second[at] = np.where(better, np.maximum(old, other), np.maximum(second[at], value))
+            best[at] = np.maximum(old, value)
+            back[at[better]] = np.flatnonzero(better) + a
+        whole = np.arange(len(units)) * wide + size
+        loss = np.where(second[whole] > LOW // 2, best[whole] - second[whole], np.inf)
+        going, place, taken = np.arange(len(units)), whole, []
+        while len(going):
+            edge = back[place]
+            taken.append((going, place, piece[edge]))
+            place = place - length[edge]
+            more = place % wide > 0
+            going, place = going[more], place[more]
+        _, place, piece = (np.concatenate(x) for x in zip(*taken))
+        order = np.argsort(place, kind="stable")
+        piece, unit = piece[order], place[order] // wide
+        flat = np.where(piece >= 0, self.ids[np.maximum(piece, 0)], 0)
+        count = np.ones(len(piece), np.int64)
+        rare = np.flatnonzero(piece < 0)
+        codes, which = np.unique(-1 - piece[rare], return_inverse=True)
+        spelt_ids = [self.spelt(chr(c))[1] for c in codes.tolist()]
+        count[rare] = np.array([len(x) for x in spelt_ids], np.int64)[which] if len(rare) else 0
+        flat = np.repeat(flat, count)
+        if len(rare):
+            places = np.repeat((np.cumsum(count) - count)[rare], count[rare])
+            many = count[rare]
+            flat[places + np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many)] = list(
+                chain.from_iterable(spelt_ids[k] for k in which.tolist())
+            )
+        return best[whole], loss, np.bincount(unit, count, len(units)).astype(np.int64), flat.astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the space put before every text is taken off again."""
         return b"".join([self.shown[i] for i in ids]).decode()[1:]
@@ -190,59 +293,151 @@ def search(edges: list, wanted: int) -> list[tuple[float, list[tuple[int, int, t
 
 
 class Encoder:
-    """Segments texts unit by unit and remembers the units it has seen, up to a bound."""
+    """Segments texts unit by unit and remembers the units it has seen, up to a bound.
+
+    Units have numbers; ``values``, ``behind``, ``first``, ``sizes`` and ``good`` tell by number a unit's score, the loss
+    of its second best segmentation, where its ids lie in ``flat``, how many these are and whether they spell the unit.
+    """
 
     def __init__(self, settings: Settings):
         self.settings = settings
         self.words = Vocabulary(settings.model)
-        self.known: dict[str, tuple] = {}
-
-    def unit(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        found = self.words.solve(unit)
-        if len(unit) <= self.settings.remembered_length:
-            if len(self.known) >= self.settings.remembered:
-                self.known.clear()
-            self.known[unit] = found
-        return found
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.behind = np.zeros(0, np.int64), np.zeros(0)
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.good, self.flat = np.zeros(0, bool), np.zeros(0, np.int32)
+
+    def learn(self, units: set[str]) -> None:
+        """Solve units that are not known; ordinary ones all at once, long ones each on its own."""
+        if not units:
+            return
+        alone = [u for u in units if len(u) > self.settings.together or u in (MARK, "\n")]
+        usual = list(units.difference(alone))
+        values, behind, sizes, flat = self.words.solve_all(usual)
+        solved = [self.words.solve(u) for u in alone]
+        values = np.concatenate([values, np.array([v for _, v, _ in solved], np.int64)])
+        behind = np.concatenate([behind, np.array([b for _, _, b in solved], float)])
+        sizes = np.concatenate([sizes, np.array([len(i) for i, _, _ in solved], np.int64)])
+        flat = np.concatenate([flat, np.array(list(chain.from_iterable(i for i, _, _ in solved)), np.int32)])
+        usual += alone
+        first = np.cumsum(sizes) - sizes
+        told = list(map(self.words.shown.__getitem__, flat.tolist()))
+        good = [True] * len(usual)
+        spans = np.add.reduceat(np.fromiter(map(len, told), np.int64, len(told)), first)
+        if "".join(usual).encode() != b"".join(told) or spans.tolist() != [len(u.encode()) for u in usual]:
+            good = [b"".join(told[a:b]) == u.encode() for u, a, b in zip(usual, first.tolist(), (first + sizes).tolist())]
+        self.known.update(zip(usual, range(len(self.values), len(self.values) + len(usual))))
+        self.first = np.concatenate([self.first, first + len(self.flat)])
+        for name, more in (("values", values), ("behind", behind), ("sizes", sizes), ("good", np.array(good, bool)), ("flat", flat)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
 
     def encode(self, text: str) -> tuple[list[int], list[float], list[list[tuple[int, int, list[int]]]]]:
-        """Best ids, scores of the best segmentations, and of each the (first, end, ids) that replace some best ids.
+        """Best ids, scores of the best segmentations, and of each the (first, end, ids) that replace some best ids."""
+        ids, scores, swaps, _ = next(self.encode_all([text]))
+        return ids.tolist(), scores, swaps
 
-        Only the units with the ``best - 1`` smallest losses to their second best segmentation can differ in
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list, bool]]:
+        """For each text the results of ``encode`` and whether all its segmentations spell it.
+
+        Texts are worked on in parts of about ``part`` characters, many short texts or a part of a long one at a time.
+        """
+        held, size, made = [], 0, [Found(self.settings.best - 1) for _ in texts]
+        done = 0
+        for i, text in enumerate(texts):
+            for part in parts(" " + text, self.settings.part):
+                held.append((i, part))
+                size += len(part)
+                if size >= self.settings.part:
+                    self._add(held, made)
+                    held, size = [], 0
+            if not held:
+                for k in range(done, i + 1):
+                    yield self._finish(made[k])
+                    made[k] = None
+                done = i + 1
+        self._add(held, made)
+        for k in range(done, len(texts)):
+            yield self._finish(made[k])
+
+    def _add(self, held: list[tuple[int, str]], made: list[Found]) -> None:
+        cut = [self.words.unit.findall(part) for _, part in held]
+        told = [np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units)) for units in cut]
+        self.learn({units[k] for units, numbers in zip(cut, told) for k in np.flatnonzero(numbers < 0).tolist()})
+        for (i, part), units, numbers in zip(held, cut, told):
+            new = np.flatnonzero(numbers < 0)
+            numbers[new] = [self.known[units[k]] for k in new.tolist()]
+            sizes = self.sizes[numbers]
+            starts = np.cumsum(sizes) - sizes
+            ids = self.flat[np.repeat(self.first[numbers] - starts, sizes) + np.arange(int(sizes.sum()))]
+            good = bool(self.good[numbers].all()) and "".join(units) == part
+            made[i].add(units, ids, starts, sizes, self.values[numbers], self.behind[numbers], good)
+        if len(self.known) > self.settings.remembered or len(self.flat) > 16 * self.settings.remembered:
+            self.forget()
+
+    def _finish(self, found: Found) -> tuple[np.ndarray, list[float], list, bool]:
+        """Only the units with the ``best - 1`` smallest losses to their second best segmentation can differ in
         the wanted segmentations: a difference elsewhere costs more than each of these does alone. The search runs
         over the lattice of these units joined; all others keep their best pieces.
         """
-        units = self.words.unit.findall(" " + text)
-        known = self.known
-        parts, values, behind = zip(*[known.get(u) or self.unit(u) for u in units])
-        ids = list(chain.from_iterable(parts))
-        total = sum(values)
-        losses = np.array(behind, float)
-        most = self.settings.best - 1
-        if len(losses) > most:
-            chosen = np.sort(np.argpartition(losses, most)[:most]).tolist() if most else []
-        else:
-            chosen = range(len(losses))
-        chosen = [k for k in chosen if losses[k] < math.inf]
+        ids, good = np.concatenate(found.ids), found.good
+        chosen = sorted(found.closest, key=lambda c: c[1])
         if not chosen:
-            return ids, [total / UNITS], [[]]
+            return ids, [found.total / UNITS], [[]], good
         joined, borders = [], []
-        for k in chosen:
+        for _, _, unit, _, _ in chosen:
             shift = len(joined)
-            joined += [[(e + shift, s, i) for e, s, i in here] for here in self.words.unit_edges(units[k])]
+            joined += [[(e + shift, s, i) for e, s, i in here] for here in self.words.unit_edges(unit)]
             borders.append((shift, len(joined)))
-        starts = list(accumulate(map(len, parts), initial=0))
+        rest = found.total - sum(value for *_, value in chosen)
         scores, swaps = [], []
         for score, steps in search(joined, self.settings.best):
-            scores.append((total + score - sum(values[k] for k in chosen)) / UNITS)
+            scores.append((rest + score) / UNITS)
             mine = []
-            for k, (low, high) in zip(chosen, borders):
+            for (_, first, unit, own, _), (low, high) in zip(chosen, borders):
                 new = [x for a, _, i in steps if low <= a < high for x in i]
-                if tuple(new) != parts[k]:
-                    mine.append((starts[k], starts[k + 1], new))
+                if new != own:
+                    mine.append((first, first + len(own), new))
+                    good &= b"".join([self.words.shown[x] for x in new]) == unit.encode()
             swaps.append(mine)
         # of equally good segmentations the first found takes the place of the one in ``ids``
-        return ids, scores, swaps
+        return ids, scores, swaps, good
+
+
+class Found:
+    """What is known of a text from its parts so far: ids, score, and the units closest to another segmentation."""
+
+    def __init__(self, most: int):
+        self.most, self.ids, self.count, self.total, self.good = most, [], 0, 0, True
+        self.closest: list[tuple] = []
+
+    def add(self, units: list[str], ids, starts, sizes, values, behind, good: bool) -> None:
+        if self.most:
+            at = np.argpartition(behind, self.most)[: self.most] if len(behind) > self.most else np.arange(len(behind))
+            for k in at[np.isfinite(behind[at])].tolist():
+                a, b = int(starts[k]), int(starts[k] + sizes[k])
+                self.closest.append((float(behind[k]), self.count + a, units[k], ids[a:b].tolist(), int(values[k])))
+            self.closest = sorted(self.closest, key=lambda c: c[:2])[: self.most]
+        self.ids.append(ids)
+        self.count += len(ids)
+        self.total += int(values.sum())
+        self.good &= good
+
+
+def parts(text: str, size: int) -> Iterator[str]:
+    """Cut a text into parts of ``size`` characters or more, each but the last ending before a run of spaces: no unit lies across."""
+    start = 0
+    while start < len(text):
+        end = text.find(" ", start + size)
+        while end > 0 and text[end - 1] == " ":
+            end -= 1
+        if end <= start:  # no space, or the run in which the part begins reaches that far
+            found = RUN.search(text, start + size)
+            end = found.end() - 1 if found else len(text)
+        yield text[start:end]
+        start = end
 
 
 def swapped(ids: list[int], swaps: list[tuple[int, int, list[int]]]) -> list[int]:
@@ -267,27 +462,19 @@ def segmentations(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(settings)
-        shown = encoder.words.shown
         for batch in batches:
-            ids, scores, swaps, good = [], [], [], []
-            for text in text_list(batch.column(1)):
-                best, values, changes = encoder.encode(text)
-                same = b"".join(map(shown.__getitem__, best)) == b" " + text.encode()
-                for mine in changes:
-                    for first, end, new in mine:
-                        same &= b"".join([shown[i] for i in new]) == b"".join([shown[i] for i in best[first:end]])
-                ids.append(np.array(best, np.int32))
-                scores.append(values)
-                swaps.append([[dict(zip(("first", "end", "ids"), s)) for s in mine] for mine in changes])
-                good.append(same)
-            lengths = np.cumsum([0, *map(len, ids)])
-            flat = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-            yield batch_of(
-                [
-                    ("doc_id", batch.column(0), None), ("ids", flat, None), ("scores", scores, pa.list_(pa.float64())),
-                    ("swaps", swaps, pa.list_(pa.list_(swap))), ("round_trip", good, pa.bool_()),
-                ]
-            )
+            for part, _ in slices(batch, 1):
+                found = list(encoder.encode_all(text_list(part.column(1))))
+                ids, scores, swaps, good = zip(*found)
+                lengths = np.cumsum([0, *map(len, ids)])
+                flat = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(ids)))
+                told = [[[dict(zip(("first", "end", "ids"), s)) for s in mine] for mine in changes] for changes in swaps]
+                yield batch_of(
+                    [
+                        ("doc_id", part.column(0), None), ("ids", flat, None), ("scores", scores, pa.list_(pa.float64())),
+                        ("swaps", told, pa.list_(pa.list_(swap))), ("round_trip", good, pa.bool_()),
+                    ]
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, scores array<double>, swaps array<array<struct<first:int,end:int,ids:array<int>>>>, round_trip boolean"

@@ -58,6 +58,33 @@ def test_long_texts():
     assert len(encoder.known) <= 50
 
 
+def test_units_solved_together():
+    rng = random.Random(3)
+    units = {" ", "é😀", "日本", " x" * 20, "the", " cat", "\x00", "  gaps", "reread", "aaaaaa"}
+    units |= {"".join(rng.choices("abcthe é日😀.,'", k=rng.randint(1, 40))) for _ in range(2000)}
+    units = sorted(units)
+    scores, losses, sizes, flat = WORDS.solve_all(units)
+    ends = sizes.cumsum()
+    for u, score, loss, a, b in zip(units, scores, losses, ends - sizes, ends):
+        assert (tuple(flat[a:b].tolist()), score, loss) == WORDS.solve(u)
+    assert [len(x) for x in WORDS.solve_all([])] == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("part", [1, 7, 60, 1 << 20])
+def test_parts_of_texts(part):
+    rng = random.Random(4)
+    texts = ["", "the cat  sat", " " * 50 + "x" * 30 + "   ", "\n \n", *("".join(rng.choices("ab é\n.▁ ", k=rng.randint(0, 200))) for _ in range(60))]
+    for text in texts:
+        assert "".join(N.parts(" " + text, part)) == " " + text
+        whole = WORDS.unit.findall(" " + text)
+        assert [u for p in N.parts(" " + text, part) for u in WORDS.unit.findall(p)] == whole
+    small = N.Encoder(dataclasses.replace(S, part=part, remembered=30, together=5))
+    usual = N.Encoder(S)
+    for text, (ids, scores, swaps, good) in zip(texts, small.encode_all(texts)):
+        want = usual.encode(text)
+        assert good and ids.tolist() == want[0] and scores == want[1] and len(swaps) == len(scores)
+
+
 def test_defined_results(spark):
     rows = [(1, "the cat", "x"), (1, "the cat", "x"), (2, None, "y"), (None, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
