@@ -16,14 +16,23 @@ from sparkwarden.session import cut_lineage
 
 @dataclass(frozen=True)
 class Settings:
-    """Permitted sequence lengths, what a sequence costs beyond its length, and tokens per independent shard."""
+    """Permitted sequence lengths, what a sequence costs, and tokens per independent shard.
+
+    A sequence costs its length, a fixed ``overhead``, and for attention its length again for every ``attention``
+    tokens that it holds: longer ones save overhead and hold long pieces, shorter ones save attention.
+    """
 
     capacities: tuple[int, ...] = (512, 1024, 2048, 4096)
     overhead: int = 64
+    attention: int = 16384
     shard_tokens: int = 1 << 20
 
     def cost(self, capacity: int) -> int:
-        return capacity + self.overhead
+        return capacity + self.overhead + capacity * capacity // self.attention
+
+    def least(self, used: int) -> int:
+        """The smallest permitted length that holds so many tokens."""
+        return min(c for c in self.capacities if c >= used)
 
 
 def word_length() -> Column:
@@ -35,21 +44,34 @@ def pack(lengths: list[int], settings: Settings = Settings()) -> list[tuple[int,
     """Bins (capacity, piece numbers) for pieces of 1 to the largest capacity tokens.
 
     Longest pieces first, equal ones in the order given. A piece goes to the open bin that it leaves least
-    room in. Where none has room, the bin size is opened whose cost for each token that it can still get is
-    least, of equal ones the largest: it holds at most the piece and all tokens yet to come. At the end every
-    bin is cut down to the smallest permitted length that holds its contents.
+    room in. Where none has room, a bin is opened, whose size is chosen in several ways: by what the pieces yet to
+    come can fill it with (``foreseen``), or one size for all pieces that it holds. At the end every
+    bin is cut down to the smallest permitted length that holds its contents, and the way of the least total cost is
+    taken, of equal ones the first. So several sizes never cost more than any one of them.
     """
     sizes = sorted(settings.capacities)
+    ways = [best_fit(lengths, settings, None), *(best_fit(lengths, settings, c) for c in sizes)]
+    return min(ways, key=lambda bins: sum(settings.cost(c) for c, _ in bins))
+
+
+def best_fit(lengths: list[int], settings: Settings, size: int | None) -> list[tuple[int, list[int]]]:
+    """Best fit, longest pieces first, opening bins of one size, or of the least cost a foreseen token where it is None."""
+    sizes = sorted(settings.capacities)
     most = sizes[-1]
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    left = sum(lengths)
+    counts = [0] * (most + 1)
+    for n in lengths:
+        counts[n] += 1
+    left = sum(1 << n for n, count in enumerate(counts) if count)  # bit n: some piece of length n is yet to come
     bins: list[list[int]] = []
     used: list[int] = []
     open_with: list[list[int]] = [[] for _ in range(most + 1)]  # bins by their free room
     rooms = 0  # bit r: some bin has room r
     for i in order:
         need = lengths[i]
-        left -= need
+        counts[need] -= 1
+        if not counts[need]:
+            left ^= 1 << need
         fitting = rooms >> need
         if fitting:
             room = need + (fitting & -fitting).bit_length() - 1
@@ -57,9 +79,11 @@ def pack(lengths: list[int], settings: Settings = Settings()) -> list[tuple[int,
             if not open_with[room]:
                 rooms ^= 1 << room
         else:
-            room = min(
-                (c for c in sizes if c >= need), key=lambda c: (settings.cost(c) / min(c, need + left), -c)
-            )
+            if size is not None:
+                room = max(size, settings.least(need))
+            else:
+                full = {c: foreseen(c, need, counts, left) for c in sizes if c >= need}
+                room = min(full, key=lambda c: (settings.cost(settings.least(full[c])) / full[c], -c))
             at = len(bins)
             bins.append([])
             used.append(0)
@@ -69,7 +93,20 @@ def pack(lengths: list[int], settings: Settings = Settings()) -> list[tuple[int,
         if room:
             open_with[room].append(at)
             rooms |= 1 << room
-    return [(next(c for c in sizes if c >= u), b) for u, b in zip(used, bins)]
+    return [(settings.least(u), b) for u, b in zip(used, bins)]
+
+
+def foreseen(capacity: int, need: int, counts: list[int], left: int) -> int:
+    """How full a bin gets that holds a piece of ``need`` tokens and then the longest fitting pieces yet to come."""
+    room = capacity - need
+    while room:
+        left &= (2 << room) - 1
+        if not left:
+            break
+        longest = left.bit_length() - 1
+        room -= min(counts[longest], room // longest) * longest
+        left &= (1 << longest) - 1
+    return capacity - room
 
 
 def pieces(docs: DataFrame, length: Column, settings: Settings) -> DataFrame:

@@ -11,34 +11,72 @@ from sparkwarden.llm.queries import QUERIES
 S = P.Settings()
 
 
-def plain_pack(lengths, settings):
-    """Best fit by looking at every bin."""
-    sizes, bins, left = sorted(settings.capacities), [], sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+def plain_pack(lengths, settings, size=None):
+    """Best fit by looking at every bin, sizes foreseen by looking at every piece."""
+    sizes, bins = sorted(settings.capacities), []
+    least = lambda used: next(c for c in sizes if c >= used)
+    queue = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for place, i in enumerate(queue):
         need = lengths[i]
-        left -= need
         open_bins = [b for b in bins if b["size"] - b["used"] >= need]
         if open_bins:
-            chosen = min(open_bins, key=lambda b: b["size"] - b["used"])
+            chosen = min(open_bins, key=lambda b: (b["size"] - b["used"], -b["last"]))
         else:
-            size = min((c for c in sizes if c >= need), key=lambda c: ((c + settings.overhead) / min(c, need + left), -c))
-            chosen = {"size": size, "used": 0, "pieces": []}
+
+            def price(capacity):
+                used = need
+                for k in queue[place + 1 :]:
+                    used += lengths[k] if used + lengths[k] <= capacity else 0
+                return settings.cost(least(used)) / used
+
+            fitting = [c for c in sizes if c >= need]
+            best = max(size, fitting[0]) if size else min(fitting, key=lambda c: (price(c), -c))
+            chosen = {"size": best, "used": 0}
             bins.append(chosen)
         chosen["used"] += need
-        chosen["pieces"].append(i)
-    return bins
+        chosen["last"] = place
+    return sorted((least(b["used"]), b["used"]) for b in bins)
+
+
+def cost(bins, settings):
+    return sum(settings.cost(c) for c, _ in bins)
+
+
+def mixes():
+    for seed in range(6):
+        rng = random.Random(seed)
+        yield [min(4096, int(rng.lognormvariate(5, 1.5)) + 1) for _ in range(rng.choice([1, 7, 300, 900]))]
+    rng = random.Random(9)
+    yield [rng.choice([300, 700, 1500, 2500]) for _ in range(400)]
+    yield [1300] * 60 + [500] * 200 + [3] * 50
+    yield [rng.randint(400, 1100) for _ in range(500)]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_best_fit(seed):
-    rng = random.Random(seed)
-    lengths = [min(4096, int(rng.lognormvariate(5, 1.5)) + 1) for _ in range(rng.choice([1, 7, 300, 1500]))]
-    made, plain = P.pack(lengths, S), plain_pack(lengths, S)
+@pytest.mark.parametrize("lengths", list(mixes()))
+def test_best_fit(lengths):
+    told = lambda bins: sorted((c, sum(lengths[i] for i in b)) for c, b in bins)
+    made = P.pack(lengths, S)
     assert sorted(i for _, b in made for i in b) == list(range(len(lengths)))
-    for capacity, b in made:
-        used = sum(lengths[i] for i in b)
+    for capacity, used in told(made):
         assert used <= capacity and all(c < used for c in S.capacities if c < capacity)
-    assert sorted(sum(lengths[i] for i in b) for _, b in made) == sorted(b["used"] for b in plain)
+    plain = [plain_pack(lengths, S, size) for size in (None, *S.capacities)]
+    for size, want in zip((None, *S.capacities), plain):
+        assert told(P.best_fit(lengths, S, size)) == want
+    assert cost(made, S) == min(cost(p, S) for p in plain)
+
+
+def test_several_sizes_help():
+    """Against the best single size cut down at the end, on mixes where no one size suits all pieces."""
+    gains = []
+    for lengths in list(mixes())[3:]:
+        if len(lengths) < 100:
+            continue
+        single = min(cost(P.pack(lengths, P.Settings(capacities=(c,))), S) for c in S.capacities if c >= max(lengths))
+        one = min(cost(P.best_fit(lengths, S, c), S) for c in S.capacities)
+        foreseen = cost(P.best_fit(lengths, S, None), S)
+        gains.append((cost(P.pack(lengths, S), S) / single, foreseen / one))
+    assert all(a < 1 for a, _ in gains) and min(a for a, _ in gains) < 0.93
+    assert min(b for _, b in gains) < 0.98
 
 
 def test_small_bins_at_the_end():
