@@ -163,22 +163,27 @@ def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, tag, start, end, drop, first_doc) for each repeated passage of each text.
 
     A passage is a run of overlapping or touching repeated chunks with ``run_words`` words or more. Where
-    ``drop`` is true equal chunks stand earlier (smaller doc_id, then earlier in the text), the first of them
-    in ``first_doc``; otherwise this is the one that stays. Code points, end exclusive.
+    ``drop`` is true equal chunks stand earlier (smaller doc_id, then smaller tag, then earlier in the text), the first of
+    them in ``first_doc``; otherwise this is the one that stays. Code points, end exclusive.
+
+    Chunks are gathered by text, so a group is never larger than the chunks of one text, however many rows have its id.
     """
-    fields = ["tag", "start", "end", "words", "digest", "first_doc"]
-    grouped = cut_lineage(
-        repeated_chunks(chunk_table(docs.filter("text IS NOT NULL"), settings))
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    )
+    fields = ["start", "end", "words", "digest", "first_doc", "elsewhere"]
+    known = docs.filter("text IS NOT NULL")
+    rows = repeated_chunks(chunk_table(known, settings))
+    if _shared_ids(known):
+        rows = _told_apart(cut_lineage(rows))
+    else:
+        rows = rows.withColumn("elsewhere", F.lit(False))
+    grouped = cut_lineage(rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*fields)).alias("rows")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1)
+            rows = batch.column(2)
             flat = rows.flatten()
-            doc = np.repeat(batch.column(0).to_numpy(), rows.value_lengths().to_numpy())
-            ids, tags, starts, ends, drops, firsts = runs(doc, *[flat.field(f).to_numpy() for f in fields], settings)
+            doc, tag = (np.repeat(batch.column(k).to_numpy(), rows.value_lengths().to_numpy()) for k in (0, 1))
+            values = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+            ids, tags, starts, ends, drops, firsts = runs(doc, tag, *values, settings)
             yield batch_of(
                 [
                     ("doc_id", pa.array(ids, mask=ids == NO_ID), None), ("tag", tags, pa.int32()), ("start", starts, pa.int32()),
@@ -189,20 +194,35 @@ def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, tag int, start int, end int, drop boolean, first_doc long")
 
 
-def runs(doc, tag, start, end, words, digest, first, settings: Settings) -> list[np.ndarray]:
+def _shared_ids(docs: DataFrame) -> bool:
+    """Whether an id has several rows; only ids and hashes of texts are looked at."""
+    return not docs.groupBy(F.col("doc_id").cast("long")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Repeated chunks where an id may have several texts: each row once, and whether the first is in another text of the id.
+
+    Equal rows, and the smallest tag of each digest in its first document, combine before the shuffle.
+    """
+    own = rows.filter("doc_id = first_doc").groupBy("digest").agg(F.min("tag").alias("first_tag"))
+    return (
+        rows.distinct()
+        .join(own, "digest", "left")
+        .withColumn("elsewhere", F.coalesce((F.col("doc_id") == F.col("first_doc")) & (F.col("tag") != F.col("first_tag")), F.lit(False)))
+    )
+
+
+def runs(doc, tag, start, end, words, digest, first, elsewhere, settings: Settings) -> list[np.ndarray]:
     """Join the repeated chunks of each text, those to drop and those to keep apart, into passages.
 
     Of equal chunks in the first document the earliest is kept. Columns: doc, tag, start, end, drop, first.
     """
-    order = np.lexsort((start, tag, digest, doc))
-    doc, tag, start, end, words, digest, first = (x[order] for x in (doc, tag, start, end, words, digest, first))
+    order = np.lexsort((start, digest, tag, doc))
+    doc, tag, start, end, words, digest, first, elsewhere = (x[order] for x in (doc, tag, start, end, words, digest, first, elsewhere))
     before = np.zeros(len(doc), bool)
-    before[1:] = (doc[1:] == doc[:-1]) & (digest[1:] == digest[:-1])
-    again = np.zeros(len(doc), bool)  # a repeated row's chunk
-    again[1:] = before[1:] & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1])
-    drop = (first != doc) | before
+    before[1:] = (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (digest[1:] == digest[:-1])
+    drop = (first != doc) | before | elsewhere
     order = np.lexsort((start, drop, tag, doc))
-    order = order[~again[order]]
     doc, tag, start, end, words, drop, first = (x[order] for x in (doc, tag, start, end, words, drop, first))
     if not len(doc):
         return [doc, tag, start, end, drop, first]
