@@ -458,10 +458,14 @@ def _together(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
 def similar_links(names: np.ndarray, bits: np.ndarray, flat: np.ndarray, sizes: np.ndarray, settings: Copies) -> tuple[list[int], list[int]]:
     """Links (member, smallest member of its part) for the parts connected by similarity; ``flat`` holds the sets in turn.
 
-    Each member is compared with those not yet in a part, all at once; bit planes first leave out distant ones of many.
+    Each member is compared with those not yet in a part, all at once; those beyond the radius are left out first,
+    in groups of any size.
     """
     count = len(names)
-    near = close_lanes(bits[None], settings.radius)[0] if count > 64 else None
+    if count > 64:
+        near = np.unpackbits(close_lanes(bits[None], settings.radius)[0].view(np.uint8), axis=1, bitorder="little")[:, :count].astype(bool)
+    else:  # planes of a few lanes cost more than counting each pair's bits
+        near = np.bitwise_count(bits[:, None] ^ bits).sum(axis=-1) <= settings.radius
     ids = np.unique(flat, return_inverse=True)[1]
     begins = np.cumsum(sizes) - sizes
     marks = np.zeros(int(ids.max(initial=-1)) + 1, bool)
@@ -475,8 +479,7 @@ def similar_links(names: np.ndarray, bits: np.ndarray, flat: np.ndarray, sizes:
         while queue:
             i = queue.pop()
             may = unseen & (np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= settings.similarity)
-            if near is not None:
-                may &= np.unpackbits(near[i].view(np.uint8), bitorder="little")[:count].astype(bool)
+            may &= near[i]
             at = np.flatnonzero(may)
             if not len(at):
                 continue

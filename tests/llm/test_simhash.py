@@ -164,3 +164,21 @@ def test_query(spark):
     ids, values = [d.doc_id for d in docs], [plain_fingerprint(d.text) for d in docs]
     want = {(i, f"{v:016x}", c) for i, v, c in zip(ids, values, plain_components(ids, values))}
     assert {tuple(r) for r in QUERIES["op7_simhash"](spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("count", [2, 40, 64, 65, 130])
+def test_links_do_not_depend_on_the_size_of_the_group(count):
+    """Pairs of equal sets: those within the radius are linked, one bit beyond it they are not."""
+    settings = S.Copies()
+    rng = np.random.default_rng(count)
+    bits = rng.integers(0, 1 << 64, (count, 4), dtype=np.uint64)
+    beyond = np.zeros(256, np.uint8)
+    beyond[: settings.radius + 1] = 1
+    within = beyond.copy()
+    within[0] = 0
+    pack = lambda flags: np.packbits(flags, bitorder="little").view(np.uint64)
+    sets = [np.arange(10) + 100 * k for k in range(count)]
+    for flags, linked in ((within, True), (beyond, False)):
+        bits[1], sets[1] = bits[0] ^ pack(flags), sets[0]
+        left, right = S.similar_links(np.arange(count), bits, np.concatenate(sets), np.full(count, 10), settings)
+        assert (left, right) == (([1], [0]) if linked else ([], []))
