@@ -3,15 +3,143 @@
 from __future__ import annotations
 
 import string
+from typing import NamedTuple
 
-from sparkwarden.functions.json_text import ABORT_MESSAGES, FINDING_KEYS, SCORE_KEYS
-from sparkwarden.functions.text import LINE_BREAK, PROPOSAL_NAMESPACE
-from sparkwarden.operators import lint, reports, responses, tasks, trace
-from sparkwarden.operators.rules import BUILTIN_RULES, configured_rules
+from sparkwarden.operators import tasks
 from sparkwarden.queries import adapters as A
 from sparkwarden.queries.registry import OVERRIDES, PRACTICES, REQUESTED_TYPES, USER_RULES
 from sparkwarden.sources.config import DEFAULT_CONFIG
 
+# Fixed values, written out here so that a change of the library shows up as a difference.
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+PROPOSAL_NAMESPACE = "7ba4b810-9dad-11d1-80b4-00c04fd430c8"
+FINDING_KEYS = ("findings", "vulnerabilities", "issues", "performance_issues")
+SCORE_KEYS = ("overall_score", "security_score", "quality_score", "performance_score")
+ABORT_MESSAGES = {
+    "list": "list indices must be integers or slices, not str",
+    "string": "string indices must be integers, not 'str'",
+    "int": "argument of type 'int' is not iterable",
+    "float": "argument of type 'float' is not iterable",
+    "bool": "argument of type 'bool' is not iterable",
+}
+NO_JSON = "Nessun JSON valido nella risposta del modello"
+FAILED = "Analysis failed"
+DEFAULT_SEVERITY = "medium"
+DEFAULT_CATEGORY = "General"
+DEFAULT_DESCRIPTION = "No description"
+EVENT_VALIDATION = "proposal.validation"
+EVENT_ACTOR = "proposal_engine"
+EVENT_VIOLATION = "proposal.violation"
+EVENT_GENERATED = "proposal.generated"
+EVENT_SCAN_START = "proposal.scan.start"
+EVENT_SCAN_END = "proposal.scan.end"
+LINT_STATUS_UNAVAILABLE = "non disponibile"
+LINT_STATUS_OK = "ok"
+LINT_STATUS_ISSUES = "warning/error"
+LINT_NOT_FOUND = " not found in PATH"
+LINT_TIMED_OUT = "Linter timed out after 60s"
+
+
+class Grades(NamedTuple):
+    """What the SQL knows of a rule."""
+
+    rule_id: str
+    severity: str
+    priority: str
+    risk_level: str
+    confidence: float
+    snippet_length: int | None
+    title: str
+    description: str
+    recommendation: str
+    context: str
+
+
+# Grades and texts of the built-in rules.
+RULES = (
+    Grades(
+        rule_id="hardcoded_model_names",
+        severity="high",
+        priority="p1",
+        risk_level="medium",
+        confidence=0.85,
+        snippet_length=None,
+        title="Hardcoded model name {match} in {file_path}",
+        description=(
+            "The model name {match} is hardcoded at line {line_number}. Model names should be read from "
+            "the configuration so they can be swapped without code changes."
+        ),
+        recommendation=(
+            "Move the model name to the configuration file (e.g., audit_config.json) and reference it "
+            "via the model/provider abstraction already present in ConfigManager."
+        ),
+        context="Found hardcoded model name: {match}",
+    ),
+    Grades(
+        rule_id="hardcoded_constants",
+        severity="medium",
+        priority="p2",
+        risk_level="low",
+        confidence=0.75,
+        snippet_length=None,
+        title="Hardcoded URL/endpoint at {file_path}:{line_number}",
+        description=(
+            "The value '{value}' at line {line_number} appears to be a hardcoded URL or API endpoint. "
+            "Such values should be externalised to configuration so they can be changed without code "
+            "modifications."
+        ),
+        recommendation=(
+            "Move this value to the configuration file and reference it via the existing ConfigManager. "
+            "Consider adding an 'endpoints' section to audit_config.json."
+        ),
+        context="Found hardcoded URL/endpoint: {value}",
+    ),
+    Grades(
+        rule_id="non_agnostic_prompts",
+        severity="high",
+        priority="p1",
+        risk_level="medium",
+        confidence=0.7,
+        snippet_length=200,
+        title="Non-model-agnostic prompt at {file_path}:{line_number}",
+        description=(
+            "Line {line_number} contains a prompt that references a specific model name. Prompts should "
+            "be model-agnostic so they work across different providers."
+        ),
+        recommendation=(
+            "Remove model-specific references from prompt templates. Use generic instructions that work "
+            "across providers."
+        ),
+        context="Prompt variable contains a model-specific reference",
+    ),
+    Grades(
+        rule_id="leaked_project_ids",
+        severity="critical",
+        priority="p0",
+        risk_level="high",
+        confidence=0.9,
+        snippet_length=200,
+        title="Hardcoded identifier '{variable}' at {file_path}:{line_number}",
+        description=(
+            "The variable '{variable}' is assigned a literal value '{value}' at line {line_number}. "
+            "Identifiers such as project_id, org_id, or tenant_id must not be hardcoded because they "
+            "could inadvertently leak into LLM prompts or API calls."
+        ),
+        recommendation=(
+            "Read this identifier from an environment variable or a dedicated secrets configuration. "
+            "Never commit literal org/project IDs to source code."
+        ),
+        context="Variable '{variable}' assigned literal value '{value}'",
+    ),
+)
+
+
+def overridden(given: dict) -> list[Grades]:
+    """The rules left on by a configuration, with the grades that it names."""
+    left = [r for r in RULES if given.get(r.rule_id, {}).get("enabled", True)]
+    return [r._replace(**{k: v for k, v in given.get(r.rule_id, {}).items() if k != "enabled"}) for r in left]
+
+
 BLANK = r"[\s\x1C-\x1F\x{85}\p{Z}]"
 
 
@@ -55,6 +183,7 @@ def lines_of(source: str) -> str:
 
 STRIPPED = f"regexp_replace(regexp_replace(line, {quote(f'^{BLANK}+')}, ''), {quote(f'{BLANK}+$')}, '')"
 
+# What the built-in rules look for.
 _MODELS = r"""(?i)"(gpt-4[^"]*|gpt-3\.5[^"]*|gpt-4o[^"]*|o[13]-[^"]*|claude-[23]-[^"]*|claude-3[^"]*|meta-llama/[^"]*|Llama-[^"]*|Qwen/[^"]*|Qwen[23]-[^"]*|mistral[^"]*|gemini-[^"]*|palm-[^"]*|deepseek[^"]*|phi-[^"]*|mixtral[^"]*)\""""
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 _LOCAL = rf"""(?i)['"](https?://(?:localhost|(?:{_OCTET}\.){{3}}{_OCTET})[^'"]*?)['"]"""
@@ -125,7 +254,7 @@ FLAT = (
 )
 
 
-def scan(corpus: str = CORPUS, rules=BUILTIN_RULES, created: str = A.AS_OF, scan_id: str = quote(A.SCAN_ID)) -> dict:
+def scan(corpus: str = CORPUS, rules=RULES, created: str = A.AS_OF, scan_id: str = quote(A.SCAN_ID)) -> dict:
     return {
         "corpus": corpus,
         "ls": lines_of("corpus"),
@@ -361,7 +490,7 @@ RESULTS = RESOLVED | {
    ELSE {noisy_findings('parsed')} END AS found,
  CASE WHEN NOT {_OK} THEN NULL WHEN mode = 'direct' THEN CASE WHEN json_type(parsed) = 'OBJECT' THEN CAST({direct_score('parsed')} AS VARCHAR) END
    ELSE {noisy_score('parsed')} END AS score_text,
- CASE WHEN {_OK} OR mode = 'noisy' THEN NULL WHEN call_ok THEN {quote(responses.NO_JSON)}
+ CASE WHEN {_OK} OR mode = 'noisy' THEN NULL WHEN call_ok THEN {quote(NO_JSON)}
    ELSE 'Chiamata LLM fallita dopo ' || CAST(attempt AS VARCHAR) || ' tentativi' END AS message,
  {_OK} AND mode = 'noisy' AND {noisy_findings('parsed')} IS NULL AS unlisted FROM chosen""",
     "stops": f"""SELECT *, min(CASE WHEN abort IS NOT NULL OR unlisted THEN analyzer_ord END) OVER (PARTITION BY {_KEY}) AS stop FROM read_rows""",
@@ -372,7 +501,7 @@ RESULTS = RESOLVED | {
  string_agg(raw, chr(10) || chr(10) ORDER BY analyzer_ord) FILTER (WHERE reached AND ok AND raw <> '') AS raw_output,
  CASE WHEN {_SUCCESS} THEN NULL ELSE COALESCE(
    string_agg(CASE WHEN analyzer_ord = stop THEN abort ELSE analyzer_id || ': ' || message END, '; ' ORDER BY analyzer_ord)
-   FILTER (WHERE (reached AND NOT ok AND message IS NOT NULL) OR analyzer_ord = stop), {quote(responses.FAILED)}) END AS error,
+   FILTER (WHERE (reached AND NOT ok AND message IS NOT NULL) OR analyzer_ord = stop), {quote(FAILED)}) END AS error,
  max(completed_at) AS completed_at, round(sum(execution_time), 4) AS execution_time
  FROM sided GROUP BY {_KEY}""",
 }
@@ -391,9 +520,9 @@ def _shown(name: str) -> str:
 
 
 FINDINGS_VIEW = f"""SELECT {_KEY}, CAST(position - 1 AS INT) AS position,
- CASE WHEN f IS NOT NULL THEN upper(COALESCE({_shown('severity')}, {quote(reports.DEFAULT_SEVERITY)})) END AS severity,
- CASE WHEN f IS NOT NULL THEN COALESCE({_shown('category')}, {_shown('type')}, {quote(reports.DEFAULT_CATEGORY)}) END AS category,
- CASE WHEN f IS NOT NULL THEN COALESCE({_shown('description')}, {quote(reports.DEFAULT_DESCRIPTION)}) END AS description,
+ CASE WHEN f IS NOT NULL THEN upper(COALESCE({_shown('severity')}, {quote(DEFAULT_SEVERITY)})) END AS severity,
+ CASE WHEN f IS NOT NULL THEN COALESCE({_shown('category')}, {_shown('type')}, {quote(DEFAULT_CATEGORY)}) END AS category,
+ CASE WHEN f IS NOT NULL THEN COALESCE({_shown('description')}, {quote(DEFAULT_DESCRIPTION)}) END AS description,
  {_shown('line_number')} AS line_number, {_shown('code_snippet')} AS code_snippet, {_shown('recommendation')} AS recommendation
 FROM (SELECT {_KEY}, unnest(findings) AS f, generate_subscripts(findings, 1) AS position FROM results WHERE len(findings) > 0
  UNION ALL SELECT {_KEY}, NULL, NULL FROM results WHERE len(findings) = 0)"""
@@ -493,7 +622,7 @@ MOVED = with_ctes(
 )
 DECISIONS = with_ctes(
     REPLAY,
-    f"""SELECT {quote(trace.VALIDATION)} AS type, {quote(trace.ACTOR)} AS actor, 'info' AS level,
+    f"""SELECT {quote(EVENT_VALIDATION)} AS type, {quote(EVENT_ACTOR)} AS actor, 'info' AS level,
  'proposal_engine,validation' AS tags, '{{"proposal_id":"' || id || '","decision":"' || new_state || '"' ||
  CASE WHEN reason <> '' THEN ',"reason":"' || reason || '"' ELSE '' END || '}}' AS payload
  FROM steps WHERE accepted AND new_state IN ('validated', 'rejected')""",
@@ -502,27 +631,27 @@ DECISIONS = with_ctes(
 
 # ---- trace --------------------------------------------------------------------------------------
 
-HIT_EVENTS = f"""SELECT {quote(trace.VIOLATION)} AS type, 'proposal_engine' AS actor,
+HIT_EVENTS = f"""SELECT {quote(EVENT_VIOLATION)} AS type, 'proposal_engine' AS actor,
  CASE WHEN severity IN ('high', 'critical') THEN 'warn' ELSE 'info' END AS level, 'proposal_engine,' || source_rule AS tags,
  '{{"rule_id":"' || source_rule || '","file_path":"' || file_path || '","severity":"' || severity || '","line_number":' || line_number || '}}' AS payload
- FROM found UNION ALL SELECT {quote(trace.GENERATED)}, 'proposal_engine', 'info', 'proposal_engine,' || type,
+ FROM found UNION ALL SELECT {quote(EVENT_GENERATED)}, 'proposal_engine', 'info', 'proposal_engine,' || type,
  '{{"proposal_id":"' || id || '","proposal_type":"' || type || '","severity":"' || severity || '","file_path":"' || file_path || '"}}' FROM found"""
-SCAN_EVENTS = f"""SELECT {quote(trace.SCAN_START)}, 'proposal_engine', 'info', '',
+SCAN_EVENTS = f"""SELECT {quote(EVENT_SCAN_START)}, 'proposal_engine', 'info', '',
  '{{"scan_id":"' || scan_id || '","project_path":"{A.ROOT}"}}' FROM (SELECT DISTINCT scan_id FROM found)
- UNION ALL SELECT {quote(trace.SCAN_END)}, 'proposal_engine', 'info', '',
+ UNION ALL SELECT {quote(EVENT_SCAN_END)}, 'proposal_engine', 'info', '',
  '{{"status":"ok","proposal_count":' || count(*) || ',"scan_id":"' || scan_id || '"}}' FROM found GROUP BY scan_id"""
 
 # ---- linters ------------------------------------------------------------------------------------
 
 _TRIM = lambda c: f"regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"
 _RAN = "(found AND NOT timed_out AND error IS NULL)"
-LINT = f"""SELECT *, CASE WHEN NOT available THEN {quote(lint.STATUS_UNAVAILABLE)} WHEN success THEN {quote(lint.STATUS_OK)}
- ELSE {quote(lint.STATUS_ISSUES)} END AS status, COALESCE(nullif(error, ''), nullif(stderr, ''), nullif(stdout, ''), '') AS detail
+LINT = f"""SELECT *, CASE WHEN NOT available THEN {quote(LINT_STATUS_UNAVAILABLE)} WHEN success THEN {quote(LINT_STATUS_OK)}
+ ELSE {quote(LINT_STATUS_ISSUES)} END AS status, COALESCE(nullif(error, ''), nullif(stderr, ''), nullif(stdout, ''), '') AS detail
 FROM (SELECT file_path, linter, found AS available,
  CASE WHEN NOT found THEN NULL WHEN NOT {_RAN} THEN FALSE ELSE returncode = 0 END AS success,
  CASE WHEN {_RAN} THEN returncode END AS returncode, CASE WHEN {_RAN} THEN {_TRIM('stdout')} END AS stdout,
  CASE WHEN {_RAN} THEN {_TRIM('stderr')} END AS stderr,
- CASE WHEN NOT found THEN command || {quote(lint.NOT_FOUND)} WHEN timed_out THEN {quote(lint.TIMED_OUT)} ELSE error END AS error
+ CASE WHEN NOT found THEN command || {quote(LINT_NOT_FOUND)} WHEN timed_out THEN {quote(LINT_TIMED_OUT)} ELSE error END AS error
  FROM (%s) WHERE enabled)"""
 LINT_ROWS = LINT % A.as_sql(A.LINT_RUNS, "events")
 # of several runs of a linter on a file the greatest outcome counts; a missing verdict sorts first
@@ -590,7 +719,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_prompts": one_rule("non_agnostic_prompts"),
         "detect_project_ids": one_rule("leaked_project_ids"),
         "proposals": with_ctes(scan(), f"SELECT {FLAT} FROM found"),
-        "rule_overrides": with_ctes(scan(rules=configured_rules(OVERRIDES)), f"SELECT {FLAT} FROM found"),
+        "rule_overrides": with_ctes(scan(rules=overridden(OVERRIDES)), f"SELECT {FLAT} FROM found"),
         "proposal_ids": with_ctes(
             scan(),
             f"SELECT rule_id, file_path, line_number, {ID} AS id, {FILE_ID} AS file_id FROM hits",
@@ -652,7 +781,7 @@ def oracle_sql() -> dict[str, str]:
             requests,
             f"""SELECT file_path, analysis_type, success, CAST(CASE WHEN success THEN 2 ELSE 0 END AS INT) AS findings,
  CASE WHEN success THEN CAST(size % 100 AS VARCHAR) END AS score, CASE WHEN size % 7 = 0 THEN
- 'llm: Chiamata LLM fallita dopo 3 tentativi' WHEN size % 11 = 0 THEN 'llm: {responses.NO_JSON}' END AS error
+ 'llm: Chiamata LLM fallita dopo 3 tentativi' WHEN size % 11 = 0 THEN 'llm: {NO_JSON}' END AS error
  FROM (SELECT *, {size} AS size, ({size} % 7 <> 0 AND {size} % 11 <> 0) AS success FROM made)""",
         ),
         "audit_run": with_ctes(
