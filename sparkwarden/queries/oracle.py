@@ -813,6 +813,11 @@ def oracle_sql() -> dict[str, str]:
             RESULTS | {"meta": META},
             f"""SELECT {_KEY}, success, {FINDINGS_TEXT} AS findings, score, error FROM results
  WHERE run_id = (SELECT run_id FROM meta ORDER BY report_file LIMIT 1)""",
+        ),
+        "report_documents": with_ctes(
+            RESULTS | {"meta": META},
+            f"""SELECT report_file AS filename, platform, total_analyses, file_path, analysis_type, success, {FINDINGS_TEXT} AS findings, score, error
+ FROM results JOIN meta USING (run_id)""",
         ),
         "checkpoint_rows": logged,
         "findings_view": with_ctes(RESULTS, FINDINGS_VIEW),

@@ -26,7 +26,7 @@ from sparkwarden.plans import audit
 from sparkwarden.queries import adapters as A
 from sparkwarden.session import cut_lineage, prepare, scratch_path
 from sparkwarden.sources import changes as changes_of
-from sparkwarden.sources import stores
+from sparkwarden.sources import documents, stores
 from sparkwarden.sources.config import AuditConfig, default_config
 from sparkwarden.streaming import jobs, snapshots
 
@@ -611,6 +611,21 @@ def report_get(spark, sf_dir):
     )
 
 
+@query
+def report_documents(spark, sf_dir):
+    """All reports as nested documents, written twice and read back, each row with its document's count."""
+    path = scratch_path(spark, "documents")
+    results = cut_lineage(_results(spark, sf_dir))
+    for _ in range(2):
+        documents.write_report_documents(_meta(results), reports.report_results(results), path)
+    meta, rows = documents.read_report_documents(spark, path)
+    counts = meta.select("filename", "platform", "total_analyses")
+    return rows.join(counts, "filename").select(
+        "filename", "platform", "total_analyses", "file_path", "analysis_type", "success",
+        F.to_json("findings").alias("findings"), F.to_json("score").alias("score"), "error",
+    )
+
+
 def _read_log(spark, path):
     schema = (
         "file_path STRING, analysis_type STRING, success BOOLEAN, findings ARRAY<VARIANT>, score VARIANT, error STRING, "
