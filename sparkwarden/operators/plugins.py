@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 from sparkwarden.functions.json_text import BRACE_BLOCK
 from sparkwarden.operators.responses import DIRECT, NOISY
@@ -57,22 +58,48 @@ def python_rule(corpus: DataFrame, rule_id: str, detect: Detector, severity: str
     file on which it raises leaves one row with ``error`` set, none of its hits, and does not stop the
     other files.
     """
-    grades = {"rule_id": rule_id, "severity": severity, "confidence": confidence}
+    hits = _hits_of(rule_id, detect, severity, confidence)
 
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                path = path.as_py()
-                try:
-                    yield from [{"file_path": path, **grades, **hit} for hit in detect(path, content.as_py())]
-                except Exception as exc:
-                    yield {"file_path": path, "rule_id": rule_id, "error": str(exc)}
+            yield from hits(batch.column(0), batch.column(1))
 
     return corpus.select("file_path", "content").mapInArrow(
-        lambda batches: batches_of(hits(batches), HIT_ARROW), HIT_SCHEMA
+        lambda batches: batches_of(matched(batches), HIT_ARROW), HIT_SCHEMA
     )
 
 
+def register_rule(spark: SparkSession, name: str, rule_id: str, detect: Detector, severity: str = "medium",
+                  confidence: float = 0.8) -> UserDefinedTableFunction:
+    """Make a rule callable from SQL: ``SELECT * FROM name(TABLE(corpus))``, rows as :func:`python_rule` gives them.
+
+    The table needs the columns ``file_path`` and ``content``; others are ignored. It is read where its partitions are, without a
+    shuffle, in Arrow batches. A file on which the rule fails, one without content included if the rule does not expect it, leaves one
+    row with ``error``; an empty table gives none. Files given twice are matched twice.
+    """
+    hits = _hits_of(rule_id, detect, severity, confidence)
+
+    class MatchRule:
+        def eval(self, files: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            yield from batches_of(hits(files.column("file_path"), files.column("content")), HIT_ARROW)
+
+    return spark.udtf.register(name, F.arrow_udtf(MatchRule, returnType=HIT_SCHEMA))
+
+
+def _hits_of(rule_id: str, detect: Detector, severity: str, confidence: float) -> Callable[[pa.Array, pa.Array], Iterator[dict]]:
+    grades = {"rule_id": rule_id, "severity": severity, "confidence": confidence}
+
+    def hits(paths: pa.Array, contents: pa.Array) -> Iterator[dict]:
+        for path, content in zip(paths, contents):
+            path = path.as_py()
+            try:
+                yield from [{"file_path": path, **grades, **hit} for hit in detect(path, content.as_py())]
+            except Exception as exc:
+                yield {"file_path": path, "rule_id": rule_id, "error": str(exc)}
+
+    return hits
+
+
 def _json(text: str):
     """The value of a strict JSON text; None for JSON null and for anything else."""
     def refuse(name: str):

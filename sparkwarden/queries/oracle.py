@@ -692,6 +692,13 @@ def oracle_sql() -> dict[str, str]:
         RESULTS,
         f"SELECT file_path, analysis_type, success, {FINDINGS_TEXT} AS findings, score, error, execution_time FROM results",
     )
+    repeated_lines = with_ctes(
+        {"corpus": RAW_CORPUS, "ls": lines_of("corpus")},
+        f"""SELECT file_path, 'repeated_lines' AS rule_id, CAST(line_number AS INT) AS line_number,
+ CAST(length(line) AS VARCHAR) AS context, 'low' AS severity, CAST(NULL AS VARCHAR) AS error
+ FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line ORDER BY line_number) AS nth FROM ls)
+ WHERE nth > 1 AND NOT regexp_full_match(line, {quote(f'{BLANK}*')})""",
+    )
     return {
         "discover_files": f"SELECT DISTINCT root, file_path FROM ({ELIGIBLE})",
         "read_text": f"""SELECT file_path, md5(t) AS digest, CAST(length(t) AS INT) AS chars FROM (SELECT file_path,
@@ -731,13 +738,8 @@ def oracle_sql() -> dict[str, str]:
         "custom_rule": with_ctes(
             {"corpus": RAW_CORPUS, "ls": lines_of("corpus"), "h": user_hits}, "SELECT * FROM h"
         ),
-        "custom_python_rule": with_ctes(
-            {"corpus": RAW_CORPUS, "ls": lines_of("corpus")},
-            f"""SELECT file_path, 'repeated_lines' AS rule_id, CAST(line_number AS INT) AS line_number,
- CAST(length(line) AS VARCHAR) AS context, 'low' AS severity, CAST(NULL AS VARCHAR) AS error
- FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line ORDER BY line_number) AS nth FROM ls)
- WHERE nth > 1 AND NOT regexp_full_match(line, {quote(f'{BLANK}*')})""",
-        ),
+        "custom_python_rule": repeated_lines,
+        "custom_rule_in_sql": repeated_lines,
         "signals": with_ctes(
             scan(),
             "SELECT type AS rule_id, file_path, line_number, code_snippet, context, severity, confidence, type AS source_detector FROM found",

@@ -277,21 +277,32 @@ def custom_rule(spark, sf_dir):
     return match_rules(raw, USER_RULES).select("rule_id", "file_path", "line_number", "match_no", "match")
 
 
+def _repeated_lines(path, content):
+    seen = set()
+    for number, line in enumerate(content.splitlines(), 1):
+        if line.strip() and line in seen:
+            yield {"line_number": number, "code_snippet": line.strip()[:200], "context": str(len(line))}
+        seen.add(line)
+
+
 @query
 def custom_python_rule(spark, sf_dir):
-    def repeated_lines(path, content):
-        seen = set()
-        for number, line in enumerate(content.splitlines(), 1):
-            if line.strip() and line in seen:
-                yield {"line_number": number, "code_snippet": line.strip()[:200], "context": str(len(line))}
-            seen.add(line)
-
     raw = _table(spark, sf_dir, "documents", A.RAW_CORPUS)
-    return plugins.python_rule(raw, "repeated_lines", repeated_lines, "low").select(
+    return plugins.python_rule(raw, "repeated_lines", _repeated_lines, "low").select(
         "file_path", "rule_id", "line_number", "context", "severity", "error"
     )
 
 
+@query
+def custom_rule_in_sql(spark, sf_dir):
+    """The same rule as a table function, called from SQL text."""
+    plugins.register_rule(spark, "repeated_lines", "repeated_lines", _repeated_lines, "low")
+    return spark.sql(
+        "SELECT file_path, rule_id, line_number, context, severity, error FROM repeated_lines(TABLE(SELECT * FROM {raw}))",
+        raw=_table(spark, sf_dir, "documents", A.RAW_CORPUS),
+    )
+
+
 # ---- signals and hypotheses ---------------------------------------------------------------------
 
 

@@ -242,3 +242,23 @@ def test_backlog_is_stored_for_point_lookups(spark, tmp_path):
     wanted = stored.first().id
     assert B.get_proposals(stored, wanted).count() == 1 and B.get_proposals(stored, "0" * 31 + "x").count() == 0
     assert sum(a <= wanted <= b for a, b in ranges) == 1
+
+
+def test_rules_are_table_functions_in_sql(spark, corpus):
+    def detect(path, content):
+        if "boom" in content:
+            raise ValueError("cannot")
+        for number, line in enumerate(content.splitlines(), 1):
+            yield {"line_number": number, "code_snippet": line, "context": ""}
+
+    plugins.register_rule(spark, "every_line", "mine", detect)
+    files = corpus({"a.py": "boom", "b.py": "x\ny", "c.py": "", **{f"d{i}.py": "z" for i in range(50)}}).repartition(5)
+    files = files.unionByName(corpus({"n.py": None})).withColumn("rule_id", F.lit("clash"))
+    want = sorted(map(str, plugins.python_rule(files, "mine", detect).collect()))
+    got = spark.sql("SELECT * FROM every_line(TABLE({files}))", files=files)
+    assert sorted(map(str, got.collect())) == want and len(want) == 54
+    worst = spark.sql("SELECT count_if(error IS NOT NULL) AS n, count(line_number) AS hits FROM every_line(TABLE({files}))", files=files).first()
+    assert (worst.n, worst.hits) == (2, 52)
+    assert spark.sql("SELECT * FROM every_line(TABLE({files}))", files=files.limit(0)).count() == 0
+    plan = spark.sql("SELECT * FROM every_line(TABLE({files}))", files=corpus({"a.py": "x"}))._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
