@@ -832,6 +832,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_upsert": UPSERT,
         "stream_hypotheses": hypotheses_last,
         "stream_transitions": OUTCOMES,
+        "stream_transitions_late": OUTCOMES,
         "stream_filter_reload": f"""SELECT root, file_path FROM (SELECT doc_id, {A.CORPUS['root']} AS root, {A.FILE_PATH} AS file_path FROM documents)
  WHERE {SOURCE_FILE} AND CASE doc_id % 3 WHEN 0 THEN NOT {EXCLUDED} WHEN 1 THEN NOT {_OUT} ELSE TRUE END""",
         "stream_tree": TREE,

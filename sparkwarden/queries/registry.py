@@ -740,6 +740,21 @@ def stream_transitions(spark, sf_dir):
     return _flat_outcomes(jobs.read_batches(spark, _in_rounds(spark, log.withColumn("round", at), start)))
 
 
+@query
+def stream_transitions_late(spark, sf_dir):
+    """The same requests out of order, each up to a tenth of the time late; they are judged in order all the same."""
+    states, log = _transition_inputs(spark, sf_dir)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = log.agg(F.coalesce(F.min(micros), F.lit(0)), F.coalesce(F.max(micros), F.lit(0))).first()
+    most = (last - first) // 10 + 1
+    comes = micros - first + F.pmod(F.xxhash64("id", "ts", "seq", "new_state"), F.lit(most))
+    at = F.floor(A.ROUNDS * comes / (last - first + most)).cast("int")
+    delay = F.expr(f"make_dt_interval(0, 0, 0, {most} / 1000000)")
+    start = lambda stream, out, checkpoint, _: jobs.transition_stream(stream, states, out, checkpoint, compact_every=2, delay=delay)
+    out = _in_rounds(spark, log.withColumn("round", at), start)
+    return _flat_outcomes(jobs.outcomes(spark, log.schema, states, out, delay, compact_every=2))
+
+
 @query
 def stream_filter_reload(spark, sf_dir):
     """Three batches; the filter is another one for each."""

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sparkwarden.functions.paths import SCAN_EXTENSIONS, PathFilter
 from sparkwarden.functions.text import read_text
@@ -177,40 +178,43 @@ def latest_hypotheses(spark: SparkSession, out: str) -> DataFrame:
     return _newest_hypotheses(*_stored(spark, out))[1].drop("batch_id")
 
 
+def _by_delay(pending: DataFrame, delay) -> tuple[DataFrame, DataFrame]:
+    """Requests that nothing can come before any more, and those that must wait: not older than the newest less the delay."""
+    horizon = pending.agg(F.max("ts") - delay).scalar()
+    return pending.filter(F.coalesce(F.col("ts") < horizon, F.lit(True))), pending.filter(F.col("ts") >= horizon)
+
+
 def transition_stream(requests: DataFrame, backlog: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str,
-                      interval: str | None = None, compact_every: int = 20) -> StreamingQuery:
+                      interval: str | None = None, compact_every: int = 20, delay: Column | int | None = None) -> StreamingQuery:
     """State machine per proposal id over a request stream.
 
     Requests apply in (ts, seq, new_state) order within a micro-batch, on top of what earlier batches accepted;
     a request that is illegal by then, late ones included, is logged as refused. ``backlog`` may be a function,
     which every batch asks for the proposals there are by then.
 
+    With a ``delay`` (what can be taken from ``ts``: an interval, or a number) requests wait in a buffer until the newest ``ts``
+    seen is more than that later, so requests that arrive out of order by no more are judged as if they had come in order; one that
+    comes later still is judged when it comes. Those without a time do not wait. Each batch stores the buffer it starts from with
+    its own requests, so a replay finds the same; :func:`outcomes` adds what still waits. Set the delay from the first batch on,
+    it may be changed later.
+
     The states that a batch moved are stored next to its log (``out`` with ``_state``), and every
     ``compact_every`` batches all states so far as one table. A batch reads the last such table and the few
     moves since, never the log; a replay overwrites its own folders only.
     """
     spark = requests.sparkSession
-    schema = "id STRING, state STRING, updated_at " + requests.schema["ts"].dataType.simpleString()
-
-    def moves(table: int, end: int) -> DataFrame:
-        """The table of all states before batch ``table`` and the moves of the batches from there to ``end``."""
-        paths = [f"{out}_state/all/{table}"] * bool(table) + [f"{out}_state/moves/{n}" for n in range(table, end)]
-        full = f"{schema}, batch_id BIGINT"
-        return spark.read.schema(full).parquet(*paths) if paths else spark.createDataFrame([], full)
-
-    def newest(rows: DataFrame) -> DataFrame:
-        last = rows.groupBy("id").agg(F.max_by(F.struct("state", "updated_at", "batch_id"), "batch_id").alias("m"))
-        return last.select("id", "m.*")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         if batch_id and batch_id % compact_every == 0:
-            newest(moves(batch_id - compact_every, batch_id)).write.mode("overwrite").parquet(f"{out}_state/all/{batch_id}")
-        earlier = newest(moves(batch_id // compact_every * compact_every, batch_id))
-        now = backlog() if callable(backlog) else backlog
-        ids = batch.select("id").distinct()
-        current = now.select("id", "state", "updated_at").join(ids, "id", "left_semi").join(
-            earlier.select("id", F.col("state").alias("_state"), F.col("updated_at").alias("_at")), "id", "left"
-        ).select("id", F.coalesce("_state", "state").alias("state"), F.coalesce("_at", "updated_at").alias("updated_at"))
+            table = _newest(_moves(spark, out, batch_id - compact_every, batch_id, requests.schema))
+            table.write.mode("overwrite").parquet(f"{out}_state/all/{batch_id}")
+        earlier = _newest(_moves(spark, out, batch_id // compact_every * compact_every, batch_id, requests.schema))
+        if delay is not None:
+            if batch_id:
+                batch = batch.unionByName(_by_delay(_pending(spark, out, batch_id - 1, requests.schema), delay)[1])
+            batch.write.mode("overwrite").parquet(f"{out}_state/pending/batch_id={batch_id}")
+            batch = _by_delay(_pending(spark, out, batch_id, requests.schema), delay)[0]
+        current = _current(backlog, earlier, batch)
         log = f"{out}/batch_id={batch_id}"
         judge_requests(current, batch).write.mode("overwrite").parquet(log)
         judged = spark.read.parquet(log)
@@ -224,6 +228,50 @@ def transition_stream(requests: DataFrame, backlog: DataFrame | Callable[[], Dat
     return _start(requests.writeStream.foreachBatch(store), checkpoint, interval)
 
 
+def _moves(spark: SparkSession, out: str, table: int, end: int, requests: StructType) -> DataFrame:
+    """The table of all states before batch ``table`` and the moves of the batches from there to ``end``."""
+    paths = [f"{out}_state/all/{table}"] * bool(table) + [f"{out}_state/moves/{n}" for n in range(table, end)]
+    schema = f"id STRING, state STRING, updated_at {requests['ts'].dataType.simpleString()}, batch_id BIGINT"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("id").agg(F.max_by(F.struct("state", "updated_at", "batch_id"), "batch_id").alias("m"))
+    return last.select("id", "m.*")
+
+
+def _pending(spark: SparkSession, out: str, batch_id: int, requests: StructType) -> DataFrame:
+    """The buffer and the requests of a batch."""
+    return spark.read.schema(requests).parquet(f"{out}_state/pending/batch_id={batch_id}")
+
+
+def _current(backlog: DataFrame | Callable[[], DataFrame], earlier: DataFrame, batch: DataFrame) -> DataFrame:
+    """The states, by now, of the proposals that a batch asks for."""
+    now = backlog() if callable(backlog) else backlog
+    ids = batch.select("id").distinct()
+    return now.select("id", "state", "updated_at").join(ids, "id", "left_semi").join(
+        earlier.select("id", F.col("state").alias("_state"), F.col("updated_at").alias("_at")), "id", "left"
+    ).select("id", F.coalesce("_state", "state").alias("state"), F.coalesce("_at", "updated_at").alias("updated_at"))
+
+
+def outcomes(spark: SparkSession, requests: StructType, backlog: DataFrame | Callable[[], DataFrame], out: str, delay: Column | int,
+             compact_every: int = 20) -> DataFrame:
+    """The log of a :func:`transition_stream` with a delay, and the outcomes of what still waits if nothing else came.
+
+    ``requests`` is the schema of the stream, delay and ``compact_every`` are those of the job. Nothing is stored: the stream may go on.
+    All is as of the last complete batch, a batch that broke off does not count; before the first one there is nothing to read.
+    """
+    last = spark.read.schema("batch_id BIGINT").parquet(f"{out}_state/pending").agg(F.max("batch_id")).first()[0]
+    try:
+        spark.read.parquet(f"{out}_state/moves/{last}")
+    except AnalysisException:
+        last -= 1
+    waiting = _by_delay(_pending(spark, out, last, requests), delay)[1]
+    earlier = _newest(_moves(spark, out, last // compact_every * compact_every, last + 1, requests))
+    judged = read_batches(spark, out).filter(F.col("batch_id") <= last).drop("batch_id")
+    return judged.unionByName(judge_requests(_current(backlog, earlier, waiting), waiting))
+
+
 def filtered_stream(corpus: DataFrame, load_filter: Callable[[], PathFilter], out: str, checkpoint: str,
                     extensions: Iterable[str] = SCAN_EXTENSIONS, interval: str | None = None) -> StreamingQuery:
     """File selection that asks for its filter settings again on every micro-batch."""

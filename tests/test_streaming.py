@@ -123,6 +123,52 @@ def test_transitions_over_batches(spark, tmp_path):
     assert {r.id: r.state for r in move_states(backlog, judged).collect()} == current
 
 
+def test_requests_out_of_order_within_the_delay_are_judged_in_order(spark, tmp_path):
+    from test_backlog import replay
+
+    draw = random.Random(7)
+    states = {f"p{i}": "detected" for i in range(4)}
+    # a third and more of the requests are for one id; two have no time, some are repeated at the same time
+    log = [(draw.choice(["p0", "p0", "p1", "p2", "p3", "no"]), n // 2, n, draw.choice(["candidate", "validated", "planned", "rejected"]), None) for n in range(100)]
+    arriving = sorted(log, key=lambda r: r[1] + draw.random() * 9)
+    source, schema = tmp_path / "log", "id STRING, ts INT, seq BIGINT, new_state STRING, reason STRING"
+    source.mkdir()
+
+    def arrive(number, part):
+        (source / f"{number}.json").write_text("\n".join(json.dumps({"id": k, "ts": t, "seq": s, "new_state": v}) for k, t, s, v, _ in part))
+        os.utime(source / f"{number}.json", (1_700_000_000 + number, 1_700_000_000 + number))
+
+    def run():
+        requests = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+        finish(jobs.transition_stream(requests, backlog, f"{tmp_path}/out", f"{tmp_path}/ck", compact_every=2, delay=9))
+
+    def judged():
+        got = jobs.outcomes(spark, kinds, backlog, f"{tmp_path}/out", 9, compact_every=2).collect()
+        return {r.seq: (r.from_state, r.accepted, r.refusal) for r in got}
+
+    backlog = spark.createDataFrame([(k, v, 0) for k, v in states.items()], "id STRING, state STRING, updated_at INT")
+    kinds = spark.createDataFrame([], schema).schema
+    for batch in range(4):
+        arrive(batch, arriving[batch * 20 : batch * 20 + 20])
+    run()
+    assert judged() == replay(states, arriving[:80])[1]
+    # the log alone lacks what still waits
+    assert 0 < jobs.read_batches(spark, f"{tmp_path}/out").count() < 80
+    # a batch that broke off after it had stored its buffer is not seen, and replaces it when it is run again
+    broken = f"{tmp_path}/out_state/pending/batch_id=4"
+    spark.createDataFrame([("p0", 99, 999, "candidate", None)], schema).write.parquet(broken)
+    assert judged() == replay(states, arriving[:80])[1]
+    arrive(4, arriving[80:])
+    run()
+    assert judged() == replay(states, log)[1]
+    # later than the delay: judged on top of what was accepted; without a time: at once
+    late = [("p1", 1, 1000, "validated", None), ("p2", None, 1001, "planned", None)]
+    arrive(5, late)
+    run()
+    assert set(judged()) == {r[2] for r in log + late}
+    assert {r.seq for r in jobs.read_batches(spark, f"{tmp_path}/out").filter("batch_id = 5").collect()} >= {1000, 1001}
+
+
 def test_filter_is_read_again_per_batch(spark, arriving, tmp_path):
     asked = []
 
