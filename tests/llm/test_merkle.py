@@ -56,6 +56,60 @@ def test_roots_and_edits():
     assert M.likeness(M.fingerprint(b""), M.fingerprint(b"other")) == 0
 
 
+def test_edits_of_whole_branches():
+    body = "\n".join(f"# Part {n}\nLine {n} one, two {n}. Three {n}!\nSame old line.\nLast {n}." for n in range(12))
+    extra = "# New\nA line, of its own.\nSame old line.\n"
+    assert M.tree(body.encode()).digest.hex() == M.fingerprint(body.encode()).split("|")[0]
+    told = lambda a, b: M.edits(a.encode(), b.encode())
+    assert told(body, body) == []
+    assert told(body, extra + body) == [("inserted", "section", None, (0,))]
+    assert told(extra + body, body) == [("deleted", "section", (0,), None)]
+    middle = body.replace("# Part 6", extra + "# Part 6")
+    assert told(body, middle) == [("inserted", "section", None, (6,))]
+    assert told(body, middle.replace("Three 9", "Drei 9")) == [("inserted", "section", None, (6,)), ("changed", "clause", (9, 1, 2), (10, 1, 2))]
+    assert told(body, body.replace("Last 3.", "Last 3.\nAn added line.")) == [("inserted", "paragraph", None, (3, 4))]
+    assert told("a. b. c.", "a. x. b. c.") == [("inserted", "clause", None, (0, 0, 1))]
+    assert told("x. s. y. s.", "z. s. w. s.") == [("changed", "clause", (0, 0, 0), (0, 0, 0)), ("changed", "clause", (0, 0, 2), (0, 0, 2))]
+    # a section that gets a blank line above it is still compared with itself
+    assert told("One. Two.", "New, here.\n\nOne. Two.") == [("inserted", "section", None, (0,)), ("inserted", "paragraph", None, (1, 0))]
+
+
+def flat(text):
+    """(section, paragraph, clause) -> bytes by the tree's own cuts."""
+    return {(s, p, c): piece for s, lines in enumerate(M.sections(text)) for p, line in enumerate(lines) for c, piece in enumerate(M.CLAUSE.findall(line))}
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_edits_account_for_every_clause(seed):
+    """What no edit covers on either side is the same clauses in the same order."""
+    rng = random.Random(seed)
+    lines = [rng.choice(["# h", "", "a. b.", "c, d; e.", f"u{n}. v{n}.", "same."]) for n in range(rng.randint(0, 25))]
+    other = list(lines)
+    for _ in range(rng.randint(0, 4)):
+        at = rng.randint(0, len(other))
+        other[at : at + rng.randint(0, 3)] = [rng.choice(["# n", "", "a. b.", "w. x. y.", f"z{rng.random()}."]) for _ in range(rng.randint(0, 3))]
+    old, new = ("\n".join(x).encode() for x in (lines, other))
+    found = M.edits(old, new)
+    assert (found == []) == (old == new)
+    rest = []
+    for side, text in ((2, old), (3, new)):
+        gone = {e[side] for e in found if e[side] is not None}
+        rest.append([piece for place, piece in flat(text).items() if not any(place[:n] in gone for n in (1, 2, 3))])
+    assert rest[0] == rest[1]
+    assert len({(e[2], e[3]) for e in found}) == len(found)
+    assert all(flat(old)[e[2]] != flat(new)[e[3]] for e in found if e[0] == "changed")
+
+
+def test_located(spark):
+    rows = [(1, "a. b.", "a. c.", "x"), (1, "a. b.", "a. c.", "x"), (None, None, "", "x"), (2, None, "new", "x"), (3, "é, " * 200_000, "é, " * 200_000 + "!", "x")]
+    pairs = spark.createDataFrame(rows, "doc_id long, text string, edited string, edits string").repartition(3)
+    got = sorted(((r.doc_id or 0, [tuple(e) for e in r.edits]) for r in M.located(pairs).collect()), key=repr)
+    changed = [("changed", "clause", [0, 0, 1], [0, 0, 1])]
+    assert got[:4] == [(0, []), (1, changed), (1, changed), (2, [("inserted", "clause", None, [0, 0, 0])])]
+    assert got[4][0] == 3 and len(got[4][1]) == 1
+    assert M.located(pairs.limit(0)).count() == 0
+
+
 def check(rows, docs):
     """``docs``: (doc_id, text) in their order."""
     assert len(rows) == len(docs)
