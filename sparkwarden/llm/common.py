@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from sparkwarden.session import prepare
 
 
+#: The operators work on whole batches at once, which larger ones make cheaper.
+BATCH_BYTES = 64 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
-    return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def whole_text(column: str = "text") -> Column:

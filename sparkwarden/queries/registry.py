@@ -508,12 +508,14 @@ def redact_messages(spark, sf_dir):
 
 def _answering(failing: str | None = None):
     """An analyzer whose answers, and how many attempts they take, depend on the length of its prompt alone."""
-    tried: dict[str, int] = {}
+    # attempts at a task follow one another: only the last prompt is held
+    last, tried = None, 0
 
     def answer(system: str, user: str) -> str:
+        nonlocal last, tried
         size = len(user)
-        tried[user] = tried.get(user, 0) + 1
-        if size % 7 == 0 or (size % 5 == 0 and tried[user] < 3):
+        last, tried = user, tried + 1 if user == last else 1
+        if size % 7 == 0 or (size % 5 == 0 and tried < 3):
             raise RuntimeError("refused")
         if size % 17 == 0 and failing:
             return failing

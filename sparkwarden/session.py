@@ -18,8 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # An aggregate above a join on its key must not keep a hot key in one task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Arrow batches carry whole files and prompts: bound them by size, not only by row count.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Arrow batches carry whole files and prompts: bound them by size, not only by row count. A worker holds two at a time.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
 }
 
 
