@@ -776,14 +776,15 @@ def _write_files(root: str, rows: DataFrame) -> None:
 
     def put(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                path = f"{root}/{row['name']}"
-                if row["content"] is None:
+            # one file at a time: contents are not copied for the whole batch
+            for name, content in zip(batch.column(0), batch.column(1)):
+                path, data = f"{root}/{name}", content.as_buffer()
+                if data is None:
                     os.remove(path)
                     continue
                 os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="") as handle:
-                    handle.write(row["content"])
+                with open(path, "wb") as handle:
+                    handle.write(data)
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
     rows.mapInArrow(put, "n BIGINT").agg(F.sum("n")).collect()
