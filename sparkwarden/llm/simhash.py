@@ -249,10 +249,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 class Copies:
     """Near copies by the similarity of their word shingles.
 
-    Texts of similarity 0.8 differ in about 15 % of the bits of a SimHash (an angle of 27 degrees), far more than
-    two of 64. So wide fingerprints of ``words`` times 64 bits are compared, within ``radius`` bits. They only
-    choose candidates: 80 of 256 is five deviations beyond the mean of the worst sets of similarity 0.8 (four of five
-    shingles, 18.75 % of the bits), passed by one pair in 1.8 million. Texts are compared if one of their ``keys``
+    Texts are candidates if one of the ``words`` of their SimHashes is the same within ``near`` of 64 bits, found in
+    agreeing-bit groups as in ``near_links``; these are the closest copies. Texts of similarity 0.8 differ in about
+    15 % of the bits (an angle of 27 degrees), far more than two of 64, and no affordable number of bit blocks would
+    hold them all together. So for the rest whole fingerprints of ``words`` times 64 bits are compared, within
+    ``radius`` bits: 80 of 256 is five deviations beyond the mean of the worst sets of similarity 0.8 (four of five
+    shingles, 18.75 % of the bits), passed by one pair in 1.8 million. These texts meet if one of their ``keys``
     smallest shingle hashes is the same, which at 0.8 fails for one pair in 400,000. Candidates are near copies if the
     exact similarity of their sets of shingle hashes is ``similarity`` or more.
     """
@@ -262,6 +264,7 @@ class Copies:
     radius: int = 80
     keys: int = 8
     similarity: float = 0.8
+    near: int = RADIUS
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -303,6 +306,21 @@ def _mixed(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return (value ^ (value >> np.uint64(29))) * odd[1]
 
 
+def word_links(prints: DataFrame, settings: Copies, group_most: int = GROUP_MOST) -> DataFrame:
+    """Links (a, b) that connect all nodes of ``prints(node, bits)`` with a word of ``bits`` within ``settings.near`` bits of each other.
+
+    The words of all nodes are compared as one set of distinct values, so nodes with the same word are never paired:
+    each is linked with the smallest of them.
+    """
+    words = prints.select("node", F.explode("bits").alias("fp"))
+    least = cut_lineage(words.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    same = words.join(least.filter("n > 1"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = near_links(least.select("fp"), settings.near, group_most)
+    for end in ("a", "b"):
+        near = near.join(least.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}")), end)
+    return same.union(near.select("node_a", "node_b")).filter("a <> b").distinct()
+
+
 def wide_links(prints: DataFrame, settings: Copies, group_most: int = GROUP_MOST) -> DataFrame:
     """Links (a, b) between the nodes of ``prints(node, bits, keys)`` that share a key and are within the radius.
 
@@ -385,7 +403,8 @@ def copies(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
 def exact_copies(docs: DataFrame, settings: Copies = Copies()) -> DataFrame:
     """(doc_id, digest, root, component_id) of every row, texts linked by the exact similarity of their shingles."""
     marked, least = _marked(docs, settings)
-    candidates = cut_lineage(roots(wide_links(least.select("node", "bits", "keys"), settings)))
+    prints = least.select("node", "bits", "keys")
+    candidates = cut_lineage(roots(word_links(prints, settings).union(wide_links(prints, settings))))
     return _named(marked, least, roots(exact_links(docs, least, candidates, settings)))
 
 

@@ -182,3 +182,43 @@ def test_links_do_not_depend_on_the_size_of_the_group(count):
         bits[1], sets[1] = bits[0] ^ pack(flags), sets[0]
         left, right = S.similar_links(np.arange(count), bits, np.concatenate(sets), np.full(count, 10), settings)
         assert (left, right) == (([1], [0]) if linked else ([], []))
+
+
+def test_near_copies_are_found_by_agreeing_bits(spark):
+    """No smallest hashes at all: texts that differ in a word of 3,000 are near copies by the bits of their SimHashes alone."""
+    rng = np.random.default_rng(9)
+    docs = []
+    for group in range(3):
+        words = [f"g{group}_{k}" for k in rng.integers(0, 10**6, 3000)]
+        docs += [(10 * group, " ".join(words)), (10 * group + 1, " ".join([*words[:-1], "other"])), (10 * group + 2, " ".join(["other", *words[1:]]))]
+    kept = S.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), S.Copies(keys=0))
+    assert {r.doc_id for r in kept.collect()} == {0, 10, 20}
+
+
+def test_word_links(spark):
+    """Every two nodes with a word within two bits are connected, others are not."""
+    rng = np.random.default_rng(10)
+    bits = rng.integers(0, 1 << 64, (60, 4), dtype=np.uint64)
+    for i in range(1, 60):
+        at, word = int(rng.integers(0, i)), int(rng.integers(0, 4))
+        flips = int(rng.integers(0, 5))
+        bits[i, word] = bits[at, word] ^ np.uint64(sum({1 << int(b) for b in rng.choice(64, flips, replace=False)}))
+    label = list(range(60))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            if (np.bitwise_count(bits[i] ^ bits[j]) <= 2).any():
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    want = [find(i) for i in range(60)]
+    df = spark.createDataFrame([(i, [int(w) for w in row.view(np.int64)]) for i, row in enumerate(bits)], "node long, bits array<long>")
+    for most in (2, 2048):
+        got = dict(map(tuple, roots(S.word_links(df, S.Copies(), group_most=most)).collect()))
+        assert [got.get(i, i) for i in range(60)] == want
+    assert 1 < len(set(want)) < 40
+    assert S.word_links(df.filter("false"), S.Copies()).count() == 0
